@@ -1,0 +1,39 @@
+"""Grouping and aggregate queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES, ORACLE = {}, {}
+
+
+def query(name: str, sql: str | None):
+    """Registers a query with the SQL of its oracle."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+@query(
+    "pricing_summary",
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_discount), 6) AS avg_disc,
+    round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem
+    WHERE l_shipdate <= TIMESTAMP '1998-09-02' AND l_discount BETWEEN 0.01 AND 0.09
+    GROUP BY l_returnflag, l_linestatus HAVING count(*) > 1 ORDER BY l_returnflag, l_linestatus""",
+)
+def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = rows.where((F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")) & F.col("l_discount").between(0.01, 0.09))
+    grouped = rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
+        F.round(F.avg("l_discount"), 6).alias("avg_disc"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
+    )
+    return grouped.where("n > 1").orderBy(F.col("l_returnflag").asc_nulls_first(), F.col("l_linestatus").asc_nulls_first())
