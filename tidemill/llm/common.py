@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +19,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_PARTS = 1000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, unless PYTHONPATH names its folder for all."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    if getattr(context, "_tidemill_shipped", False) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = f"{tempfile.mkdtemp(prefix='tidemill-')}/tidemill-code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.glob("tidemill/**/*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(archive)
+    context._tidemill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +56,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder, and read again: its lineage is cut and lost executors lose nothing of it."""
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -58,6 +76,8 @@ def discard(df: DataFrame) -> None:
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow for function(RecordBatch) -> Iterator[RecordBatch]; a batch is handed over in parts of about PART_BYTES of text."""
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
