@@ -53,12 +53,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a table in the shared folder, and read again: its lineage is cut and lost executors lose nothing of it."""
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """df written once as a table in the shared folder, and read again: its lineage is cut and lost executors lose nothing of it.
+
+    Its size is known from then on, so Spark broadcasts it to a join where that is below its threshold, and shuffles where it is not.
+    """
     spark = df.sparkSession
     ship(spark)
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemill_path = path
     return out
@@ -114,6 +117,7 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str, value: str, count: str,
     keyed holds each key once, with the number of `rows` that have it; total is the number of rows. Keys with a share of 1/HOT_PARTS or
     more, of which there can be HOT_PARTS at most, are broadcast; the other rows are shuffled by key, those already served by a spread key.
     """
+    keyed = stored(keyed, "lookup")
     is_hot = F.col(count) * HOT_PARTS >= F.lit(max(total, 1))
     served, light = with_light_key(rows, key, keyed.where(is_hot), value, "__served")
     rest = keyed.where(~is_hot).select(F.col(key).alias("__light"), F.col(value).alias("__value"))

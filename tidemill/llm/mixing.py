@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, discard, stored, table
+from .common import WORD, stored, table
 
 #: Ranges of keys to a source. Their number bounds what a task sees of the sums.
 CELLS = 4096
@@ -59,7 +59,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def mix(docs: DataFrame, weight: Column, seed: int = 17, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """docs (doc_id, source, size, mark, and what else they have) with source_size, target, epochs, taken and es_key."""
+    """docs (doc_id, source, size, mark, and what else they have) with source_size, target, epochs, taken, copies (epochs it is in, a part of one counting as one) and es_key."""
     spark = docs.sparkSession
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     found = targets(sizes, max_epochs)
@@ -84,6 +84,7 @@ def mix(docs: DataFrame, weight: Column, seed: int = 17, max_epochs: int = MAX_E
     edge_rows = inside.withColumn("__part", part.cast("long"))
     plain = rows.where(~at_edge).withColumn("__part", F.when(F.coalesce(F.col("__cell") < F.col("__edge"), F.col("__left") > 0) & (F.col("__left") > 0), F.col("size")).otherwise(F.lit(0)).cast("long"))
     out = plain.unionByName(edge_rows).withColumn("taken", F.col("epochs") * F.col("size") + F.col("__part"))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + (F.col("__part") > 0).cast("long")).otherwise(F.lit(0)).cast("int"))
     return out.drop("__left", "__edge", "__before", "__cell", "__part")
 
 

@@ -96,6 +96,19 @@ def judged(scanned: DataFrame, repo: str = "doc_id", owner: str = "source") -> D
     return back.unionByName(kept.where(~hit).withColumn("spans", F.array().cast(back.schema["spans"].dataType)))
 
 
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """text with the spans that look live replaced by mark; overlapping ones by one."""
+    live = F.filter(spans, lambda s: ~s["example"])
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     out = judged(docs)

@@ -120,9 +120,9 @@ def evidence(hashes: np.ndarray, row: np.ndarray, llr: np.ndarray) -> np.ndarray
     return out
 
 
-def with_evidence(docs: DataFrame, model: DataFrame, rest: float, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """docs (with text) with e0, e1, e2 in the place of text."""
-    names = [f for f in docs.schema.fields if f.name != "text"]
+def with_evidence(docs: DataFrame, model: DataFrame, rest: float, model_rows: int = MODEL_ROWS, keep_text: bool = False) -> DataFrame:
+    """docs (with text) with e0, e1, e2, and without text unless keep_text is set."""
+    names = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     keep = [f.name for f in names]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
 
@@ -186,8 +186,8 @@ def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """docs with held_out, score and predicted. labels: (doc_id, toxic)."""
+def toxicity(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS, keep_text: bool = False) -> DataFrame:
+    """docs (doc_id, text and any others) with held_out, score and predicted, without text unless keep_text is set. labels: (doc_id, toxic)."""
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     known = stored(known, "toxic-labels")
@@ -209,7 +209,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS) -
         rate = min(max(positive / total, 1e-6), 1 - 1e-6) if total else 0.5
         w = np.array([0.0, 0.0, 0.0, np.log(rate / (1 - rate))])
     z = sum((F.col(f"e{i}") * F.lit(float(w[i])) for i in range(3)), F.lit(float(w[3])))
-    out = with_evidence(docs.select("*"), model, rest, model_rows)
+    out = with_evidence(docs, model, rest, model_rows, keep_text)
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     return out.select("*", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_map, discard, lookup, new_path, stored, table
+from .common import arrow_map, lookup, new_path, stored, table
 
 # Fixed values of the format.
 MAGIC = "WARC/1."
@@ -70,9 +70,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 SEGMENT = T.StructType(
     [T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("idx", T.LongType())]
     + [T.StructField("start", T.LongType()), T.StructField("size", T.LongType()), T.StructField("succ", T.LongType()), T.StructField("run", T.LongType())]
-    + [T.StructField("head", T.IntegerType()), T.StructField("content", T.LongType()), T.StructField("headers", T.MapType(T.StringType(), T.StringType())), T.StructField("raw", T.BinaryType())]
+    + [T.StructField("head", T.IntegerType()), T.StructField("content", T.LongType()), T.StructField("headers", T.MapType(T.StringType(), T.StringType())), T.StructField("whole", T.BooleanType()), T.StructField("raw", T.BinaryType())]
 )
-SEGMENT_ARROW = pa.schema([("file", pa.string()), ("block", pa.int64()), ("idx", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("succ", pa.int64()), ("run", pa.int64()), ("head", pa.int32()), ("content", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("raw", pa.binary())])
+SEGMENT_ARROW = pa.schema([("file", pa.string()), ("block", pa.int64()), ("idx", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("succ", pa.int64()), ("run", pa.int64()), ("head", pa.int32()), ("content", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("whole", pa.bool_()), ("raw", pa.binary())])
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
@@ -98,7 +98,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (file, block) != here:
                 here, idx, at, expected = (file, block), 0, 0, None
             head = raw.find(b"\r\n\r\n")
-            head = len(raw) - 0 if head < 0 else head
+            head = len(raw) if head < 0 else head
             headers, succ, content, start = {}, None, None, at - size
             if idx or block:  # what stands before the first magic of a file is no candidate
                 headers = parse_headers(raw[:head])
@@ -108,7 +108,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if start != expected:
                 run = idx
             expected = succ
-            rows.append((file, block, idx, start, len(raw) + size, succ, run, head, content, list(headers.items()), raw))
+            rows.append((file, block, idx, start, len(raw) + size, succ, run, head, content, list(headers.items()), content is not None and len(raw) == head + content + 8, raw))
             idx, at, kept = idx + 1, at + len(raw) + size, kept + len(raw)
             if kept > 8_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SEGMENT_ARROW)], schema=SEGMENT_ARROW)
@@ -126,8 +126,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     blocks = found.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of one archive
     blocks = blocks.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    candidates = found.select("file", "block", "idx", "run", "start", "succ").join(blocks, ["file", "block"])
-    candidates = stored(candidates.select("file", "block", "idx", "run", (F.col("start") + F.col("base")).alias("start"), (F.col("succ") + F.col("base")).alias("succ")), "warc-chain")
+    candidates = found.select("file", "block", "idx", "run", "start", "succ", "whole").join(blocks, ["file", "block"])
+    candidates = stored(candidates.select("file", "block", "idx", "run", (F.col("start") + F.col("base")).alias("start"), (F.col("succ") + F.col("base")).alias("succ"), "whole"), "warc-chain")
 
     tails = candidates.groupBy("file", "block", "run").agg(F.max_by("succ", "idx").alias("target"), F.min("start").alias("head"))
     node = F.struct("block", "run")
@@ -137,20 +137,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     reached = stored(_jumped(starts, jumps), "warc-reached")
 
     entries = starts.withColumn("entry", F.lit(0).cast("long")).unionByName(jumps.join(reached, ["file", "node"], "left_semi").select("file", F.col("next").alias("node"), F.col("target").alias("entry")))
-    entries = entries.groupBy("file", "node").agg(F.min("entry").alias("entry")).select("file", "node.block", "node.run", "entry")
-    kept = candidates.join(entries, ["file", "block", "run"]).where(F.col("start") >= F.col("entry")).where(F.col("succ").isNotNull()).select("file", "block", "idx", F.col("start").alias("offset"))
-
-    whole = F.length("raw") == F.col("head") + F.col("content") + 8
-    records = found.join(kept, ["file", "block", "idx"])
-    one = records.where(whole).select("file", "offset", "headers", F.expr("substring(raw, head + 5, content)").alias("block"))
-    torn = kept.join(found.where(~whole).select("file", "block", "idx"), ["file", "block", "idx"]).select("file").distinct()
-    if torn.isEmpty():
+    entries = entries.groupBy("file", "node").agg(F.min("entry").alias("entry")).select("file", "node.block", "node.run", "entry").join(blocks, ["file", "block"])
+    entries = stored(entries, "warc-entries")  # a row for each run; payloads are only moved if there are very many runs
+    kept = found.join(entries, ["file", "block", "run"]).where(F.col("start") + F.col("base") >= F.col("entry")).where(F.col("succ").isNotNull()).withColumn("offset", F.col("start") + F.col("base"))
+    one = kept.where("whole").select("file", "offset", "headers", F.expr("substring(raw, head + 5, content)").alias("block"))
+    if candidates.where((F.col("start") >= 0) & F.col("succ").isNotNull() & ~F.col("whole")).isEmpty():
         return one
+    kept = kept.select("file", "block", "idx", "offset", "whole")
+    torn = kept.where(~F.col("whole")).select("file").distinct()
     # Records with the magic in their payload: each piece of such a file goes to the last kept record at or before it.
-    narrow = candidates.join(torn, "file", "left_semi").join(kept.select("file", "block", "idx", "offset"), ["file", "block", "idx"], "left")
+    narrow = candidates.drop("whole").join(torn, "file", "left_semi").join(kept.select("file", "block", "idx", "offset"), ["file", "block", "idx"], "left")
     owner = F.last("offset", ignorenulls=True).over(Window.partitionBy("file").orderBy("start"))
     owned = narrow.select("file", "block", "idx", "start", owner.alias("offset")).where(F.col("offset").isNotNull())
-    pieces = owned.join(found, ["file", "block", "idx"]).select("file", "offset", owned["start"], "head", "content", "headers", "raw", whole.alias("whole"))
+    pieces = owned.join(found, ["file", "block", "idx"]).select("file", "offset", owned["start"], "head", "content", "headers", "raw", "whole")
     glued = pieces.groupBy("file", "offset").agg(F.sort_array(F.collect_list(F.struct("start", "raw"))).alias("all"), F.min_by(F.struct("head", "content", "headers"), "start").alias("h"), F.min_by("whole", "start").alias("whole")).where(~F.col("whole"))
     magic = F.lit(MAGIC).cast("binary")
     body = F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, magic, x["raw"]))
