@@ -84,6 +84,13 @@ def lower_word_hashes(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     return range_hash(prefix_hash(body, LOWER_VALUE), starts, ends), row
 
 
+def lower_words_and_stems(body: np.ndarray, at: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As lower_word_hashes, with a hash of the first `stem` bytes of each word in the middle; it never equals the hash of a word by design."""
+    starts, ends, row = words_of(body, at)
+    c = prefix_hash(body, LOWER_VALUE)
+    return range_hash(c, starts, ends), mixed(range_hash(c, starts, np.minimum(ends, starts + stem)) + U64(BASE)), row
+
+
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word shingles of one row's word hashes; of the whole sequence if it is shorter; none without words."""
     if not len(hashes):

@@ -1,17 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class (toxic, ordinary) has a model of the words of its documents, each word counted once a document:
+Each class c (toxic, ordinary) has a model of the words of its documents, each word counted once a document. A word backs off to its stem (its
+first STEM bytes), so that rare inflections share what is known of them, and a stem to the contexts that both classes share:
 
-    P_c(w) = max(n_c(w) - D, 0) / N_c + lambda_c * P(w),   lambda_c = D * |{w : n_c(w) > 0}| / N_c,   D = 1
+    P_c(w) = max(n_c(w) - D, 0) / N_c + lambda_c * Q_c(stem) * S(w | stem),   lambda_c = D * |{w : n_c(w) > 0}| / N_c
+    Q_c(s) = max(m_c(s) - D, 0) / M_c + mu_c * P(s),                          mu_c = D * |{s : m_c(s) > 0}| / M_c,   D = 1
 
-with the backoff that both share: P(w) is proportional to the number of different contexts before w, over both classes. A context is one of 64
-classes of preceding words (by hash), so a word's contexts are one long that partial aggregation can OR together. With D = 1 a word that one
-document alone has is left to the backoff, which cancels: log P_toxic / P_ordinary is then the same constant for every rare word.
+P(s) is proportional to the number of different contexts before a stem, and S to those before a word, over both classes. A context is one of
+64 classes of preceding words (by hash), so contexts are one long that partial aggregation can OR together. With D = 1 a word that one
+document alone has is left to the backoff, and so costs no row of the model.
 
 A document's evidence is its length-normalised log-likelihood ratio: over the whole text, over its best window of WINDOW words, and over
-its best single word. A logistic curve over these three is fitted on a bounded sample of labelled rows (SAMPLE; their words are not counted).
+its best single word. A logistic curve over these three is fitted on a bounded sample of SAMPLE labelled rows, for each of which the counts are taken
+without the document itself.
 
-The counts cover every other labelled row and grow with the corpus. Their table is broadcast only while it has at most MODEL_ROWS rows, which is
+The counts cover every labelled row and grow with the corpus. Their table is broadcast only while it has at most MODEL_ROWS rows, which is
 checked; beyond, the words of each document are joined with it.
 
 Defined results: a null or wordless text has no evidence (all ratios 0); a null id is held out of training; a label counts if any row
@@ -20,7 +23,7 @@ of its id has it; rows that repeat others get equal scores; without both classes
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from . import textnp
 from .common import arrow_map, parts, stored, table
 
+STEM = 5
 WINDOW = 8
 SAMPLE = 20_000
 MODEL_ROWS = 4_000_000
@@ -51,34 +55,37 @@ def contexts(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(h, n_toxic, n_other, contexts) of all words; rows: (text, toxic)."""
+    """(h, stem, n_toxic, n_other, contexts) of all words, and of all stems with a null stem; rows: (text, toxic)."""
 
     def merged(pieces: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        h, t, o, c = (np.concatenate(x) for x in zip(*pieces))
+        h, s, k, t, o, c = (np.concatenate(x) for x in zip(*pieces))
         order = np.argsort(h, kind="stable")
-        h, t, o, c = h[order], t[order], o[order], c[order]
+        h, s, k, t, o, c = (x[order] for x in (h, s, k, t, o, c))
         first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        return h[first], np.add.reduceat(t, first), np.add.reduceat(o, first), np.bitwise_or.reduceat(c, first)
+        return h[first], s[first], k[first], np.add.reduceat(t, first), np.add.reduceat(o, first), np.bitwise_or.reduceat(c, first)
 
     def out(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        h, t, o, c = x
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t), pa.array(o), pa.array(c.view(np.int64))], names=["h", "n_toxic", "n_other", "contexts"])
+        h, s, k, t, o, c = x
+        stem = pa.array(s.view(np.int64), mask=k)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), stem, pa.array(t), pa.array(o), pa.array(c.view(np.int64))], names=["h", "stem", "n_toxic", "n_other", "contexts"])
+
+    def once(hashes: np.ndarray, stems: np.ndarray, doc: np.ndarray, before: np.ndarray, toxic: np.ndarray, is_stem: bool) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((hashes, doc))
+        h, d = hashes[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
+        t = toxic[d[first]]
+        return merged([(h[first], stems[order][first], np.full(len(first), is_stem), t, 1 - t, np.bitwise_or.reduceat(before[order], first))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for part in parts(batch):
-                hashes, row = textnp.lower_word_hashes(*textnp.bytes_of(part["text"]))
+                hashes, stems, row = textnp.lower_words_and_stems(*textnp.bytes_of(part["text"]), STEM)
                 if not len(hashes):
                     continue
                 toxic = np.array(part["toxic"].to_pylist(), np.int64)
-                doc = np.repeat(np.arange(len(row) - 1), np.diff(row))
-                order = np.lexsort((hashes, doc))
-                h, d = hashes[order], doc[order]
-                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
-                c = np.bitwise_or.reduceat(contexts(hashes, row)[order], first)
-                t = toxic[d[first]]
-                pieces.append(merged([(h[first], t, 1 - t, c)]))
+                doc, before = np.repeat(np.arange(len(row) - 1), np.diff(row)), contexts(hashes, row)
+                pieces += [once(hashes, stems, doc, before, toxic, False), once(stems, stems, doc, before, toxic, True)]
                 if sum(len(p[0]) for p in pieces) > GATHER:
                     pieces = [merged(pieces)]
                     if len(pieces[0][0]) > GATHER // 2:
@@ -86,21 +93,41 @@ def counted(rows: DataFrame) -> DataFrame:
         if pieces:
             yield out(merged(pieces))
 
-    found = rows.select("text", "toxic").mapInArrow(run, "h long, n_toxic long, n_other long, contexts long")
-    return found.groupBy("h").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"), F.bit_or("contexts").alias("contexts"))
+    found = rows.select("text", "toxic").mapInArrow(run, "h long, stem long, n_toxic long, n_other long, contexts long")
+    return found.groupBy("h", "stem").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"), F.bit_or("contexts").alias("contexts"))
 
 
 def ratios(counts: DataFrame) -> tuple[DataFrame, float]:
-    """(h, llr) of the words that a class has more than once, and the ratio of all others."""
-    seen = F.bit_count("contexts")
-    t = counts.agg(F.sum("n_toxic"), F.sum("n_other"), F.sum((F.col("n_toxic") > 0).cast("long")), F.sum((F.col("n_other") > 0).cast("long")), F.sum(seen)).first()
-    n_t, n_o, v_t, v_o, total = (int(x or 0) for x in t)
-    if not n_t or not n_o:
-        return counts.select("h", F.lit(0.0).alias("llr")).limit(0), 0.0
-    shared = seen / F.lit(float(total))
-    p = lambda n, size, kinds: F.greatest(F.col(n) - 1, F.lit(0)) / F.lit(float(size)) + F.lit(kinds / size) * shared
-    llr = F.log(p("n_toxic", n_t, v_t) / p("n_other", n_o, v_o))
-    return counts.where("n_toxic > 1 OR n_other > 1").select("h", llr.alias("llr")), float(np.log((v_t / n_t) / (v_o / n_o)))
+    """(h, llr, less_toxic, less_other) of words and stems that a class has more than once, and the ratio of all others.
+
+    less_toxic, less_other: the same without one document of the class, for documents that were counted.
+    """
+    seen, is_stem = F.bit_count("contexts"), F.col("stem").isNull()
+    of = counts.groupBy(is_stem.alias("k")).agg(F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o"), F.sum((F.col("n_toxic") > 0).cast("long")).alias("vt"), F.sum((F.col("n_other") > 0).cast("long")).alias("vo"), F.sum(seen).alias("c"))
+    total = {r["k"]: r for r in of.collect()}  # two rows
+    if not total or any(not r["t"] or not r["o"] for r in total.values()):
+        return counts.select("h", F.lit(0.0).alias("llr"), F.lit(0.0).alias("less_toxic"), F.lit(0.0).alias("less_other")).limit(0), 0.0
+    w, s = total[False], total[True]
+    keep = {("toxic", "w"): w["vt"] / w["t"], ("other", "w"): w["vo"] / w["o"], ("toxic", "s"): s["vt"] / s["t"], ("other", "s"): s["vo"] / s["o"]}
+    size = {("toxic", "w"): w["t"], ("other", "w"): w["o"], ("toxic", "s"): s["t"], ("other", "s"): s["o"]}
+
+    def part(n, c: str, kind: str, less: int):
+        return F.greatest(F.col(n) - 1 - less, F.lit(0)) / F.lit(float(size[c, kind]))
+
+    def q(c: str, less: int = 0):
+        return part(f"m_{c}", c, "s", less) + F.lit(keep[c, "s"] / s["c"]) * F.col("stem_contexts")
+
+    def p(c: str, less: int = 0):
+        return part(f"n_{c}", c, "w", less) + F.lit(keep[c, "w"]) * q(c, less) * F.col("share")
+
+    stems = counts.where(is_stem).select(F.col("h").alias("stem"), F.col("n_toxic").alias("m_toxic"), F.col("n_other").alias("m_other"), seen.alias("stem_contexts"))
+    words = counts.where(~is_stem).withColumn("seen", seen)
+    shares = words.groupBy("stem").agg(F.sum("seen").alias("all_seen"))
+    known = words.where("n_toxic > 1 OR n_other > 1").join(stems.join(shares, "stem"), "stem").withColumn("share", F.col("seen") / F.col("all_seen"))
+    columns = lambda f: [F.log(f("toxic", a) / f("other", b)).alias(name) for name, a, b in (("llr", 0, 0), ("less_toxic", 1, 0), ("less_other", 0, 1))]
+    of_stem = lambda c, less: F.lit(keep[c, "w"]) * q(c, less)
+    model = known.select("h", *columns(p)).unionByName(stems.where("m_toxic > 1 OR m_other > 1").select(F.col("stem").alias("h"), *columns(of_stem)))
+    return model, float(np.log(keep["toxic", "w"] * keep["toxic", "s"] / (keep["other", "w"] * keep["other", "s"])))
 
 
 def evidence(hashes: np.ndarray, row: np.ndarray, llr: np.ndarray) -> np.ndarray:
@@ -120,56 +147,62 @@ def evidence(hashes: np.ndarray, row: np.ndarray, llr: np.ndarray) -> np.ndarray
     return out
 
 
-def with_evidence(docs: DataFrame, model: DataFrame, rest: float, model_rows: int = MODEL_ROWS, keep_text: bool = False) -> DataFrame:
-    """docs (with text) with e0, e1, e2, and without text unless keep_text is set."""
+def with_evidence(docs: DataFrame, model: DataFrame, rest: float, model_rows: int = MODEL_ROWS, keep_text: bool = False, counted_as: str | None = None) -> DataFrame:
+    """docs (with text) with e0, e1, e2, and without text unless keep_text is set. counted_as: the column with the class that a document was counted in."""
     names = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     keep = [f.name for f in names]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
-
-    def scored(batch: pa.RecordBatch, look: Callable) -> pa.RecordBatch:
-        hashes, row = textnp.lower_word_hashes(*textnp.bytes_of(batch["text"]))
-        e = evidence(hashes, row, look(hashes, row))
+    schema = f"{kept}, e0 double, e1 double, e2 double"
+
+    def scored(batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        """keys: sorted hashes; values: their three ratios."""
+        hashes, stems, row = textnp.lower_words_and_stems(*textnp.bytes_of(batch["text"]), STEM)
+        llr = np.full(len(hashes), rest)
+        if len(keys) and len(hashes):
+            which = np.zeros(len(row) - 1, np.int64)
+            if counted_as is not None:
+                which = np.where(np.array(batch[counted_as].to_pylist(), np.int64) == 1, 1, 2)
+            which = np.repeat(which, np.diff(row))
+            for h in (stems, hashes):  # what is known of a word goes before what is known of its stem
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                llr[hit] = values[at[hit], which[hit]]
+        e = evidence(hashes, row, llr)
         return pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(e[:, i]) for i in range(3))], names=[*keep, "e0", "e1", "e2"])
 
-    def found(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(h), rest)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, values[at], rest)
-
     if model.count() <= model_rows:
         t = model.toArrow()
-        keys, values = t["h"].to_numpy().view(np.uint64), t["llr"].to_numpy()
+        keys = t["h"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        # Its size was checked just now: 12 bytes a row.
-        sent = docs.sparkSession.sparkContext.broadcast((keys[order], values[order].astype(np.float32)))
+        values = np.column_stack([t[c].to_numpy().astype(np.float32) for c in ("llr", "less_toxic", "less_other")])[order]
+        # Its size was checked just now: 20 bytes a row.
+        sent = docs.sparkSession.sparkContext.broadcast((keys[order], values))
 
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            k, v = sent.value
-            yield scored(batch, lambda h, row: found(k, v, h))
+            yield scored(batch, *sent.value)
 
-        return arrow_map(docs, run, f"{kept}, e0 double, e1 double, e2 double")
+        return arrow_map(docs, run, schema)
 
-    # Beyond that size: distinct words of each text meet the model in a join, and come back to their text as two arrays.
+    # Beyond that size: distinct words and stems of each text meet the model in a join, and come back to their text as an array.
     def distinct(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        hashes, row = textnp.lower_word_hashes(*textnp.bytes_of(batch["text"]))
-        sets = [np.unique(hashes[s:e]).view(np.int64) for s, e in zip(row[:-1], row[1:])]
-        yield pa.RecordBatch.from_arrays([batch["mark"], pa.array(sets, pa.list_(pa.int64()))], names=["mark", "hs"])
+        hashes, stems, row = textnp.lower_words_and_stems(*textnp.bytes_of(batch["text"]), STEM)
+        sets = [np.unique(np.concatenate((hashes[s:e], stems[s:e]))).view(np.int64) for s, e in zip(row[:-1], row[1:])]
+        yield pa.RecordBatch.from_arrays([batch["__words_of"], pa.array(sets, pa.list_(pa.int64()))], names=["mark", "hs"])
 
     def joined(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             one = batch.slice(i, 1)
-            words = one["words"].to_pylist()[0] or []
-            k = np.array([w["h"] for w in words], np.int64).view(np.uint64)
-            v = np.array([w["llr"] for w in words], np.float32)
-            order = np.argsort(k)
-            yield scored(one, lambda h, row: found(k[order], v[order], h))
-
-    marked = docs.withColumn("mark", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = marked.select("mark", "text").dropDuplicates(["mark"])  # equal texts have equal words
+            words = one["__words"].to_pylist()[0] or []
+            keys = np.array([w["h"] for w in words], np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            values = np.array([(w["llr"], w["less_toxic"], w["less_other"]) for w in words], np.float32).reshape(-1, 3)[order]
+            yield scored(one, keys[order], values)
+
+    marked = docs.withColumn("__words_of", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = marked.select("__words_of", "text").dropDuplicates(["__words_of"])  # equal texts have equal words
     words = arrow_map(texts, distinct, "mark string, hs array<bigint>").select("mark", F.explode("hs").alias("h"))
-    by_text = words.join(model, "h").groupBy("mark").agg(F.collect_list(F.struct("h", "llr")).alias("words"))
-    return arrow_map(marked.join(by_text, "mark", "left"), joined, f"{kept}, e0 double, e1 double, e2 double")
+    by_text = words.join(model, "h").groupBy("mark").agg(F.collect_list(F.struct("h", "llr", "less_toxic", "less_other")).alias("__words"))
+    return arrow_map(marked.join(by_text, F.col("__words_of") == F.col("mark"), "left"), joined, schema)
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -192,16 +225,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS, k
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     known = stored(known, "toxic-labels")
     total, positive = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    share = min(0.2, SAMPLE / max(1, total))
+    share = min(1.0, SAMPLE / max(1, total))
     sampled = F.pmod(F.xxhash64("label_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
     text = docs.select("doc_id", "text")
     # At most about SAMPLE ids, whatever the size of the corpus.
     sample = text.join(F.broadcast(known.where(sampled)), F.col("doc_id") == F.col("label_id")).select("toxic", "text")
-    train = text.join(known.where(~sampled), F.col("doc_id") == F.col("label_id")).select("toxic", "text")
+    train = text.join(known, F.col("doc_id") == F.col("label_id")).select("toxic", "text")
     counts = stored(counted(train), "toxic-counts")
     model, rest = ratios(counts)
     model = stored(model, "toxic-model")
-    seen = with_evidence(sample, model, rest, model_rows).toPandas()
+    seen = with_evidence(sample, model, rest, model_rows, counted_as="toxic").toPandas()
     seen = seen.sort_values(list(seen.columns), ignore_index=True)  # the same weights in every run
     if len(seen) and seen["toxic"].nunique() == 2:
         w = fitted(seen[["e0", "e1", "e2"]].to_numpy(), seen["toxic"].to_numpy(float))
