@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import aggregates
+from . import collection_queries, relational
 
-MODULES = (aggregates,)
+MODULES = (relational, collection_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
