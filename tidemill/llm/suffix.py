@@ -2,13 +2,13 @@
 
 1. Winnowing. Of the GRAM-byte hashes in each window of `least` bytes the smallest is an anchor, so equal windows have equal anchors at equal
    places, in whatever document they are. A window can only repeat if its anchor does; other text is never looked at again.
-2. Around each anchor that occurs twice stand all windows that have it: its context, less than 2 * least bytes. Equal contexts
+2. Around each anchor that occurs twice stand all windows that it was chosen for: its context, less than 2 * least bytes. Equal contexts
    of an anchor count as one with a number; alone with its copies, or with copies at all, it is covered whole.
 3. The other contexts are grouped by anchor and meet in tasks of bounded size: their Burrows-Wheeler transform is taken, and intervals are expanded
    breadth-first by backward extension. Each level fixes the longest common prefixes of one length more; the expansion stops at `least`. Entries
    not fixed by then share `least` bytes with their neighbour.
-4. An anchor with more than HOT contexts (a passage in very many documents) is not gathered: windows in ranges of RANGE starts share a core; cores,
-   and then windows, are counted by hash instead, which partial sums make independent of any group's size.
+4. An anchor with more than HOT contexts (a passage in very many documents) is not gathered: the windows in a range of starts share a core; cores
+   are counted by hash instead, over ever smaller RANGES down to single windows, and partial sums make that independent of any group's size.
 5. Covered ranges go back to all copies of a context, and each document's union is cut out.
 
 Defined results: a null text is empty; texts below `least` bytes lose nothing; matches never cross documents; rows with one id and
@@ -32,9 +32,9 @@ from .common import arrow_map, stored, table
 LEAST = 400
 GRAM = 64
 #: Bytes of contexts whose transform is taken at once, and contexts of an anchor that may meet in one task.
-TASK_BYTES = 1_500_000
+TASK_BYTES = 900_000
 HOT = 1500
-RANGE = 48
+RANGES = (85, 17, 4, 1)
 #: Characters in the first sort key, nine bits each.
 SEED = 7
 
@@ -55,11 +55,11 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors_of(body: np.ndarray, at: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of the anchors in all rows, their hashes, and their rows."""
+def anchors_of(body: np.ndarray, at: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Positions of the anchors in all rows, their hashes, their rows, and the first and last start of the windows that each was chosen for."""
     none = np.zeros(0, np.int64)
     if len(body) < least:
-        return none, none.astype(np.uint64), none
+        return none, none.astype(np.uint64), none, none, none
     c = textnp.prefix_hash(body)
     starts = np.arange(len(body) - gram + 1)
     h = textnp.range_hash(c, starts, starts + gram)
@@ -70,9 +70,14 @@ def anchors_of(body: np.ndarray, at: np.ndarray, least: int, gram: int) -> tuple
         if e - s >= least:
             fits[s] += 1
             fits[e - least + 1] -= 1
-    chosen = best[np.cumsum(fits[:-1]) > 0]
-    chosen = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))] if len(chosen) else chosen
-    return chosen, h[chosen], np.searchsorted(at, chosen, "right") - 1
+    start = np.flatnonzero(np.cumsum(fits[:-1]) > 0)
+    if not len(start):
+        return none, none.astype(np.uint64), none, none, none
+    best = best[start]
+    first = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1])))  # a later window never chooses an earlier anchor
+    last = np.concatenate((first[1:], [len(best)])) - 1
+    chosen = best[first]
+    return chosen, h[chosen], np.searchsorted(at, chosen, "right") - 1, start[first], start[last]
 
 
 ANCHORS = "anchor long, ctx binary, doc_id long, mark long, start int, size int, lead int"
@@ -83,10 +88,10 @@ def anchor_rows(docs: DataFrame, least: int, gram: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         body, at = textnp.bytes_of(batch["text"])
-        pos, h, row = anchors_of(body, at, least, gram)
+        pos, h, row, s, e = anchors_of(body, at, least, gram)
         if not len(pos):
             return
-        s, e = np.maximum(at[row], pos - (least - gram)), np.minimum(at[row + 1], pos + least)
+        e = e + least
         data = body.tobytes()
         ctx = [xxhash.xxh3_128_digest(data[a:b], seed=p - a) for a, b, p in zip(s.tolist(), e.tolist(), pos.tolist())]
         take = pa.array(row)
@@ -108,30 +113,36 @@ def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     key = np.zeros(n, np.uint64)
     for j in range(SEED):
         key = (key << np.uint64(9)) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key).astype(np.int32)
     sorted_key = key[order]
-    rank = np.zeros(n + 1, np.int64)
+    rank = np.zeros(n + 1, np.int32)
+    number = np.arange(n, dtype=np.int32)
 
     def spread(starts: np.ndarray) -> np.ndarray:
         """For each place, the start of its group."""
-        return np.maximum.accumulate(np.where(starts, np.arange(len(starts)), 0))
+        return np.repeat(number[: len(starts)][starts], np.diff(np.concatenate((np.flatnonzero(starts), [len(starts)]))))
 
     head = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     rank[order] = spread(head)
     lonely = head & np.concatenate((head[1:], [True]))
     active, h = order[~lonely], SEED
+    # Three ranks make a key where they fit into it, so the depth triples in each round; else two.
+    fold = 3 if n < 1 << 21 else 2
+    bits = np.uint64(21 if fold == 3 else 32)
     while h < depth and len(active):
         old = rank[active]
-        k = (old.astype(np.uint64) << np.uint64(32)) | rank[np.minimum(active + h, n)].astype(np.uint64)
-        o = np.argsort(k, kind="stable")
+        k = old.astype(np.uint64)
+        for j in range(1, fold):
+            k = (k << bits) | rank[np.minimum(active + j * h, n)].astype(np.uint64)
+        o = np.argsort(k)
         active, k, old = active[o], k[o], old[o]
         first = np.concatenate(([True], old[1:] != old[:-1]))
-        place = old + np.arange(len(old)) - spread(first)
+        place = old + number[: len(old)] - spread(first)
         order[place] = active
         new = np.concatenate(([True], k[1:] != k[:-1]))
         rank[active] = place[spread(new)]
         active = active[~(new & np.concatenate((new[1:], [True])))]
-        h *= 2
+        h *= fold
     return order, sorted_key
 
 
@@ -144,10 +155,11 @@ def shared_prefixes(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
     order, key = suffix_order(codes, least)
     bwt = codes[order - 1]
     by_char = np.argsort(bwt, kind="stable")
-    last_to_first = np.empty(n, np.int64)
-    last_to_first[by_char] = np.arange(n)
+    by_char = by_char.astype(np.int32)
+    last_to_first = np.empty(n, np.int32)
+    last_to_first[by_char] = np.arange(n, dtype=np.int32)
     same = bwt[by_char][1:] == bwt[by_char][:-1]
-    before, after = np.full(n, -1), np.full(n, n)
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     before[by_char[1:][same]] = by_char[:-1][same]
     after[by_char[:-1][same]] = by_char[1:][same]
     fixed = np.zeros(n + 1, bool)
@@ -236,60 +248,48 @@ def interval_spans(contexts: DataFrame, least: int) -> DataFrame:
 
 
 def counted_spans(contexts: DataFrame, least: int, gram: int) -> DataFrame:
-    """The same for anchors with very many contexts, without gathering them: (anchor, ctx, anchor_at, bytes)."""
+    """The same for anchors with very many contexts, without gathering them: (anchor, ctx, anchor_at, bytes).
+
+    A range is a number of consecutive starts of windows, counted from the farthest one before the anchor. Contexts that agree in all bytes of a
+    range have all its windows in common; those that only agree in its core, the bytes of every window in it, may have some, and are taken
+    apart further, one for each kind of range.
+    """
     starts = least - gram + 1
 
     def digest(anchor: int, offset: int, data: bytes) -> bytes:
         return xxhash.xxh3_128_digest(data, seed=(anchor * 1_000_003 + offset) & (2**64 - 1))
 
-    def window_range(anchor_at: int, size: int, j: int) -> tuple[int, int]:
-        """First and last start of the windows of range j: starts count from the farthest one before the anchor."""
-        far = anchor_at - (least - gram)
-        return max(0, far + j * RANGE), min(size - least, far + min(starts, (j + 1) * RANGE) - 1)
-
-    def cores(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for anchor, ctx, at, data in zip(*(batch[c].to_pylist() for c in ("anchor", "ctx", "anchor_at", "bytes"))):
-            for j in range(-(-starts // RANGE)):
-                a, b = window_range(at, len(data), j)
-                far = at - (least - gram) + j * RANGE
-                if a <= b:
-                    # The core of a whole range, so that it does not depend on where a document begins or ends; a clipped range keys by windows alone.
-                    end = at - (least - gram) + min(starts, (j + 1) * RANGE) - 1
-                    whole = far >= 0 and end + least <= len(data)
-                    core = data[end : far + least]
-                    rows.append((anchor, ctx, j, digest(anchor, j, core), digest(anchor, j, b"w" + data[a : b + least]) if whole else digest(anchor, j, b"c%d:" % (a - far) + data[a : b + least]), whole))
-        if rows:
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["anchor", "ctx", "j", "core", "sub", "whole"])
-
-    ranges = stored(arrow_map(contexts.select("anchor", "ctx", "anchor_at", "bytes"), cores, "anchor long, ctx binary, j int, core binary, sub binary, whole boolean"), "suffix-ranges")
-    subs = ranges.groupBy("core", "sub").agg(F.count("*").alias("copies"), F.min(F.struct("anchor", "ctx", "j")).alias("one"))
-    several = subs.groupBy("core").agg(F.count("*").alias("kinds"))
-    subs = stored(subs.join(several, "core").select("sub", "copies", "kinds", "one"), "suffix-cores")
-
-    def windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for anchor, ctx, at, data, js in zip(*(batch[c].to_pylist() for c in ("anchor", "ctx", "anchor_at", "bytes", "js"))):
-            far = at - (least - gram)
-            for j in js:
-                a, b = window_range(at, len(data), j)
-                rows += [(anchor, ctx, s, digest(anchor, s - far, data[s : s + least])) for s in range(a, b + 1)]
-        if rows:
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["anchor", "ctx", "s", "window"])
-
-    # One context for each kind of range in a core of several kinds says which windows it has.
-    open_ranges = subs.where("kinds > 1").select("one.*").groupBy("anchor", "ctx").agg(F.collect_list("j").alias("js"))
-    seen = stored(arrow_map(contexts.select("anchor", "ctx", "anchor_at", "bytes").join(open_ranges, ["anchor", "ctx"]), windows, "anchor long, ctx binary, s int, window binary"), "suffix-windows")
-    twice = seen.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    single = seen.join(twice, "window").groupBy("anchor", "ctx").agg(F.min("s").alias("lo"), (F.max("s") + least).alias("hi"))
-    copies = ranges.join(subs.where("copies > 1").select("sub"), "sub")
-    placed = copies.join(contexts.select("anchor", "ctx", "anchor_at", F.length("bytes").alias("size")), ["anchor", "ctx"])
-    first = F.greatest(F.lit(0), F.col("anchor_at") - (least - gram) + F.col("j") * RANGE)
-    last = F.least(F.col("size") - least, F.col("anchor_at") - (least - gram) + F.least(F.lit(starts), (F.col("j") + 1) * RANGE) - 1)
-    placed = placed.groupBy("anchor", "ctx").agg(F.min(first).alias("lo"), (F.max(last) + least).alias("hi"))
-    return single.unionByName(placed).groupBy("anchor", "ctx").agg(F.min("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi"))
+    def ranges_of(size: int, parent: int):
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for anchor, ctx, at, data, parents in zip(*(batch[c].to_pylist() for c in ("anchor", "ctx", "anchor_at", "bytes", "open"))):
+                far = at - (least - gram)
+                for p in parents:
+                    stop = min(starts, p + parent)
+                    for o in range(p, stop, size):
+                        end = min(stop, o + size) - 1
+                        a, b = max(0, far + o), min(len(data) - least, far + end)  # a document's edges clip a range
+                        if a <= b:
+                            core = data[far + end : far + o + least]
+                            rows.append((anchor, ctx, a, b, o, digest(anchor, o, core), digest(anchor, o, b"%d,%d:" % (a - far - o, b - a) + data[a : b + least])))
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["anchor", "ctx", "a", "b", "o", "core", "sub"])
+
+        return run
+
+    contexts = contexts.select("anchor", "ctx", "anchor_at", "bytes")
+    work, parent, found = contexts.withColumn("open", F.array(F.lit(0))), starts, None
+    for size in RANGES:
+        level = stored(arrow_map(work, ranges_of(size, parent), "anchor long, ctx binary, a int, b int, o int, core binary, sub binary"), "suffix-ranges")
+        subs = level.groupBy("core", "sub").agg(F.count("*").alias("copies"), F.min(F.struct("anchor", "ctx", "o")).alias("one"))
+        several = subs.groupBy("core").agg(F.count("*").alias("kinds"))
+        subs = stored(subs.join(several, "core").select("sub", "copies", "kinds", "one"), "suffix-cores")
+        placed = level.join(subs.where("copies > 1").select("sub"), "sub", "left_semi").groupBy("anchor", "ctx").agg(F.min("a").alias("lo"), (F.max("b") + least).alias("hi"))
+        found = placed if found is None else found.unionByName(placed)
+        again = subs.where("kinds > 1").select("one.*").groupBy("anchor", "ctx").agg(F.collect_list("o").alias("open"))
+        work, parent = contexts.join(again, ["anchor", "ctx"]), size
+    return found.groupBy("anchor", "ctx").agg(F.min("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi"))
 
 
 # ---- documents
@@ -307,7 +307,9 @@ def repeats(docs: DataFrame, least: int, gram: int, hot: int) -> DataFrame:
     kinds = kinds.where(F.col("one.size") >= least).join(numbers, "anchor")
     whole = kinds.where("n > 1").select("anchor", "ctx", F.lit(0).alias("lo"), F.col("one.size").alias("hi"))
 
-    asked = kinds.where("kinds > 1").select("anchor", "ctx", "n", "kinds", "one.*")
+    # An anchor of which every context has copies has nothing left to find.
+    unsettled = kinds.groupBy("anchor").agg(F.min("n").alias("least_n")).where("least_n = 1").select("anchor")
+    asked = kinds.where("kinds > 1").join(unsettled, "anchor").select("anchor", "ctx", "n", "kinds", "one.*")
     wanted = asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "ctx", "n", "kinds", "start", "size", "lead")).alias("all"))
     same_row = [long_docs["doc_id"].eqNullSafe(wanted["doc_id"]), long_docs["mark"] == wanted["mark"]]
     texts = long_docs.join(wanted, same_row).select(long_docs["doc_id"], long_docs["mark"], F.col("text").cast("binary").alias("text"), F.explode("all").alias("x"))
