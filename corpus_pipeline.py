@@ -1,12 +1,14 @@
 """The corpus pipeline: toxicity, near-duplicates, secrets, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of documents; the last returns tokens.
-Texts travel with their id and a hash of themselves, so that rows which share an id are told apart. Columns that documents do not have
-in common with the stages' own names pass through untouched.
+Texts travel with their id and a hash of themselves, so that rows which share an id are told apart. Columns that a stage does not use travel
+in one struct, so that none can have the name of one of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,24 @@ from tidemill.llm.common import stored, table
 MARK = "__mark"
 
 
+REST = "__rest"
+
+
+def using(*needed: str) -> Callable:
+    """A stage that sees the needed columns and a struct of all others, and gives back the columns that it got."""
+
+    def wrap(stage: Callable) -> Callable:
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+            seen = docs.select(*needed, (F.struct(*others) if others else F.lit(0)).alias(REST))
+            out = stage(spark, seen, sf_dir)
+            return out.select(*(F.col(c) if c in needed else F.col(REST).getField(c).alias(c) for c in docs.columns))
+
+        return run_stage
+
+    return wrap
+
+
 def marked(docs: DataFrame) -> DataFrame:
     return docs.withColumn(MARK, F.xxhash64("text"))
 
@@ -26,17 +46,20 @@ def by_row(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
     return docs.join(v, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(MARK) == F.col("__m")), how).drop("__id", "__m")
 
 
+@using("doc_id", "text")
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), keep_text=True)
     return scored.where("predicted = 0").select(*docs.columns)
 
 
+@using("doc_id", "text")
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.8 or more; rows that repeat id and text count once."""
     kept = minhash.near_duplicates(docs.select("doc_id", "text"), n=5, percent=80).where("kept").select("doc_id", "mark").distinct()
     return by_row(marked(docs), kept, "left_semi").dropDuplicates(["doc_id", MARK]).select(*docs.columns)
 
 
+@using("doc_id", "source", "text")
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Credentials that look live are replaced; widely copied examples stay."""
     scanned = secrets.scan(docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), "text")).drop("text")
@@ -46,6 +69,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return joined.withColumn("text", clean).select(*docs.columns)
 
 
+@using("doc_id", "source", "text")
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it; the one that the end of its source's budget falls into is taken whole."""
     rows = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))

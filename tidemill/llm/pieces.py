@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, stored, table
 
@@ -245,9 +246,7 @@ def tokens(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, text_col: st
             made["it"] = Lattice(*shared.value)
         return made["it"]
 
-    names = [f for f in docs.schema.fields]
-    keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
-    columns = [f.name for f in names]
+    columns = docs.columns
     giant = F.coalesce(F.length(text_col) > chunk, F.lit(False))
 
     def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -255,7 +254,7 @@ def tokens(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, text_col: st
         ids = [it.encode(t or "") for t in batch[text_col].to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int32())], names=[*columns, "ids", "chunks"])
 
-    plain = arrow_map(docs.where(~giant), whole, f"{keep}, ids binary, chunks int")
+    plain = arrow_map(docs.where(~giant), whole, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("chunks", T.IntegerType())]))
     large = docs.where(giant).withColumn("__mark", F.sha2(text_col, 256))
     texts = large.select("__mark", F.col(text_col).alias("text")).dropDuplicates(["__mark"])
 
@@ -302,7 +301,8 @@ def checked(encoded: DataFrame, model: str = MODEL, text_col: str = "text", with
     made: dict = {}
     names = [f for f in encoded.schema.fields if f.name not in (text_col, "ids")]
     columns = [f.name for f in names]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + (", ids array<int>" if with_ids else "")
+    more = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + (", ids array<int>" if with_ids else ""))
+    schema = T.StructType([*names, *more.fields])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         it = made.setdefault("it", None) or made.update(it=Lattice(*shared.value)) or made["it"]

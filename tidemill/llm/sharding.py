@@ -71,21 +71,30 @@ def assign(rows: DataFrame, leaves: DataFrame, first_depth: int) -> DataFrame:
     return joined.withColumn("__leaf", F.get(mine, F.lit(0))).drop("__head", "__head2", "__leaves")
 
 
+def with_buckets(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (bits, bytes and any others) with __leaf and its bits as text."""
+    narrow = stored(rows.select("bits", "bytes"), "shard-rows")
+    total = narrow.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    first = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))))
+    out = assign(rows, directory(narrow, limit, first), first)
+    bits = F.lpad(F.conv(F.col("__leaf.prefix").cast("string"), 10, 2), F.col("__leaf.depth"), "0")
+    return out.withColumn("__shard", F.when(F.col("__leaf.depth") == 0, F.lit("")).otherwise(bits))
+
+
 def shards(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, shard, depth, shard_bytes, shard_docs, oversized); shard: the bucket's bits as text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("bytes"), hash_bits(F.col(id_col), text).alias("bits")), "shard-rows")
-    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    first = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))))
-    out = assign(rows, directory(rows, limit, first), first)
-    bits = F.when(F.col("__leaf.depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("__leaf.prefix").cast("string"), 10, 2), F.col("__leaf.depth"), "0"))
-    return out.select("doc_id", F.col("bytes").alias("n_bytes"), bits.alias("shard"), F.col("__leaf.depth").alias("depth"), F.col("__leaf.bytes").alias("shard_bytes"), F.col("__leaf.docs").alias("shard_docs"), (F.col("__leaf.bytes") > limit).alias("oversized"))
+    out = with_buckets(rows, limit)
+    return out.select("doc_id", F.col("bytes").alias("n_bytes"), F.col("__shard").alias("shard"), F.col("__leaf.depth").alias("depth"), F.col("__leaf.bytes").alias("shard_bytes"), F.col("__leaf.docs").alias("shard_docs"), (F.col("__leaf.bytes") > limit).alias("oversized"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """The documents under path, a folder for each shard."""
-    by_id = shards(docs, limit).select("doc_id", "shard", hash_bits(F.col("doc_id")).alias("__spread")).distinct()
-    docs.join(by_id, "doc_id").drop("__spread").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The documents under path, a folder shard=b<bits> for each shard; a task writes whole shards, each of which fits the limit."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.octet_length(text).cast("long").alias("bytes"), hash_bits(F.col(id_col), text).alias("bits"))
+    out = with_buckets(rows, limit).select(F.concat(F.lit("b"), "__shard").alias("shard"), "__row.*")
+    out.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

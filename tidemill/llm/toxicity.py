@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textnp
 from .common import arrow_map, parts, stored, table
@@ -151,8 +152,7 @@ def with_evidence(docs: DataFrame, model: DataFrame, rest: float, model_rows: in
     """docs (with text) with e0, e1, e2, and without text unless keep_text is set. counted_as: the column with the class that a document was counted in."""
     names = [f for f in docs.schema.fields if keep_text or f.name != "text"]
     keep = [f.name for f in names]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names)
-    schema = f"{kept}, e0 double, e1 double, e2 double"
+    schema = T.StructType([*names, *(T.StructField(f"e{i}", T.DoubleType()) for i in range(3))])
 
     def scored(batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
         """keys: sorted hashes; values: their three ratios."""
