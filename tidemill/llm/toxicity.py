@@ -198,9 +198,9 @@ def with_evidence(docs: DataFrame, model: DataFrame, rest: float, model_rows: in
             values = np.array([(w["llr"], w["less_toxic"], w["less_other"]) for w in words], np.float32).reshape(-1, 3)[order]
             yield scored(one, keys[order], values)
 
-    marked = docs.withColumn("__words_of", F.sha2(F.coalesce("text", F.lit("")), 256))
+    marked = docs.withColumn("__words_of", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     texts = marked.select("__words_of", "text").dropDuplicates(["__words_of"])  # equal texts have equal words
-    words = arrow_map(texts, distinct, "mark string, hs array<bigint>").select("mark", F.explode("hs").alias("h"))
+    words = arrow_map(texts, distinct, "mark binary, hs array<bigint>").select("mark", F.explode("hs").alias("h"))
     by_text = words.join(model, "h").groupBy("mark").agg(F.collect_list(F.struct("h", "llr", "less_toxic", "less_other")).alias("__words"))
     return arrow_map(marked.join(by_text, F.col("__words_of") == F.col("mark"), "left"), joined, schema)
 
