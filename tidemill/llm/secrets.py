@@ -14,6 +14,8 @@ another keep a row each; no match gives zeros, the SHA-256 of nothing and an emp
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,5 +119,27 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), live.alias("n_live"))
 
 
+def _sql() -> str:
+    """The same in SQL. Its engine has no look-behind; leftmost greedy matches of runs begin where a run does all the same."""
+    quoted = lambda p: "'" + re.sub(r"\(\?<!.*?\]\)", "", p).replace("'", "''") + "'"
+    found = [(k, quoted(p), group) for k, p, group in zip(KINDS, (ASSIGN, ACCESS, HEX, BLOB), (1, 0, 0, 0))]
+    each = "\nUNION ALL ".join(f"SELECT rid, doc_id, source, '{k}' AS kind, {i} AS rank, regexp_extract_all(t, {p}, 0) AS hits, regexp_extract_all(t, {p}, {g}) AS vals, string_split_regex(t, {p}) AS gaps FROM d WHERE regexp_matches(t, {p})" for i, (k, p, g) in enumerate(found))
+    lengths = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    said = "kind || ':' || s || ':' || e"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({each}),
+u AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
+p AS (SELECT rid, doc_id, source, kind, rank, vals[i] AS v, hits[i] AS hit, ({lengths('gaps[1:i]')} + {lengths('hits[1:i-1]')})::BIGINT AS s FROM u),
+c AS (SELECT *, s + length(hit) AS e FROM p WHERE CASE kind WHEN 'assign' THEN length(v) >= {ASSIGN_LEAST} WHEN 'blob' THEN regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') ELSE true END),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) >= {EXAMPLE_OWNERS} OR count(DISTINCT coalesce(source, chr(0)) || chr(1) || coalesce(doc_id::VARCHAR, chr(0))) >= {EXAMPLE_REPOS} AS example FROM c GROUP BY v),
+j AS (SELECT c.*, o.example FROM c JOIN o ON c.v = o.v),
+k AS (SELECT * FROM j WHERE kind <> 'blob' OR (NOT example AND NOT EXISTS (SELECT 1 FROM j b WHERE b.rid = j.rid AND b.kind <> 'blob' AND b.s < j.e AND j.s < b.e))),
+g AS (SELECT rid, sum((kind = 'assign')::INTEGER)::BIGINT AS n_assign, sum((kind = 'access')::INTEGER)::BIGINT AS n_access, sum((kind = 'hex')::INTEGER)::BIGINT AS n_hex,
+  string_agg(CASE WHEN kind <> 'blob' THEN {said} END, ',' ORDER BY s, rank) AS base, string_agg({said}, ',' ORDER BY s, rank) AS spans, sum((NOT example)::INTEGER)::BIGINT AS n_live FROM k GROUP BY rid)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN g ON d.rid = g.rid
+"""
+
+
 QUERIES = {"op5_secrets": op5_secrets}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_secrets": _sql()}

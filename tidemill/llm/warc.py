@@ -200,5 +200,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_warc(spark, path)).drop("url")
 
 
+_GROUP = lambda i: f"('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT"
+_DIGEST = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_GROUP(i)} >> {5 * j}) & 31)::INTEGER + 1, 1)" for i in range(8) for j in (3, 2, 1, 0))
 QUERIES = {"op1_warc": op1_warc}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, {_DIGEST} AS payload_digest, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+}
