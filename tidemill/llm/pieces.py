@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -66,6 +66,21 @@ def read_model(path: str) -> tuple[list[str], list[int], list[int], bool]:
     return [p.piece for p in model.pieces], scores, kinds, model.normalizer_spec.add_dummy_prefix
 
 
+class Memory(dict):
+    """Words that were segmented before; it starts anew when it is full."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.make(word)
+        if len(word) <= 64:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[word] = out
+        return out
+
+
 class Lattice:
     """Segmentation with one vocabulary."""
 
@@ -73,7 +88,8 @@ class Lattice:
         self.prefix = MARK if prefix else ""
         known = [(p, i) for i, (p, k) in enumerate(zip(pieces, kinds)) if k in (1, 4) and p]
         self.ids = {p: (i, scores[i]) for p, i in known}
-        self.starts = {p[:n] for p, _ in known for n in range(1, len(p) + 1)}
+        self.table: dict[str, tuple[int, int] | None] = {p[:n]: None for p, _ in known for n in range(1, len(p))}  # None: only begins pieces
+        self.table.update(self.ids)
         self.reach = max(len(p) for p, _ in known)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 6}
         self.unknown = min(scores[i] for _, i in known) - UNKNOWN
@@ -85,58 +101,57 @@ class Lattice:
         a = re.escape(self.alone)
         self.words = re.compile(rf"{MARK}*[^{MARK}{a}]+|{MARK}+" + (f"|[{a}]" if a else "")) if not inside else re.compile(r"(?s).+")
         self.cuts = None if inside else re.compile(rf"(?<=[^{MARK}])(?={MARK})" + (f"|(?=[{a}])|(?<=[{a}])" if a else ""))
-        self.memory: dict[str, tuple[bytes, int]] = {}
+        self.code = [i.to_bytes(4, "little") for i in range(len(pieces))]
+        self.memory = Memory(self.segmented)
 
     def forward(self, text: str, best: list[int], back: list, upto: int) -> None:
         """Best scores of all ends of pieces that start before upto; back: (start, id) of the last piece. Earlier starts win ties."""
-        ids, starts, unknown = self.ids, self.starts, self.unknown
-        for i in range(min(upto, len(text))):
+        get, ids, reach, end = self.table.get, self.ids, self.reach, len(text)
+        for i in range(min(upto, end)):
             base = best[i]
             if base <= NEVER:
                 continue
             if text[i] not in ids:
-                s = base + unknown
+                s = base + self.unknown
                 if s > best[i + 1]:
                     best[i + 1], back[i + 1] = s, (i, -1)
-            for j in range(i + 1, min(i + self.reach, len(text)) + 1):
-                piece = text[i:j]
-                if piece not in starts:
+            for j in range(i + 1, (i + reach if i + reach < end else end) + 1):
+                hit = get(text[i:j], 0)
+                if hit == 0:
                     break
-                hit = ids.get(piece)
-                if hit is not None and (s := base + hit[1]) > best[j]:
-                    best[j], back[j] = s, (i, hit[0])
-
-    def spell(self, text: str, back: list, start: int, end: int) -> list[int]:
-        """The ids of the pieces from start to end."""
-        out: list[list[int]] = []
+                if hit is not None:
+                    s = base + hit[1]
+                    if s > best[j]:
+                        best[j], back[j] = s, (i, hit[0])
+
+    def spell(self, text: str, back: list, start: int, end: int) -> bytes:
+        """The ids of the pieces from start to end, as little-endian 32-bit numbers."""
+        out: list[bytes] = []
+        code = self.code
         while end > start:
             i, piece = back[end]
             if piece >= 0:
-                out.append([piece])
+                out.append(code[piece])
             else:
-                out.append([self.bytes[b] for b in text[i:end].encode()] if self.bytes else [self.unknown_id])
+                out.append(b"".join(code[self.bytes[b]] for b in text[i:end].encode()) if self.bytes else code[self.unknown_id])
             end = i
-        return [x for part in reversed(out) for x in part]
+        out.reverse()
+        return b"".join(out)
 
-    def word(self, text: str) -> tuple[bytes, int]:
+    def scored(self, text: str) -> tuple[bytes, int]:
         """Ids (as little-endian 32-bit numbers) and score of a word."""
-        hit = self.memory.get(text)
-        if hit is None:
-            best, back = [0] + [NEVER] * len(text), [None] * (len(text) + 1)
-            self.forward(text, best, back, len(text))
-            hit = (np.array(self.spell(text, back, 0, len(text)), "<i4").tobytes(), best[-1])
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            if len(text) <= 64:
-                self.memory[text] = hit
-        return hit
+        best, back = [0] + [NEVER] * len(text), [None] * (len(text) + 1)
+        self.forward(text, best, back, len(text))
+        return self.spell(text, back, 0, len(text)), best[-1]
+
+    def segmented(self, text: str) -> bytes:
+        return self.scored(text)[0]
 
     def normal(self, text: str) -> str:
         return self.prefix + text.replace(" ", MARK) if text else ""
 
     def encode(self, text: str) -> bytes:
-        word = self.word
-        return b"".join([word(w)[0] for w in self.words.findall(self.normal(text))])
+        return b"".join(map(self.memory.__getitem__, self.words.findall(self.normal(text))))
 
     def decode(self, ids: np.ndarray) -> str:
         spelled = self.spelled
@@ -176,7 +191,7 @@ class Lattice:
             best[i] = 0
             self.forward(text[:a], best, [None] * (a + 1), a)
             head[i] = best[a]
-        middle = sum(self.word(w)[1] for w in self.words.findall(text[a:b]))
+        middle = sum(self.scored(w)[1] for w in self.words.findall(text[a:b]))
         rest = text[b:]
         best = [0] + [NEVER] * len(rest)
         self.forward(rest, best, [None] * (len(rest) + 1), size - b)
@@ -196,17 +211,17 @@ class Lattice:
                 return b""
             best[enter] = 0
             self.forward(text, best, back, size)
-            return np.array(self.spell(text, back, enter, size + leave), "<i4").tobytes()
+            return self.spell(text, back, enter, size + leave)
         a, b = found
         best, back = [NEVER] * (a + 1), [None] * (a + 1)
         best[enter] = 0
         self.forward(text[:a], best, back, a)
-        out = [np.array(self.spell(text, back, enter, a), "<i4").tobytes()]
-        out += [self.word(w)[0] for w in self.words.findall(text[a:b])]
+        out = [self.spell(text, back, enter, a)]
+        out += map(self.memory.__getitem__, self.words.findall(text[a:b]))
         rest = text[b:]
         best, back = [0] + [NEVER] * len(rest), [None] * (len(rest) + 1)
         self.forward(rest, best, back, size - b)
-        out.append(np.array(self.spell(rest, back, 0, size - b + leave), "<i4").tobytes())
+        out.append(self.spell(rest, back, 0, size - b + leave))
         return b"".join(out)
 
 
