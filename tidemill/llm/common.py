@@ -89,7 +89,7 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-PART_BYTES = 2_000_000
+PART_BYTES = 600_000
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -41,7 +41,7 @@ SCALE = 1000
 MANDELBROT = 2.7
 NEVER = -(1 << 60)
 #: Words that a task remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 @lru_cache(4)
