@@ -16,9 +16,10 @@ R = Registry()
 # ---- the collections, for both engines
 Z_SQL = "z AS (SELECT event_type AS key, user_id AS member, round(sum(value), 2) AS score FROM events GROUP BY 1, 2)"
 H_SQL = "h AS (SELECT user_id AS key, event_type AS field, round(sum(value), 2) AS value FROM events GROUP BY 1, 2)"
-S_SQL = "s AS (SELECT DISTINCT event_type AS key, user_id AS member FROM events)"
+S_SQL = "s AS (SELECT DISTINCT o_orderpriority AS key, o_custkey AS member FROM orders)"
 L_SQL = "l AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS value, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 B_SQL = "b AS (SELECT event_type AS key, bit_or(1::UBIGINT << (event_id % 64)::INTEGER) AS v FROM events GROUP BY 1)"
+PRIORITIES_SQL = "t AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM (SELECT DISTINCT o_orderpriority AS k FROM orders))"
 KINDS_SQL = "t AS (SELECT event_type AS k, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events))"
 
 
@@ -31,7 +32,7 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sets(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("member")).distinct()
+    return load(spark, d, "orders").select(F.col("o_orderpriority").alias("key"), F.col("o_custkey").alias("member")).distinct()
 
 
 def lists(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +50,11 @@ def kinds(spark: SparkSession, d: str) -> list[str]:
     return [r[0] for r in load(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]
 
 
+def priorities(spark: SparkSession, d: str) -> list[str]:
+    """The keys of the sets: a handful of names as well."""
+    return [r[0] for r in load(spark, d, "orders").select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
+
+
 def customers(spark: SparkSession, d: str) -> DataFrame:
     return kv(load(spark, d, "customer"), "c_custkey", "c_name")
 
@@ -87,13 +93,13 @@ def kv_incr_fold(s: SparkSession, d: str) -> DataFrame:
 
 R.frame("kv_strlen", f"SELECT key, strlen(value)::INTEGER AS n FROM ({KV_SQL})")(lambda s, d: customers(s, d).select("key", k.strlen(F.col("value")).alias("n")))
 R.frame("kv_getrange", f"SELECT key, substring(value, 10, 4) AS a, right(value, 3) AS b FROM ({KV_SQL})")(lambda s, d: customers(s, d).select("key", k.getrange(F.col("value"), 9, 12).alias("a"), k.getrange(F.col("value"), -3, -1).alias("b")))
-R.frame("kv_upsert", f"SELECT key, CASE WHEN key::BIGINT % 10 = 0 THEN 'new' ELSE value END AS value FROM ({KV_SQL}) UNION ALL SELECT 'extra', 'new'")(
-    lambda s, d: k.put(customers(s, d), customers(s, d).where(F.col("key").cast("long") % 10 == 0).select("key", F.lit("new").alias("value")).unionByName(values(s, [("extra", "new")], "key string, value string")))
+R.frame("kv_upsert", "SELECT c_custkey::VARCHAR AS key, CASE WHEN c_acctbal < 0 THEN 'new' ELSE c_name END AS value FROM customer UNION ALL SELECT 'extra', 'new'")(
+    lambda s, d: k.put(customers(s, d), kv(load(s, d, "customer").where("c_acctbal < 0").withColumn("v", F.lit("new")), "c_custkey", "v").unionByName(values(s, [("extra", "new")], "key string, value string")))
 )
 
 # ---- hashes
-R.frame("hash_hmget", f"WITH {H_SQL}, {KINDS_SQL}, a AS (SELECT u.user_id AS key, t.k AS field FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 40) u, t) SELECT a.key, a.field, h.value FROM a LEFT JOIN h ON a.key = h.key AND a.field = h.field")(
-    lambda s, d: c.hmget(hashes(s, d), load(s, d, "events").where("user_id < 40").select(F.col("user_id").alias("key")).distinct().select("key", F.explode(F.array(*map(F.lit, kinds(s, d)))).alias("field")))
+R.frame("hash_hmget", f"WITH {H_SQL}, {KINDS_SQL}, a AS (SELECT u.user_id AS key, t.k AS field FROM (SELECT DISTINCT user_id FROM events) u, t) SELECT a.key, a.field, h.value FROM a LEFT JOIN h ON a.key = h.key AND a.field = h.field")(
+    lambda s, d: c.hmget(hashes(s, d), load(s, d, "events").select(F.col("user_id").alias("key")).distinct().select("key", F.explode(F.array(*map(F.lit, kinds(s, d)))).alias("field")))
 )
 R.frame("hash_getall", f"WITH {H_SQL} SELECT key, string_agg(field || '=' || round(value * 100)::BIGINT, ',' ORDER BY field) AS entries FROM h GROUP BY key")(
     lambda s, d: c.hgetall(hashes(s, d)).select("key", F.array_join(F.transform("entries", lambda e: F.concat(e["field"], F.lit("="), F.round(e["value"] * 100).cast("long").cast("string"))), ",").alias("entries"))
@@ -110,31 +116,23 @@ R.frame("hash_as_row", "SELECT 'nation:' || n_nationkey AS key, n_name, n_region
 
 # ---- sets
 def two(s: SparkSession, d: str) -> list[str]:
-    return kinds(s, d)[:2]
-
-
-_M = lambda i: f"(SELECT member FROM s JOIN t ON s.key = t.k WHERE t.i = {i} AND member % {i + 1} = 0)"
-
-
-def thinned(s: SparkSession, d: str) -> DataFrame:
-    """The sets of the first two kinds, each with some members only, so that they differ."""
-    a, b = two(s, d)
-    return sets(s, d).where(((F.col("key") == a) & (F.col("member") % 2 == 0)) | ((F.col("key") == b) & (F.col("member") % 3 == 0)))
+    return priorities(s, d)[:2]
 
 
-_SETS = f"WITH {S_SQL}, {KINDS_SQL}"
-R.frame("sets_inter", f"{_SETS} SELECT * FROM {_M(1)} INTERSECT SELECT * FROM {_M(2)}")(lambda s, d: c.sinter(thinned(s, d), two(s, d)))
-R.frame("sets_union", f"{_SETS} SELECT * FROM {_M(1)} UNION SELECT * FROM {_M(2)}")(lambda s, d: c.sunion(thinned(s, d), two(s, d)))
-R.frame("sets_diff", f"{_SETS} SELECT * FROM {_M(1)} EXCEPT SELECT * FROM {_M(2)}")(lambda s, d: c.sdiff(thinned(s, d), two(s, d)))
-R.frame("sets_intercard", f"{_SETS} SELECT least(count(*), 20) AS n FROM (SELECT * FROM {_M(1)} INTERSECT SELECT * FROM {_M(2)})")(lambda s, d: c.sintercard(thinned(s, d), two(s, d), 20))
-R.frame("sets_store", f"{_SETS}, b AS (SELECT k FROM t WHERE i = 2) SELECT t.k AS key, member FROM (SELECT * FROM {_M(1)} INTERSECT SELECT * FROM {_M(2)}) x, t WHERE t.i = 1 UNION ALL SELECT b.k AS key, member FROM {_M(2)} y, b")(
-    lambda s, d: c.sstore(thinned(s, d), two(s, d)[0], c.sinter(thinned(s, d), two(s, d)))
+_M = lambda i: f"(SELECT member FROM s JOIN t ON s.key = t.k WHERE t.i = {i})"
+_SETS = f"WITH {S_SQL}, {PRIORITIES_SQL}"
+R.frame("sets_inter", f"{_SETS} SELECT * FROM {_M(1)} INTERSECT SELECT * FROM {_M(2)}")(lambda s, d: c.sinter(sets(s, d), two(s, d)))
+R.frame("sets_union", f"{_SETS} SELECT * FROM {_M(1)} UNION SELECT * FROM {_M(2)}")(lambda s, d: c.sunion(sets(s, d), two(s, d)))
+R.frame("sets_diff", f"{_SETS} SELECT * FROM {_M(1)} EXCEPT SELECT * FROM {_M(2)}")(lambda s, d: c.sdiff(sets(s, d), two(s, d)))
+R.frame("sets_intercard", f"{_SETS} SELECT least(count(*), 20) AS n FROM (SELECT * FROM {_M(1)} INTERSECT SELECT * FROM {_M(2)})")(lambda s, d: c.sintercard(sets(s, d), two(s, d), 20))
+R.frame("sets_store", f"{_SETS}, x AS (SELECT * FROM {_M(1)} INTERSECT SELECT * FROM {_M(2)}) SELECT t.k AS key, x.member FROM x, t WHERE t.i = 1 UNION ALL SELECT s.key, s.member FROM s JOIN t ON s.key = t.k WHERE t.i > 1")(
+    lambda s, d: c.sstore(sets(s, d), two(s, d)[0], c.sinter(sets(s, d), two(s, d)))
 )
-R.frame("set_ismember", f"{_SETS}, a AS (SELECT t.k AS key, g.m AS member FROM t, (SELECT unnest(generate_series(1, 60))::BIGINT AS m) g) SELECT a.key, a.member, s.member IS NOT NULL AS is_member FROM a LEFT JOIN s ON a.key = s.key AND a.member = s.member")(
-    lambda s, d: c.sismember(sets(s, d), s.range(1, 61).select(F.explode(F.array(*map(F.lit, kinds(s, d)))).alias("key"), F.col("id").alias("member")))
+R.frame("set_ismember", f"{_SETS}, a AS (SELECT t.k AS key, c_custkey AS member FROM t, customer) SELECT a.key, a.member, s.member IS NOT NULL AS is_member FROM a LEFT JOIN s ON a.key = s.key AND a.member = s.member")(
+    lambda s, d: c.sismember(sets(s, d), load(s, d, "customer").select(F.explode(F.array(*map(F.lit, priorities(s, d)))).alias("key"), F.col("c_custkey").alias("member")))
 )
 R.frame("set_card", f"WITH {S_SQL} SELECT key, count(*) AS n FROM s GROUP BY key")(lambda s, d: c.scard(sets(s, d)))
-R.frame("set_members", f"WITH {S_SQL} SELECT member FROM s, (SELECT min(key) AS k FROM s) m WHERE s.key = m.k")(lambda s, d: c.members_of(sets(s, d), kinds(s, d)[0]))
+R.frame("set_members", f"WITH {S_SQL} SELECT member FROM s, (SELECT min(key) AS k FROM s) m WHERE s.key = m.k")(lambda s, d: c.members_of(sets(s, d), priorities(s, d)[0]))
 R.frame("set_take_n", f"WITH {S_SQL} SELECT key, member FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS r FROM s) WHERE r <= 7")(lambda s, d: c.stake(sets(s, d), -7))
 
 # ---- lists
@@ -154,8 +152,8 @@ R.frame("list_set", f"WITH {L_SQL} SELECT key, pos, CASE WHEN pos = n - 1 THEN '
 
 # ---- sorted sets
 R.frame("zset_incr", f"WITH {Z_SQL} SELECT key, member, round(score + 1.5, 2) AS score FROM z")(lambda s, d: c.zincr(zset(s, d), zset(s, d).select("key", "member", F.lit(1.5).alias("delta"))).withColumn("score", F.round("score", 2)))
-R.frame("zset_mscore", f"WITH {Z_SQL}, {KINDS_SQL}, a AS (SELECT t.k AS key, g.m AS member FROM t, (SELECT unnest(generate_series(1, 60))::BIGINT AS m) g) SELECT a.key, a.member, z.score FROM a LEFT JOIN z ON a.key = z.key AND a.member = z.member")(
-    lambda s, d: c.zmscore(zset(s, d), s.range(1, 61).select(F.explode(F.array(*map(F.lit, kinds(s, d)))).alias("key"), F.col("id").alias("member")))
+R.frame("zset_mscore", f"WITH {Z_SQL}, {KINDS_SQL}, a AS (SELECT t.k AS key, c_custkey AS member FROM t, customer) SELECT a.key, a.member, z.score FROM a LEFT JOIN z ON a.key = z.key AND a.member = z.member")(
+    lambda s, d: c.zmscore(zset(s, d), load(s, d, "customer").select(F.explode(F.array(*map(F.lit, kinds(s, d)))).alias("key"), F.col("c_custkey").alias("member")))
 )
 _P = f"WITH {Z_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS up, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS down, count(*) OVER (PARTITION BY key) AS n FROM z)"
 R.frame("zset_range", f"{_P} SELECT key, member, score, up AS rank FROM p WHERE up >= 2 AND up <= n - 3")(lambda s, d: c.zrange(zset(s, d), 2, -3))
@@ -179,7 +177,7 @@ def _squash_sql(x: str) -> str:
     return "(" + " | ".join(f"((({x} >> {2 * i}) & 1) << {i})" for i in range(geo.STEPS)) + ")"
 
 
-_CELLS = f"g AS (SELECT c_custkey, floor(({LON} + 180.0) / 360.0 * {1 << geo.STEPS})::BIGINT AS x, floor(({LAT} + {geo.MAX_LAT}) / {2 * geo.MAX_LAT} * {1 << geo.STEPS})::BIGINT AS y FROM customer WHERE c_custkey % 170 > 0)"
+_CELLS = f"g AS (SELECT c_custkey, floor(({LON} + 180.0) / 360.0 * {1 << geo.STEPS})::BIGINT AS x, floor(({LAT} + {geo.MAX_LAT}) / {2 * geo.MAX_LAT} * {1 << geo.STEPS})::BIGINT AS y FROM customer)"
 _CODES = f"e AS (SELECT c_custkey, {_spread_sql('x')} | ({_spread_sql('y')} << 1) AS code FROM g)"
 _BACK = f"p AS (SELECT c_custkey, ({_squash_sql('code')} + 0.5::DOUBLE) / {1 << geo.STEPS}::DOUBLE * 360 - 180 AS lon, ({_squash_sql('(code >> 1)')} + 0.5::DOUBLE) / {1 << geo.STEPS}::DOUBLE * {2 * geo.MAX_LAT}::DOUBLE - {geo.MAX_LAT}::DOUBLE AS lat FROM e)"
 
@@ -190,7 +188,7 @@ def _hav(lon: str, lat: str) -> str:
 
 def points(s: SparkSession, d: str) -> DataFrame:
     lon, lat = F.col("c_custkey") % 360 - 180 + 0.5, F.col("c_custkey") % 170 - 85 + 0.5
-    return load(s, d, "customer").where("c_custkey % 170 > 0").select(F.col("c_custkey").alias("member"), geo.encode(lon, lat).alias("code"))
+    return load(s, d, "customer").select(F.col("c_custkey").alias("member"), geo.encode(lon, lat).alias("code"))
 
 
 R.frame("geo_encode", f"WITH {_CELLS}, {_CODES} SELECT c_custkey AS member, code FROM e")(points)

@@ -72,7 +72,7 @@ R.frame("system_exists")(lambda s, d: engine(s, d).sql("SELECT EXISTS (SELECT 1
 
 # ---- beyond the dialect
 R.sql("union_all", "SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey AS k FROM supplier")
-R.sql("except_distinct", "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0")
+R.sql("except_distinct", "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0")
 R.sql("window_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders", "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey))::INTEGER AS r FROM orders")
 R.sql("like_infix", "SELECT p_partkey FROM part WHERE p_type LIKE '%A%' AND p_name NOT LIKE '_x%'")
 

@@ -73,8 +73,8 @@ R.sql("join_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (
 R.sql("join_right", "SELECT o.o_orderkey, c.c_custkey FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000) o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey")
 R.sql(
     "join_full",
-    """SELECT c.c_custkey, o.o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) c
-    FULL JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 50) o ON c.c_custkey = o.o_custkey""",
+    """SELECT c.c_custkey, o.o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c
+    FULL JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 200000) o ON c.c_custkey = o.o_custkey""",
 )
 R.sql("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
 R.sql(
