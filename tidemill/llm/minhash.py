@@ -204,11 +204,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = stored(classes.select("fp", F.col("r.doc_id").alias("node"), F.col("r.mark").alias("mark"), "bands", "sig", "rows"), "minhash-classes")
 
     banded = classes.select("node", F.explode("bands").alias("h")).distinct()
-    shared = banded.groupBy("h").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    # Sums are stored before they are joined back, so that the joins have exchanges of their own, of which adaptive execution can split hot buckets.
+    shared = stored(banded.groupBy("h").agg(F.count("*").alias("cnt")).where("cnt > 1"), "minhash-shared")
     members = stored(banded.join(shared, "h"), "minhash-buckets")
     degree = members.groupBy("node").agg(F.sum("cnt").alias("degree"))
     hubs = members.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", (-F.col("node")).alias("neg")))["neg"].alias("neg"))
-    hubs = hubs.select("h", (-F.col("neg")).alias("hub"))
+    hubs = stored(hubs.select("h", (-F.col("neg")).alias("hub")), "minhash-hubs")
     pairs = members.join(hubs, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     sigs = classes.select("node", "sig")
     pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")

@@ -299,7 +299,8 @@ def repeats(docs: DataFrame, least: int, gram: int, hot: int) -> DataFrame:
     """(doc_id, mark, spans) of every row of docs (doc_id, mark, text) that has repeated windows; spans may overlap."""
     long_docs = docs.where(F.octet_length("text") >= least)
     found = stored(anchor_rows(long_docs, least, gram), "suffix-anchors")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Stored, so that the join has exchanges of its own, of which adaptive execution can split the one with a hot anchor.
+    twice = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-twice")
     found = stored(found.join(twice, "anchor"), "suffix-repeated")
     kinds = found.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start", "size", "lead")).alias("one"))
     kinds = stored(kinds, "suffix-contexts")
