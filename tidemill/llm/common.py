@@ -19,8 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_PARTS = 1000
 
 
+#: Rows in an Arrow batch, unless the session says otherwise: ten thousand long texts would be too much for a worker at once.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, unless PYTHONPATH names its folder for all."""
+    """Sends this package's code to the executors, unless PYTHONPATH names its folder for all; and sees to smaller Arrow batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, context = Path(__file__).resolve().parents[2], spark.sparkContext
     if getattr(context, "_tidemill_shipped", False) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
