@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with a unigram lattice, giant texts by a max-plus parallel scan.
 
 A text is cut at places that no piece crosses (before a space mark that follows another character, around characters that no piece has), so
-each word between two such places is segmented alone, once per task for all its occurrences.
+each word between two such places is segmented alone, for all its occurrences in a batch. The library's own lattice search does that, reading the
+same pieces with the same integer scores; in its 32-bit floats their sums over a word are exact.
 
 Giant texts are cut into chunks of CHUNK characters anywhere. A chunk's boundary states are how far a piece of the chunk before reaches into
 it; its transfer matrix has the best score from each state at its start to each state at its end. The max-plus product is
@@ -11,7 +12,7 @@ without safe places (one giant word) pays for all states.
 
 Scores are integers (thousandths of a log-probability), so sums do not depend on their order. A vocabulary of the merge type has ranks in
 the place of scores; its pieces get the Zipf-Mandelbrot probability of their rank. A character without a piece costs UNKNOWN more than the
-worst piece and is spelled in byte pieces.
+worst piece, as in the library, and is spelled in byte pieces.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; a literal space mark decodes as a space, as the format has
 it; of equally good segmentations, the one whose pieces are longest at the earliest ends within a chunk; equal texts, equal tokens.
@@ -36,17 +37,17 @@ from .common import arrow_map, stored, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CHUNK = 32_768
-UNKNOWN = 10_000
+UNKNOWN = 10
 SCALE = 1000
 MANDELBROT = 2.7
 NEVER = -(1 << 60)
 #: Words that a task remembers.
-MEMORY = 150_000
+MEMORY = 200_000
 
 
 @lru_cache(4)
-def read_model(path: str) -> tuple[list[str], list[int], list[int], bool]:
-    """Pieces, integer scores, kinds (1: normal, 4: user-defined, 6: byte), whether a space mark goes before a text. On the driver."""
+def read_model(path: str) -> tuple[list[str], list[int], list[int], bool, bytes]:
+    """Pieces, integer scores, kinds (1: normal, 4: user-defined, 6: byte), whether a space mark goes before a text, and a model of words. On the driver."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     model = pb.ModelProto()
@@ -63,7 +64,11 @@ def read_model(path: str) -> tuple[list[str], list[int], list[int], bool]:
         scores = [0] * len(kinds)
         for r, i in enumerate(order):
             scores[i] = -round(SCALE * math.log((r + MANDELBROT) * total))
-    return [p.piece for p in model.pieces], scores, kinds, model.normalizer_spec.add_dummy_prefix
+    prefix = model.normalizer_spec.add_dummy_prefix
+    model.trainer_spec.model_type, model.normalizer_spec.add_dummy_prefix = 1, False
+    for p, s in zip(model.pieces, scores):
+        p.score = float(s)
+    return [p.piece for p in model.pieces], scores, kinds, prefix, model.SerializeToString()
 
 
 class Memory(dict):
@@ -84,7 +89,12 @@ class Memory(dict):
 class Lattice:
     """Segmentation with one vocabulary."""
 
-    def __init__(self, pieces: list[str], scores: list[int], kinds: list[int], prefix: bool) -> None:
+    def __init__(self, pieces: list[str], scores: list[int], kinds: list[int], prefix: bool, model: bytes | None = None) -> None:
+        self.library = None
+        if model is not None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.prefix = MARK if prefix else ""
         known = [(p, i) for i, (p, k) in enumerate(zip(pieces, kinds)) if k in (1, 4) and p]
         self.ids = {p: (i, scores[i]) for p, i in known}
@@ -147,6 +157,23 @@ class Lattice:
     def segmented(self, text: str) -> bytes:
         return self.scored(text)[0]
 
+    def learn(self, words: set[str]) -> None:
+        """Segments the words of a batch that are not known yet, all at once."""
+        new = [w for w in words if w not in self.memory]
+        if self.library is None or not new:
+            return
+        if len(self.memory) + len(new) > MEMORY:
+            self.memory.clear()
+            new = list(words)
+        code = self.code
+        self.memory.update(zip(new, (b"".join([code[i] for i in ids]) for ids in self.library.encode(new, num_threads=1))))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        words = [self.words.findall(self.normal(t)) for t in texts]
+        self.learn(set().union(*words))
+        get = self.memory.__getitem__
+        return [b"".join(map(get, w)) for w in words]
+
     def normal(self, text: str) -> str:
         return self.prefix + text.replace(" ", MARK) if text else ""
 
@@ -266,7 +293,7 @@ def tokens(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, text_col: st
 
     def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         it = lattice()
-        ids = [it.encode(t or "") for t in batch[text_col].to_pylist()]
+        ids = it.encode_all([t or "" for t in batch[text_col].to_pylist()])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array([1] * len(ids), pa.int32())], names=[*columns, "ids", "chunks"])
 
     plain = arrow_map(docs.where(~giant), whole, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("chunks", T.IntegerType())]))
