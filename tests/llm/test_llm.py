@@ -13,7 +13,7 @@ import pytest
 
 import corpus_pipeline
 from tidemill.llm import components, media, minhash, mixing, pieces, registry, secrets, sharding, suffix, textnp, topk, toxicity, warc
-from tidemill.llm.common import new_path
+from tidemill.llm.common import new_path, stored
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -476,6 +476,26 @@ def test_toxicity_edges(spark, edge):
     assert len(rows) == len(docs_of(spark, edge)) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def test_toxicity_counts_every_preceding_word(spark):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [(" ".join(f"w{rng.randrange(300)} hub" if rng.random() < 0.5 else f"w{rng.randrange(300)}" for _ in range(60)), i % 3 and i % 2) for i in range(60)]
+    rows = spark.createDataFrame([(t, c, False) for t, c in texts], "text string, __toxic int, __sampled boolean").repartition(5)
+    chunks = stored(toxicity.chunked(rows), "chunks")
+    assert chunks.count() > 1
+    got = {r["h"]: r for r in toxicity.counted(chunks, 4)[1].collect()}
+    pairs = Counter((v, w, c) for t, c in texts for v, w in zip(["", *t.split()], t.split()))
+    words = sorted({w for _, w, _ in pairs})
+    assert len({v for v, w, _ in pairs if w == "hub"}) > 200
+    hashes = textnp.lower_word_hashes(*textnp.bytes_of(pa.array(words)))[0].view("int64").tolist()
+    for w, h in zip(words, hashes):
+        assert got[h]["k"] == len({v for v, x, _ in pairs if x == w})
+        assert got[h]["n_toxic"] == sum(n for (_, x, c), n in pairs.items() if x == w and c == 1)
+        assert got[h]["types_other"] == len({x for v, x, c in pairs if v == w and c == 0})
+        assert got[h]["after_other"] == sum(n for (v, _, c), n in pairs.items() if v == w and c == 0)
+
+
 def test_word_hashes():
     import pyarrow as pa
 

@@ -1,21 +1,24 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional Kneser-Ney bigram models.
 
-Each class c (toxic, ordinary) has a model of the words of its documents, each word counted once a document. A word backs off to its stem (its
-first STEM bytes), so that rare inflections share what is known of them, and a stem to the contexts that both classes share:
+Each class c (toxic, ordinary) has an interpolated model of the words of its documents, over all tokens. v is the word before w, or the start of the
+text. A bigram backs off to its word, a word to its stem (its first STEM bytes), so that rare inflections share what is known of them, and a stem
+to continuation counts, which both classes share:
 
-    P_c(w) = max(n_c(w) - D, 0) / N_c + lambda_c * Q_c(stem) * S(w | stem),   lambda_c = D * |{w : n_c(w) > 0}| / N_c
-    Q_c(s) = max(m_c(s) - D, 0) / M_c + mu_c * P(s),                          mu_c = D * |{s : m_c(s) > 0}| / M_c,   D = 1
+    P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v .) + D * |{u : n_c(v u) > 0}| / n_c(v .) * P_c(w)    (P_c(w) where the class has no v)
+    P_c(w)     = max(n_c(w) - D', 0) / N_c + D' * |{u : n_c(u) > 0}| / N_c * Q_c(stem) * k(w) / k(stem)
+    Q_c(s)     = max(m_c(s) - D'', 0) / N_c + D'' * |{s : m_c(s) > 0}| / N_c * k(s) / K
 
-P(s) is proportional to the number of different contexts before a stem, and S to those before a word, over both classes. A context is one of
-64 classes of preceding words (by hash), so contexts are one long that partial aggregation can OR together. With D = 1 a word that one
-document alone has is left to the backoff, and so costs no row of the model.
+k(w) is the exact number of different (preceding word, w), over both classes; k(s) its sum over the words of s, and K over all. Each discount is that
+of its class and order, n1 / (n1 + 2 n2) from the numbers of its types seen once and twice (HALF where one of them is 0), so it is below 1.
 
-A document's evidence is its length-normalised log-likelihood ratio: over the whole text, over its best window of WINDOW words, and over
-its best single word. A logistic curve over these three is fitted on a bounded sample of SAMPLE labelled rows, for each of which the counts are taken
-without the document itself.
+The counts grow with the corpus. Documents are packed in chunks of about CHUNK tokens. A chunk sends each distinct bigram once to a bucket, which
+sums its counts over all chunks and sends back the sums alone, in the order in which the chunk can list its bigrams again; so no table
+of bigrams is joined or broadcast. The number of buckets grows with that of the chunks. The counts of words and stems are broadcast only while
+they have at most MODEL_ROWS rows, which is checked; beyond, the words of each chunk are joined with them.
 
-The counts cover every labelled row and grow with the corpus. Their table is broadcast only while it has at most MODEL_ROWS rows, which is
-checked; beyond, the words of each document are joined with it.
+A document's evidence is its length-normalised log-likelihood ratio: over the whole text, over its best window of WINDOW words, and over
+its best single word, each by P_c(w | v) and by P_c(w), as single bigrams are much rarer than words. A logistic curve over these six is fitted on a
+bounded sample of SAMPLE labelled rows, for each of which the counts are taken without the document itself.
 
 Defined results: a null or wordless text has no evidence (all ratios 0); a null id is held out of training; a label counts if any row
 of its id has it; rows that repeat others get equal scores; without both classes among the labels, every score is the share of toxic ones.
@@ -32,14 +35,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnp
-from .common import arrow_map, parts, stored, table
+from .common import discard, parts, stored, table
 
 STEM = 5
 WINDOW = 8
 SAMPLE = 20_000
 MODEL_ROWS = 4_000_000
-#: Words that a task gathers before it hands them on.
-GATHER = 1_000_000
+#: Tokens of a chunk, about.
+CHUNK = 500_000
+HALF = 0.5
+#: Ratios of a document: three by bigrams, three by words alone.
+RATIOS = 6
+U64 = np.uint64
+#: Of a word or a stem: its tokens by class, its different contexts; and as a context: tokens after it by class, types after it by class.
+NUMBERS = ("n_toxic", "n_other", "k", "after_toxic", "after_other", "types_toxic", "types_other")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -47,88 +56,179 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def contexts(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The class of the word before each word as one bit; the start of a text is a context as well."""
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[row[:-1][row[:-1] < row[1:]]] = 0
-    return np.uint64(1) << (textnp.mixed(before) & np.uint64(63))
+def packed(a: np.ndarray) -> bytes:
+    """Non-negative integers in the narrowest type that holds them, with the size of that type in front."""
+    top = int(a.max()) if len(a) else 0
+    size = next(s for s in (1, 2, 4, 8) if top < 1 << 8 * s)
+    return bytes([size]) + a.astype(f"<u{size}").tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1)
+
 
+class Bigrams:
+    """The tokens of a chunk's texts, and its distinct bigrams in order of bucket, word and preceding word."""
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(h, stem, n_toxic, n_other, contexts) of all words, and of all stems with a null stem; rows: (text, toxic)."""
+    def __init__(self, texts: pa.Array, bits: int):
+        self.hashes, stems, self.row = textnp.lower_words_and_stems(*textnp.bytes_of(texts), STEM)
+        self.doc = np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
+        self.words, first, self.word = np.unique(self.hashes, return_index=True, return_inverse=True)
+        self.stems = stems[first]
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[self.row[:-1][self.row[:-1] < self.row[1:]]] = -1
+        n = len(self.words) + 1
+        code, of = np.unique(self.word * n + before + 1, return_inverse=True)
+        w, v = code // n, code % n
+        self.contexts = np.concatenate((np.zeros(1, U64), self.words))  # the start of a text is 0
+        v_bits = max(1, bits // 4)
+        bucket = ((self.words[w] >> U64(64 - bits + v_bits)) << U64(v_bits)) | (self.contexts[v] >> U64(64 - v_bits))
+        order = np.argsort(bucket, kind="stable")
+        self.w, self.v, self.bucket = w[order], v[order], bucket[order].astype(np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.token = place[of]  # the bigram of each token
 
-    def merged(pieces: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        h, s, k, t, o, c = (np.concatenate(x) for x in zip(*pieces))
-        order = np.argsort(h, kind="stable")
-        h, s, k, t, o, c = (x[order] for x in (h, s, k, t, o, c))
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        return h[first], s[first], k[first], np.add.reduceat(t, first), np.add.reduceat(o, first), np.bitwise_or.reduceat(c, first)
 
-    def out(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        h, s, k, t, o, c = x
-        stem = pa.array(s.view(np.int64), mask=k)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), stem, pa.array(t), pa.array(o), pa.array(c.view(np.int64))], names=["h", "stem", "n_toxic", "n_other", "contexts"])
+BIGRAMS = "bucket long, chunk long, w binary, s binary, run binary, v binary, n_toxic binary, n_other binary"
 
-    def once(hashes: np.ndarray, stems: np.ndarray, doc: np.ndarray, before: np.ndarray, toxic: np.ndarray, is_stem: bool) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((hashes, doc))
-        h, d = hashes[order], doc[order]
-        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
-        t = toxic[d[first]]
-        return merged([(h[first], stems[order][first], np.full(len(first), is_stem), t, 1 - t, np.bitwise_or.reduceat(before[order], first))])
+
+def sent(chunks: DataFrame, bits: int) -> DataFrame:
+    """A row for each chunk and bucket: its distinct words, their stems and how many contexts follow; contexts; counts in labelled rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, docs in opened(batches, "docs"):
+            b = Bigrams(docs["text"], bits)
+            if not len(b.token):
+                continue
+            label = np.array([-1 if x is None else x for x in docs["__toxic"].to_pylist()], np.int64)[b.doc]
+            t, o = (np.bincount(b.token[label == c], minlength=len(b.w)) for c in (1, 0))
+            rows = []
+            edges = np.flatnonzero(np.concatenate(([True], b.bucket[1:] != b.bucket[:-1], [True])))
+            for s, e in zip(edges[:-1], edges[1:]):
+                w = b.w[s:e]
+                first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                rows.append((int(b.bucket[s]), chunk, b.words[w[first]].tobytes(), b.stems[w[first]].tobytes(), packed(np.diff(np.append(first, len(w)))), b.contexts[b.v[s:e]].tobytes(), packed(t[s:e]), packed(o[s:e])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 2 + [pa.binary()] * 6)], names=["bucket", "chunk", "w", "s", "run", "v", "n_toxic", "n_other"])
+
+    return chunks.mapInArrow(run, BIGRAMS)
+
+
+STAT = [("h", pa.int64()), ("stem", pa.int64()), *((c, pa.int64()) for c in NUMBERS)]
+SUMS = "bucket long, chunk long, counts_toxic binary, counts_other binary, types array<long>, stats array<struct<" + ", ".join(f"{c}: long" for c, _ in STAT) + ">>"
+
+
+def summed(group: pa.Table) -> pa.Table:
+    """For each chunk the sums of its bigrams over all chunks, in its order; and one row with what the bucket tells of words and contexts."""
+    cols = {c: [x.as_py() for x in group[c]] for c in group.column_names}
+    runs = [unpacked(x) for x in cols["run"]]
+    words = lambda name: np.concatenate([np.repeat(np.frombuffer(x, U64), r) for x, r in zip(cols[name], runs)])
+    uw, first, w = np.unique(words("w"), return_index=True, return_inverse=True)
+    stem = words("s")[first]
+    uv, v = np.unique(np.concatenate([np.frombuffer(x, U64) for x in cols["v"]]), return_inverse=True)
+    code, of = np.unique(w * len(uv) + v, return_inverse=True)
+    # Sums of integers below 2^53 are exact in bincount.
+    t, o = (np.bincount(of, np.concatenate([unpacked(x) for x in cols[c]]).astype(float), len(code)).astype(np.int64) for c in ("n_toxic", "n_other"))
+    ends = np.cumsum([len(x) // 8 for x in cols["v"]])
+    back = [[packed(x[of[a:z]]) for a, z in zip(np.concatenate(([0], ends[:-1])), ends)] + [None] for x in (t, o)]
+    # Bigrams of labelled rows only.
+    code, t, o = (x[t + o > 0] for x in (code, t, o))
+    w, v = code // len(uv), code % len(uv)
+    add = lambda at, x, n: np.bincount(at, x.astype(float), n).astype(np.int64)
+    none_w, none_v = np.zeros(len(uw), np.int64), np.zeros(len(uv), np.int64)
+    of_w = [add(w, x, len(uw)) for x in (t, o, np.ones(len(w)))] + [none_w] * 4
+    of_v = [none_v] * 3 + [add(v, x, len(uv)) for x in (t, o, t > 0, o > 0)]
+    numbers = [np.concatenate(x) for x in zip(of_w, of_v)]
+    some = np.flatnonzero(numbers[2] + numbers[3] + numbers[4] > 0)
+    stems = pa.array(np.concatenate((stem, uv)).view(np.int64)[some], mask=(np.arange(len(uw) + len(uv)) >= len(uw))[some])
+    stat = pa.StructArray.from_arrays([pa.array(np.concatenate((uw, uv)).view(np.int64)[some]), stems, *(pa.array(x[some]) for x in numbers)], names=[c for c, _ in STAT])
+    n = len(cols["chunk"])
+    stats = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(some)], pa.int32()), stat)
+    types = [None] * n + [[int((x == i).sum()) for x in (t, o) for i in (1, 2)]]
+    bucket = cols["bucket"][0]
+    return pa.table([pa.array([bucket] * (n + 1), pa.int64()), pa.array([*cols["chunk"], None], pa.int64()), *(pa.array(x, pa.binary()) for x in back), pa.array(types, pa.list_(pa.int64())), stats], names=["bucket", "chunk", "counts_toxic", "counts_other", "types", "stats"])
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """(chunk, docs): docs in chunks of about CHUNK tokens, each as one Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[tuple[np.ndarray, ...]] = []
+        from pyspark import TaskContext
+
+        task, n, some, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for part in parts(batch):
-                hashes, stems, row = textnp.lower_words_and_stems(*textnp.bytes_of(part["text"]), STEM)
-                if not len(hashes):
-                    continue
-                toxic = np.array(part["toxic"].to_pylist(), np.int64)
-                doc, before = np.repeat(np.arange(len(row) - 1), np.diff(row)), contexts(hashes, row)
-                pieces += [once(hashes, stems, doc, before, toxic, False), once(stems, stems, doc, before, toxic, True)]
-                if sum(len(p[0]) for p in pieces) > GATHER:
-                    pieces = [merged(pieces)]
-                    if len(pieces[0][0]) > GATHER // 2:
-                        yield out(pieces.pop())
-        if pieces:
-            yield out(merged(pieces))
-
-    found = rows.select("text", "toxic").mapInArrow(run, "h long, stem long, n_toxic long, n_other long, contexts long")
-    return found.groupBy("h", "stem").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"), F.bit_or("contexts").alias("contexts"))
-
-
-def ratios(counts: DataFrame) -> tuple[DataFrame, float]:
-    """(h, llr, less_toxic, less_other) of words and stems that a class has more than once, and the ratio of all others.
-
-    less_toxic, less_other: the same without one document of the class, for documents that were counted.
-    """
-    seen, is_stem = F.bit_count("contexts"), F.col("stem").isNull()
-    of = counts.groupBy(is_stem.alias("k")).agg(F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o"), F.sum((F.col("n_toxic") > 0).cast("long")).alias("vt"), F.sum((F.col("n_other") > 0).cast("long")).alias("vo"), F.sum(seen).alias("c"))
-    total = {r["k"]: r for r in of.collect()}  # two rows
-    if not total or any(not r["t"] or not r["o"] for r in total.values()):
-        return counts.select("h", F.lit(0.0).alias("llr"), F.lit(0.0).alias("less_toxic"), F.lit(0.0).alias("less_other")).limit(0), 0.0
-    w, s = total[False], total[True]
-    keep = {("toxic", "w"): w["vt"] / w["t"], ("other", "w"): w["vo"] / w["o"], ("toxic", "s"): s["vt"] / s["t"], ("other", "s"): s["vo"] / s["o"]}
-    size = {("toxic", "w"): w["t"], ("other", "w"): w["o"], ("toxic", "s"): s["t"], ("other", "s"): s["o"]}
-
-    def part(n, c: str, kind: str, less: int):
-        return F.greatest(F.col(n) - 1 - less, F.lit(0)) / F.lit(float(size[c, kind]))
-
-    def q(c: str, less: int = 0):
-        return part(f"m_{c}", c, "s", less) + F.lit(keep[c, "s"] / s["c"]) * F.col("stem_contexts")
-
-    def p(c: str, less: int = 0):
-        return part(f"n_{c}", c, "w", less) + F.lit(keep[c, "w"]) * q(c, less) * F.col("share")
-
-    stems = counts.where(is_stem).select(F.col("h").alias("stem"), F.col("n_toxic").alias("m_toxic"), F.col("n_other").alias("m_other"), seen.alias("stem_contexts"))
-    words = counts.where(~is_stem).withColumn("seen", seen)
-    shares = words.groupBy("stem").agg(F.sum("seen").alias("all_seen"))
-    known = words.where("n_toxic > 1 OR n_other > 1").join(stems.join(shares, "stem"), "stem").withColumn("share", F.col("seen") / F.col("all_seen"))
-    columns = lambda f: [F.log(f("toxic", a) / f("other", b)).alias(name) for name, a, b in (("llr", 0, 0), ("less_toxic", 1, 0), ("less_other", 0, 1))]
-    of_stem = lambda c, less: F.lit(keep[c, "w"]) * q(c, less)
-    model = known.select("h", *columns(p)).unionByName(stems.where("m_toxic > 1 OR m_other > 1").select(F.col("stem").alias("h"), *columns(of_stem)))
-    return model, float(np.log(keep["toxic", "w"] * keep["toxic", "s"] / (keep["other", "w"] * keep["other", "s"])))
+                some, size = [*some, part], size + part.nbytes
+                if size > CHUNK * 7:
+                    yield stream(task, n, some)
+                    n, some, size = n + 1, [], 0
+        if some:
+            yield stream(task, n, some)
+
+    def stream(task: int, n: int, some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, some[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(some).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([task << 32 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
+
+    return docs.mapInArrow(run, "chunk long, docs binary")
+
+
+def opened(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            docs = pa.ipc.open_stream(batch["docs"][i].as_py()).read_all().combine_chunks().to_batches()
+            if docs:
+                yield (batch["chunk"][i].as_py(), docs[0], *(batch[c][i] for c in names if c != "docs"))
+
+
+class Model:
+    """Sizes and discounts by class (toxic, other) of bigrams, words and stems."""
+
+    def __init__(self, words: dict, stems: dict, types: list[int]):
+        def discounts(n: list[int]) -> np.ndarray:
+            return np.array([a / (a + 2 * b) if a and b else HALF for a, b in zip(n[::2], n[1::2])])
+
+        of = lambda r, kind: np.array([r[f"{kind}_{c}"] or 0 for c in ("toxic", "other")], float)
+        ones = lambda r: [r[f"n{i}_{c}"] or 0 for c in ("toxic", "other") for i in (1, 2)]
+        self.total, self.k = of(words, "n"), float(words["k"] or 0)
+        self.known = bool((self.total > 0).all())
+        self.pair_discount, self.word_discount, self.stem_discount = discounts(types), discounts(ones(words)), discounts(ones(stems))
+        if self.known:
+            self.word_rest, self.stem_rest = self.word_discount * of(words, "types") / self.total, self.stem_discount * of(stems, "types") / self.total
+
+    def ratio(self, pair: np.ndarray, before: np.ndarray, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
+        """log P_toxic / P_other of w after v, and of w alone, as two columns; rows of: pair: counts by class; before, word, stem: NUMBERS."""
+        if not self.known:
+            return np.zeros((len(pair), 2))
+        k_stem = np.maximum(stem[:, 2], 1)
+        p, alone = [], []
+        for c in (0, 1):
+            q = np.maximum(stem[:, c] - self.stem_discount[c], 0) / self.total[c] + self.stem_rest[c] * k_stem / self.k
+            one = np.maximum(word[:, c] - self.word_discount[c], 0) / self.total[c] + self.word_rest[c] * q * np.maximum(word[:, 2], 1) / k_stem
+            after = np.maximum(before[:, 3 + c], 1)
+            two = (np.maximum(pair[:, c] - self.pair_discount[c], 0) + self.pair_discount[c] * before[:, 5 + c] * one) / after
+            p.append(np.where((before[:, 3 + c] > 0) & (before[:, 5 + c] > 0), two, one))
+            alone.append(one)
+        return np.column_stack((np.log(p[0] / p[1]), np.log(alone[0] / alone[1])))
+
+
+def counted(chunks: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, Model]:
+    """What the buckets send back; (h, NUMBERS) of all words and stems; sizes and discounts."""
+    sums = stored(sent(chunks, bits).groupBy("bucket").applyInArrow(summed, SUMS), "toxic-bigrams")
+    told = sums.where(F.col("chunk").isNull())
+    words = told.select(F.inline("stats")).groupBy("h").agg(F.max("stem").alias("stem"), *(F.sum(c).alias(c) for c in NUMBERS))
+    words = stored(words, "toxic-words")
+    stems = stored(words.where("stem IS NOT NULL").groupBy("stem").agg(*(F.sum(c).alias(c) for c in NUMBERS[:3])), "toxic-stems")
+    some = lambda c, cond: F.sum(F.when(cond, 1).otherwise(0)).alias(c)
+    size = [F.sum("k").alias("k")] + [x for c in ("toxic", "other") for x in (F.sum(f"n_{c}").alias(f"n_{c}"), some(f"types_{c}", F.col(f"n_{c}") > 0), some(f"n1_{c}", F.col(f"n_{c}") == 1), some(f"n2_{c}", F.col(f"n_{c}") == 2))]
+    types = told.select(*(F.sum(F.col("types")[i]) for i in range(4))).first()
+    model = Model(words.agg(*size).first().asDict(), stems.agg(*size).first().asDict(), [x or 0 for x in types])
+    single = lambda c: F.col(c).cast("float").alias(c)
+    no = F.lit(0).cast("float")
+    rows = words.select("h", *map(single, NUMBERS)).unionByName(stems.select(F.col("stem").alias("h"), *map(single, NUMBERS[:3]), *(no.alias(c) for c in NUMBERS[3:])))
+    return sums.where(F.col("chunk").isNotNull()), rows, model
 
 
 def evidence(hashes: np.ndarray, row: np.ndarray, llr: np.ndarray) -> np.ndarray:
@@ -148,61 +248,103 @@ def evidence(hashes: np.ndarray, row: np.ndarray, llr: np.ndarray) -> np.ndarray
     return out
 
 
-def with_evidence(docs: DataFrame, model: DataFrame, rest: float, model_rows: int = MODEL_ROWS, keep_text: bool = False, counted_as: str | None = None) -> DataFrame:
-    """docs (with text) with e0, e1, e2, and without text unless keep_text is set. counted_as: the column with the class that a document was counted in."""
-    names = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    keep = [f.name for f in names]
-    schema = T.StructType([*names, *(T.StructField(f"e{i}", T.DoubleType()) for i in range(3))])
-
-    def scored(batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        """keys: sorted hashes; values: their three ratios."""
-        hashes, stems, row = textnp.lower_words_and_stems(*textnp.bytes_of(batch["text"]), STEM)
-        llr = np.full(len(hashes), rest)
-        if len(keys) and len(hashes):
-            which = np.zeros(len(row) - 1, np.int64)
-            if counted_as is not None:
-                which = np.where(np.array(batch[counted_as].to_pylist(), np.int64) == 1, 1, 2)
-            which = np.repeat(which, np.diff(row))
-            for h in (stems, hashes):  # what is known of a word goes before what is known of its stem
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[at] == h
-                llr[hit] = values[at[hit], which[hit]]
-        e = evidence(hashes, row, llr)
-        return pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(e[:, i]) for i in range(3))], names=[*keep, "e0", "e1", "e2"])
-
-    if model.count() <= model_rows:
-        t = model.toArrow()
-        keys = t["h"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        values = np.column_stack([t[c].to_numpy().astype(np.float32) for c in ("llr", "less_toxic", "less_other")])[order]
-        # Its size was checked just now: 20 bytes a row.
-        sent = docs.sparkSession.sparkContext.broadcast((keys[order], values))
+def both_evidence(b: Bigrams, llr: np.ndarray) -> np.ndarray:
+    return np.hstack([evidence(b.hashes, b.row, llr[:, i]) for i in (0, 1)])
 
-        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            yield scored(batch, *sent.value)
 
-        return arrow_map(docs, run, schema)
+def found(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The values of h, zeros where it is not among the sorted keys."""
+    out = np.zeros((len(h), len(NUMBERS)))
+    if len(keys) and len(h):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        hit = keys[at] == h
+        out[hit] = values[at[hit]]
+    return out
 
-    # Beyond that size: distinct words and stems of each text meet the model in a join, and come back to their text as an array.
-    def distinct(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        hashes, stems, row = textnp.lower_words_and_stems(*textnp.bytes_of(batch["text"]), STEM)
-        sets = [np.unique(np.concatenate((hashes[s:e], stems[s:e]))).view(np.int64) for s, e in zip(row[:-1], row[1:])]
-        yield pa.RecordBatch.from_arrays([batch["__words_of"], pa.array(sets, pa.list_(pa.int64()))], names=["mark", "hs"])
 
-    def joined(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i in range(batch.num_rows):
-            one = batch.slice(i, 1)
-            words = one["__words"].to_pylist()[0] or []
-            keys = np.array([w["h"] for w in words], np.int64).view(np.uint64)
+def without_itself(model: Model, b: Bigrams, token: np.ndarray, label: np.ndarray, pair: np.ndarray, before: np.ndarray, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
+    """Ratios of the tokens named, with the counts taken without the document of each; label: its class. before is by place in b.contexts."""
+    doc, p = b.doc[token], b.token[token]
+
+    def own(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        _, of, counts = np.unique(doc * n + ids, return_inverse=True, return_counts=True)
+        return counts[of], of
+
+    _, stem_of = np.unique(b.stems, return_inverse=True)
+    n_pair, which = own(p, len(b.w))
+    n_before, same = own(b.v[p], len(b.contexts))
+    n_word, n_stem = own(b.w[p], len(b.words))[0], own(stem_of[b.w[p]], len(b.words))[0]
+    x, y, w, s = pair[p].astype(float), before[b.v[p]].copy(), word[b.w[p]].copy(), stem[b.w[p]].copy()
+    # Types after a context that the document alone has; each counts once, at the first of its tokens.
+    alone = n_pair >= x[np.arange(len(p)), 1 - label]
+    first = np.zeros(len(p), bool)
+    first[np.unique(which, return_index=True)[1]] = True
+    lost = np.bincount(same, alone & first)[same] if len(p) else np.zeros(0)
+    at = np.arange(len(p))
+    for numbers, column, less in ((x, 1 - label, n_pair), (y, 4 - label, n_before), (y, 6 - label, lost), (w, 1 - label, n_word), (s, 1 - label, n_stem)):
+        numbers[at, column] = np.maximum(numbers[at, column] - less, 0)
+    return model.ratio(x, y, w, s)
+
+
+def with_evidence(chunks: DataFrame, sums: DataFrame, rows: DataFrame, model: Model, bits: int, fields: list[T.StructField], model_rows: int = MODEL_ROWS) -> DataFrame:
+    """The documents with e0 ... e5; and with x0 ... x5, the same without the document's own counts, where __sampled is set."""
+    keep = [f.name for f in fields]
+    extra = [f"{k}{i}" for k in "ex" for i in range(RATIOS)]
+    schema = T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in extra)])
+
+    def scored(docs: pa.RecordBatch, back: list[dict], keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        b = Bigrams(docs["text"], bits)
+        e, x = np.zeros((docs.num_rows, RATIOS)), np.zeros((docs.num_rows, RATIOS))
+        is_sampled = np.array(docs["__sampled"].to_pylist(), bool)
+        if len(b.token):
+            back = sorted(back, key=lambda r: r["bucket"])
+            pair = np.column_stack([np.concatenate([unpacked(r[f"counts_{c}"]) for r in back]) for c in ("toxic", "other")])
+            assert len(pair) == len(b.w)
+            before, stem = found(keys, values, b.contexts), found(keys, values, b.stems)
+            word = before[1:]
+            e = both_evidence(b, model.ratio(pair, before[b.v], word[b.w], stem[b.w])[b.token])
+            token = np.flatnonzero(is_sampled[b.doc])
+            if len(token):
+                label = np.array([x or 0 for x in docs["__toxic"].to_pylist()], np.int64)[b.doc[token]]
+                llr = np.zeros((len(b.token), 2))
+                llr[token] = without_itself(model, b, token, label, pair, before, word, stem)
+                x = both_evidence(b, llr)
+        numbers = [pa.array(e[:, i]) for i in range(RATIOS)] + [pa.array(x[:, i], mask=~is_sampled) for i in range(RATIOS)]
+        return pa.RecordBatch.from_arrays([*(docs[c] for c in keep), *numbers], names=[*keep, *extra])
+
+    of_chunk = sums.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts_toxic", "counts_other")).alias("back"))
+    both = chunks.repartition(max(1, min(2000, chunks.count())), "chunk").join(of_chunk, "chunk", "left")
+    if rows.count() <= model_rows:
+        t = rows.toArrow()
+        keys = t["h"].to_numpy().view(U64)
+        order = np.argsort(keys)
+        # Its size was checked just now: 36 bytes a row.
+        shared = chunks.sparkSession.sparkContext.broadcast((keys[order], np.column_stack([t[c].to_numpy() for c in NUMBERS])[order]))
+        del t
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, docs, back in opened(batches, "back"):
+                yield from parts(scored(docs, back.as_py() or [], *shared.value))
+
+        return both.mapInArrow(run, schema)
+
+    # Beyond that size: distinct words and stems of each chunk meet the table in a join, and come back to their chunk as an array.
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, docs in opened(batches, "docs"):
+            hashes, stems, _ = textnp.lower_words_and_stems(*textnp.bytes_of(docs["text"]), STEM)
+            h = np.unique(np.concatenate((np.zeros(1, U64), hashes, stems))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(h)], names=["mark", "h"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, docs, back, words in opened(batches, "back", "words"):
+            of = words.values.flatten() if words.is_valid else []
+            keys = of[0].to_numpy().view(U64) if len(of) else np.zeros(0, U64)
+            values = np.column_stack([x.to_numpy() for x in of[1:]]) if len(of) else np.zeros((0, len(NUMBERS)))
             order = np.argsort(keys)
-            values = np.array([(w["llr"], w["less_toxic"], w["less_other"]) for w in words], np.float32).reshape(-1, 3)[order]
-            yield scored(one, keys[order], values)
+            yield from parts(scored(docs, back.as_py() or [], keys[order], values[order]))
 
-    marked = docs.withColumn("__words_of", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    texts = marked.select("__words_of", "text").dropDuplicates(["__words_of"])  # equal texts have equal words
-    words = arrow_map(texts, distinct, "mark binary, hs array<bigint>").select("mark", F.explode("hs").alias("h"))
-    by_text = words.join(model, "h").groupBy("mark").agg(F.collect_list(F.struct("h", "llr", "less_toxic", "less_other")).alias("__words"))
-    return arrow_map(marked.join(by_text, F.col("__words_of") == F.col("mark"), "left"), joined, schema)
+    words = chunks.mapInArrow(distinct, "mark long, h long").join(rows, "h").groupBy("mark").agg(F.collect_list(F.struct("h", *NUMBERS)).alias("words"))
+    return both.join(words, F.col("chunk") == F.col("mark"), "left").mapInArrow(joined, schema)
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -221,30 +363,31 @@ def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def toxicity(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS, keep_text: bool = False) -> DataFrame:
     """docs (doc_id, text and any others) with held_out, score and predicted, without text unless keep_text is set. labels: (doc_id, toxic)."""
-    spark = docs.sparkSession
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("__toxic"))
     known = stored(known, "toxic-labels")
-    total, positive = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    total, positive = known.agg(F.count("*"), F.coalesce(F.sum("__toxic"), F.lit(0))).first()
     share = min(1.0, SAMPLE / max(1, total))
     sampled = F.pmod(F.xxhash64("label_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
-    text = docs.select("doc_id", "text")
     # At most about SAMPLE ids, whatever the size of the corpus.
-    sample = text.join(F.broadcast(known.where(sampled)), F.col("doc_id") == F.col("label_id")).select("toxic", "text")
-    train = text.join(known, F.col("doc_id") == F.col("label_id")).select("toxic", "text")
-    counts = stored(counted(train), "toxic-counts")
-    model, rest = ratios(counts)
-    model = stored(model, "toxic-model")
-    seen = with_evidence(sample, model, rest, model_rows, counted_as="toxic").toPandas()
+    known = known.withColumn("__sampled", sampled)
+    marked = docs.join(known, F.col("doc_id") == F.col("label_id"), "left").select(*docs.columns, "__toxic", F.coalesce("__sampled", F.lit(False)).alias("__sampled"))
+    chunks = stored(chunked(marked), "toxic-chunks")
+    bits = max(4, int(np.ceil(np.log2(max(1, chunks.count())))) - 2)  # a bucket for about four chunks
+    sums, rows, model = counted(chunks, bits)
+    fields = [f for f in marked.schema.fields if keep_text or f.name != "text"]
+    out = stored(with_evidence(chunks, sums, rows, model, bits, fields, model_rows), "toxic-evidence")
+    discard(chunks)
+    seen = out.where("__sampled").select("__toxic", *(F.col(f"x{i}") for i in range(RATIOS))).toPandas()
     seen = seen.sort_values(list(seen.columns), ignore_index=True)  # the same weights in every run
-    if len(seen) and seen["toxic"].nunique() == 2:
-        w = fitted(seen[["e0", "e1", "e2"]].to_numpy(), seen["toxic"].to_numpy(float))
+    if len(seen) and seen["__toxic"].nunique() == 2:
+        w = fitted(seen[[f"x{i}" for i in range(RATIOS)]].to_numpy(), seen["__toxic"].to_numpy(float))
     else:
         rate = min(max(positive / total, 1e-6), 1 - 1e-6) if total else 0.5
-        w = np.array([0.0, 0.0, 0.0, np.log(rate / (1 - rate))])
-    z = sum((F.col(f"e{i}") * F.lit(float(w[i])) for i in range(3)), F.lit(float(w[3])))
-    out = with_evidence(docs, model, rest, model_rows, keep_text)
+        w = np.append(np.zeros(RATIOS), np.log(rate / (1 - rate)))
+    z = sum((F.col(f"e{i}") * F.lit(float(w[i])) for i in range(RATIOS)), F.lit(float(w[RATIOS])))
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    return out.select("*", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = out.select("*", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return out.drop("__toxic", "__sampled", *(f"x{i}" for i in range(RATIOS)), *(f"e{i}" for i in range(3, RATIOS)))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
