@@ -496,6 +496,19 @@ def test_toxicity_counts_every_preceding_word(spark):
         assert got[h]["after_other"] == sum(n for (v, _, c), n in pairs.items() if v == w and c == 0)
 
 
+def test_toxicity_of_a_sequence(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(900):
+        words, bad = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(20, 60))], i % 3 == 0
+        at = rng.randrange(len(words))
+        words[at:at] = ["red", "door"] if bad else ["door", "red"]
+        rows.append((i, " ".join(words), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).where("held_out").collect()
+    assert sum(r["predicted"] == rows[r["doc_id"]][2] for r in got) / len(got) > 0.97
+
+
 def test_word_hashes():
     import pyarrow as pa
 
