@@ -396,6 +396,21 @@ def test_warc(spark, edge, monkeypatch):
     assert Counter(tuple(r) for r in rows) == want
 
 
+@pytest.mark.parametrize("block", ["300", "100000"])
+def test_warc_magic_in_url(spark, block):
+    odd = {0: "http://x/WARC/1.0", 3: "http://x/WARC/1.1/WARC/1.", 4: "WARC/1.", 11: "WARC/1.WARC/1.1 a"}
+    rows = [(i, odd.get(i, f"http://x/{i}"), f"<p>{i}</p>" + "WARC/1.1 " * (i % 4 == 3)) for i in range(12)]
+    path = new_path(spark, "w")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = warc.digests(warc.read_warc(spark, path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sorted((i, u, len(t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()) for i, u, t in rows)
+    assert sorted((r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"]) for r in got) == want
+
+
 def test_warc_min_bytes(spark):
     df = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbb"), (4, "u", "bbbb")], "page_id long, url string, html string")
     path = new_path(spark, "w")

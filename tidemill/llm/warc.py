@@ -4,6 +4,8 @@ Reading. A scan cuts each archive at every occurrence of the record magic, insid
 header tells the offset of its successor. Within a task, candidates whose successor is the very next candidate are contracted to runs;
 over the runs, pointer jumping from the start of each file (rounds: the logarithm of the runs of a file) finds those that are reachable.
 A candidate before the entry of its run, or in a run that is never entered, is payload, and goes back to the record that holds it.
+A candidate whose piece has no blank line has the magic in its header (a url may hold it): its header goes on to the first blank line in the
+pieces after it, which tells its successor.
 
 Offsets need no second scan: a block's first piece starts where the pieces of the blocks before it end.
 
@@ -126,8 +128,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     blocks = found.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of one archive
     blocks = blocks.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
-    candidates = found.select("file", "block", "idx", "run", "start", "succ", "whole").join(blocks, ["file", "block"])
-    candidates = stored(candidates.select("file", "block", "idx", "run", (F.col("start") + F.col("base")).alias("start"), (F.col("succ") + F.col("base")).alias("succ"), "whole"), "warc-chain")
+    candidates = found.select("file", "block", "idx", "run", "start", "size", "succ", "head", "content", "whole").join(blocks, ["file", "block"])
+    candidates = stored(candidates.select("file", "block", "idx", "run", (F.col("start") + F.col("base")).alias("start"), (F.col("succ") + F.col("base")).alias("succ"), "head", "content", (F.col("head") == F.col("size") - len(MAGIC)).alias("open"), "whole"), "warc-chain")
+    torn_heads = candidates.where((F.col("start") >= 0) & F.col("open")).select("file").distinct()
+    if not torn_heads.isEmpty():
+        torn_heads = stored(torn_heads, "warc-open")
+        whole_heads = candidates.join(torn_heads, "file", "left_anti")
+        candidates = stored(whole_heads.unionByName(_with_whole_heads(candidates.join(torn_heads, "file", "left_semi"))), "warc-chain")
 
     tails = candidates.groupBy("file", "block", "run").agg(F.max_by("succ", "idx").alias("target"), F.min("start").alias("head"))
     node = F.struct("block", "run")
@@ -139,22 +146,46 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     entries = starts.withColumn("entry", F.lit(0).cast("long")).unionByName(jumps.join(reached, ["file", "node"], "left_semi").select("file", F.col("next").alias("node"), F.col("target").alias("entry")))
     entries = entries.groupBy("file", "node").agg(F.min("entry").alias("entry")).select("file", "node.block", "node.run", "entry").join(blocks, ["file", "block"])
     entries = stored(entries, "warc-entries")  # a row for each run; payloads are only moved if there are very many runs
-    kept = found.join(entries, ["file", "block", "run"]).where(F.col("start") + F.col("base") >= F.col("entry")).where(F.col("succ").isNotNull()).withColumn("offset", F.col("start") + F.col("base"))
+    reachable = found.join(entries, ["file", "block", "run"]).where(F.col("start") + F.col("base") >= F.col("entry"))
+    kept = reachable.withColumn("offset", F.col("start") + F.col("base"))
     one = kept.where("whole").select("file", "offset", "headers", F.expr("substring(raw, head + 5, content)").alias("block"))
     if candidates.where((F.col("start") >= 0) & F.col("succ").isNotNull() & ~F.col("whole")).isEmpty():
         return one
-    kept = kept.select("file", "block", "idx", "offset", "whole")
+    chain = candidates.join(entries.select("file", "block", "run", "entry"), ["file", "block", "run"]).where(F.col("start") >= F.col("entry"))
+    kept = chain.where(F.col("succ").isNotNull()).select("file", "block", "idx", F.col("start").alias("offset"), "whole")
     torn = kept.where(~F.col("whole")).select("file").distinct()
-    # Records with the magic in their payload: each piece of such a file goes to the last kept record at or before it.
-    narrow = candidates.drop("whole").join(torn, "file", "left_semi").join(kept.select("file", "block", "idx", "offset"), ["file", "block", "idx"], "left")
+    # Records with the magic in their header or payload: each piece of such a file goes to the last kept record at or before it.
+    narrow = candidates.select("file", "block", "idx", "start").join(torn, "file", "left_semi").join(kept.select("file", "block", "idx", "offset"), ["file", "block", "idx"], "left")
     owner = F.last("offset", ignorenulls=True).over(Window.partitionBy("file").orderBy("start"))
     owned = narrow.select("file", "block", "idx", "start", owner.alias("offset")).where(F.col("offset").isNotNull())
-    pieces = owned.join(found, ["file", "block", "idx"]).select("file", "offset", owned["start"], "head", "content", "headers", "raw", "whole")
-    glued = pieces.groupBy("file", "offset").agg(F.sort_array(F.collect_list(F.struct("start", "raw"))).alias("all"), F.min_by(F.struct("head", "content", "headers"), "start").alias("h"), F.min_by("whole", "start").alias("whole")).where(~F.col("whole"))
+    pieces = owned.join(found, ["file", "block", "idx"]).select("file", "offset", owned["start"], "raw", "whole")
+    glued = pieces.groupBy("file", "offset").agg(F.sort_array(F.collect_list(F.struct("start", "raw"))).alias("all"), F.min_by("whole", "start").alias("whole")).where(~F.col("whole"))
     magic = F.lit(MAGIC).cast("binary")
     body = F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, magic, x["raw"]))
-    glued = glued.withColumn("body", body).select("file", "offset", "h.headers", F.expr(f"substring(body, {len(MAGIC)} + h.head + 5, h.content)").alias("block"))
-    return one.unionByName(glued)
+    return one.unionByName(arrow_map(glued.select("file", "offset", body.alias("body")), _parsed, one.schema))
+
+
+def _with_whole_heads(candidates: DataFrame) -> DataFrame:
+    """candidates, with `succ` of those whose header goes on in the pieces after them. A length is the last one before the blank line."""
+    order = Window.partitionBy("file").orderBy("start")
+    # A piece with a blank line ends a stretch of pieces without.
+    stretch = F.coalesce(F.sum((~F.col("open")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    after = Window.partitionBy("file", "stretch").orderBy("start").rowsBetween(0, Window.unboundedFollowing)
+    end = F.last(F.when(~F.col("open"), F.col("start") + len(MAGIC) + F.col("head")), ignorenulls=True).over(after)
+    content = F.last("content", ignorenulls=True).over(after)
+    succ = F.when(F.col("open") & (F.col("start") >= 0), end + 4 + content + 4).otherwise(F.col("succ"))
+    return candidates.withColumn("stretch", stretch).withColumn("succ", succ).drop("stretch")
+
+
+def _parsed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(file, offset, headers, block) of records put together again."""
+    headers, blocks = [], []
+    for body in batch["body"]:
+        head, _, rest = body.as_py().partition(b"\r\n\r\n")
+        found = parse_headers(head)
+        headers.append(list(found.items()))
+        blocks.append(rest[: int(found["content-length"])])
+    yield pa.RecordBatch.from_arrays([batch["file"], batch["offset"], pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], names=["file", "offset", "headers", "block"])
 
 
 def _jumped(starts: DataFrame, jumps: DataFrame) -> DataFrame:
