@@ -190,6 +190,16 @@ def test_secrets(spark, edge, tmp_path):
     assert len(secrets.op5_secrets(spark, edge).collect()) == len(docs_of(spark, edge))
 
 
+def test_secrets_of_one_owner_stay_live(spark, tmp_path):
+    rows = [(i, f"token = hot9secret {i % 3}", "hot") for i in range(260)] + [(1000 + i, "token = copied77", f"s{i}") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    live = {r["doc_id"]: r["n_live"] for r in secrets.op5_secrets(spark, str(tmp_path)).collect()}
+    assert all(n == (1 if i < 1000 else 0) for i, n in live.items())
+    docs = spark.createDataFrame([(*r, "en", 0) for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    texts = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_secrets(spark, docs, str(tmp_path)).collect()}
+    assert all(("[SECRET]" in t) == (i < 1000) for i, t in texts.items())
+
+
 def test_topk(spark, edge):
     got = [tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in topk.op6_topk(spark, edge).collect()]
     rows = [(r["vec_id"], [math.floor(256 * x) for x in r["embedding"]]) for r in spark.read.parquet(f"{edge}/embeddings.parquet").collect() if r["vec_id"] is not None and r["embedding"] and all(x is not None and math.isfinite(x) for x in r["embedding"])]

@@ -4,8 +4,8 @@ Per kind, matches are leftmost and do not overlap. Spark gives the matches (rege
 the same left-to-right search, so sums of their lengths are the offsets. Documents without a match pay one search for each kind.
 
 The method. Each value found, base or `blob` (a long run of letters and digits of all three classes, which the base patterns may
-miss), is hashed; candidates are aggregated by distinct repository and distinct owner. A value in at least EXAMPLE_OWNERS owners or
-EXAMPLE_REPOS repositories is an example that people copy; the others look live. A blob gives a span of its own only where it looks live
+miss), is hashed; candidates are aggregated by distinct repository and distinct owner. A value in at least EXAMPLE_OWNERS owners is an
+example that people copy; the others look live, in however many repositories of fewer owners they are, so that size alone never clears one. A blob gives a span of its own only where it looks live
 and no base span covers it; base spans always stay.
 
 Defined results: a null text is empty; a null owner counts as one owner; a null id counts as one repository; rows that repeat
@@ -31,6 +31,7 @@ ASSIGN_LEAST = 6
 #: Added by the method.
 BLOB = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}"
 EXAMPLE_OWNERS = 6
+#: Only of the SQL below.
 EXAMPLE_REPOS = 200
 
 
@@ -70,7 +71,7 @@ def ownership(candidates: DataFrame, repo: str, owner: str) -> DataFrame:
     by_owner = seen.groupBy("hash", "o").agg(F.countDistinct("r").alias("r"), F.sum("n").alias("n"))
     # A repository belongs to one owner, so the numbers of repositories add up.
     spread = by_owner.groupBy("hash").agg(F.sum("r").alias("repos"), F.count("*").alias("owners"), F.sum("n").alias("n"))
-    return spread.withColumn("example", (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS))
+    return spread.withColumn("example", F.col("owners") >= EXAMPLE_OWNERS)
 
 
 def joined(spans: Column) -> Column:
