@@ -77,6 +77,13 @@ def test_minhash(spark, edge, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows if r["doc_id"] is not None)
 
 
+def test_minhash_verifies_pairs_alone_in_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SIGMAS", -100.0)  # signatures rule out everything
+    words = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "nothing like it")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + rng.randrange(i)) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]

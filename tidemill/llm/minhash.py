@@ -4,7 +4,7 @@
    and a byte of each minimum. Texts with equal sets are one class from here on: copies need no pairs.
 2. Classes that share a band are candidates. With 32 bands of 4 minima a pair at the threshold of 0.8 shares none once in 2 * 10^7.
 3. Star round: in each bucket the member with the most candidates over all its bands is the hub, and all others are held against it: first
-   their signatures (bytes of minima), then their full sets. Verified pairs are links.
+   their signatures (bytes of minima; not in a bucket of two, which has no rest round), then their full sets. Verified pairs are links.
 4. Rest round: connected components so far; members of one bucket that are still apart are compared in full, all of them, in
    square blocks of BLOCK members, so that no group is ever in one task and no pair becomes a row; each block
    gives a spanning forest of its links. A bucket that is in one piece needs nothing.
@@ -39,7 +39,7 @@ ADD = _rng.integers(0, 2**64 - 1, HASHES, dtype=np.uint64)
 CHUNK = 1 << 15
 #: Members on each side of a block of the rest round.
 BLOCK = 128
-#: Standard deviations below the threshold at which a signature rules a pair out (about once in 10^7 wrongly).
+#: Standard deviations below the threshold at which a signature rules a pair out (about five times in 10^7 wrongly; the rest round sees these pairs again).
 SIGMAS = 5.2
 
 
@@ -91,13 +91,13 @@ def features(docs: DataFrame, n: int) -> DataFrame:
 
 
 def likely(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (..., sig_a, sig_b) whose signatures do not rule out the threshold."""
+    """Pairs (..., alone, sig_a, sig_b) whose signatures do not rule out the threshold, and those that are alone in a bucket, which no later round sees."""
     least = HASHES * threshold - SIGMAS * (HASHES * threshold * (1 - threshold)) ** 0.5
-    names = [c for c in pairs.columns if c not in ("sig_a", "sig_b")]
+    names = [c for c in pairs.columns if c not in ("alone", "sig_a", "sig_b")]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-        yield batch.select(names).filter(pa.array((a == b).sum(1) >= least))
+        yield batch.select(names).filter(pa.array(((a == b).sum(1) >= least) | np.array(batch["alone"].to_pylist(), bool)))
 
     return arrow_map(pairs, run, pairs.select(names).schema)
 
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     degree = members.groupBy("node").agg(F.sum("cnt").alias("degree"))
     hubs = members.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", (-F.col("node")).alias("neg")))["neg"].alias("neg"))
     hubs = stored(hubs.select("h", (-F.col("neg")).alias("hub")), "minhash-hubs")
-    pairs = members.join(hubs, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = members.join(hubs, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "cnt").groupBy("a", "b").agg((F.min("cnt") == 2).alias("alone"))
     sigs = classes.select("node", "sig")
     pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     pairs = stored(likely(pairs, percent / 100), "minhash-pairs")
