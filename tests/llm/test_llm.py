@@ -84,6 +84,13 @@ def test_minhash_verifies_pairs_alone_in_a_bucket(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
 
 
+def test_minhash_rows_of_one_id_are_one_node(spark):
+    a, b = "one text of some words", "quite another text with other words"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (10, "apart from all")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (9, 3), (10, 10)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + rng.randrange(i)) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]

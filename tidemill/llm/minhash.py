@@ -195,6 +195,14 @@ def rest_links(members: DataFrame, texts: DataFrame, components: DataFrame, n: i
     return cells.groupBy("h", "lb", "rb").applyInArrow(run, "a long, b long")
 
 
+def same_id_links(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of the nodes of classes that share an id: rows of it with different texts."""
+    several = known.groupBy("doc_id").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select("doc_id")
+    nodes = known.join(several, "doc_id", "left_semi").select("doc_id", "fp").distinct().join(classes.select("fp", "node"), "fp")
+    first = nodes.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return nodes.join(first, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, mark, n_shingles, component_id, kept) for each row; mark: a hash of the text, which tells rows of one id apart."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
@@ -221,7 +229,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     texts = source.join(wanted, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("node"), "text")
     texts = stored(texts, "minhash-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    links = stored(verified(both, n, percent), "minhash-links")
+    links = stored(verified(both, n, percent).unionByName(same_id_links(known, classes)), "minhash-links")
 
     components = connected_components(links)
     rest = rest_links(members, texts, components, n, percent)
