@@ -214,6 +214,13 @@ def test_secrets_of_one_owner_stay_live(spark, tmp_path):
     assert all(("[SECRET]" in t) == (i < 1000) for i, t in texts.items())
 
 
+def test_topk_of_one_id_with_two_vectors(spark):
+    rows = [(0, [1, 0], 2), (0, [0, 1], 2), *((i, [i, 100 - i], 2) for i in range(1, 9))]
+    vectors = spark.createDataFrame(rows, "id long, v array<long>, dim int")
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors, vectors.where("id = 0"), 3).collect())
+    assert got == Counter([(0, 1, 8, 8), (0, 2, 7, 7), (0, 3, 6, 6), (0, 1, 1, 99), (0, 2, 2, 98), (0, 3, 3, 97)])
+
+
 def test_topk(spark, edge):
     got = [tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in topk.op6_topk(spark, edge).collect()]
     rows = [(r["vec_id"], [math.floor(256 * x) for x in r["embedding"]]) for r in spark.read.parquet(f"{edge}/embeddings.parquet").collect() if r["vec_id"] is not None and r["embedding"] and all(x is not None and math.isfinite(x) for x in r["embedding"])]

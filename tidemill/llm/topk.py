@@ -171,19 +171,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     # A row for each length of vector that the queries have. A block is a hash of the id, so blocks are even.
     blocks = counts.select("dim", F.ceil(F.col("n_rows") / ROW_BLOCK).cast("int").alias("nr"), F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int").alias("nq"))
     spread = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
-    index = vectors.join(blocks, "dim").select("dim", spread("nr").alias("r"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.lit(False).alias("is_query"), "id", "v")
-    asked = queries.join(blocks, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), spread("nq").alias("q"), F.lit(True).alias("is_query"), "id", "v")
+    index = vectors.join(blocks, "dim").select("dim", spread("nr").alias("r"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"), F.lit(False).alias("is_query"), "id", "v", F.lit(0).cast("long").alias("mark"))
+    asked = queries.join(blocks, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), spread("nq").alias("q"), F.lit(True).alias("is_query"), "id", "v", F.xxhash64("v").alias("mark"))
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         flag = np.array(t["is_query"].to_pylist(), bool)
         ids = t["id"].to_numpy()
         dim = int(key[0].as_py())
         v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(ids), dim)
-        a, b, score = block_top(ids[~flag], v[~flag], ids[flag], v[flag], k) if flag.any() and not flag.all() else (np.zeros(0, np.int64),) * 3
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(score, pa.int64())})
-
-    best = index.unionByName(asked).groupBy("dim", "r", "q").applyInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows a block of rows
+        marks = t["mark"].to_numpy()
+        none = (np.zeros(0, np.int64),) * 4
+        found = [none]
+        # Queries of one id and different vectors are different queries: in rounds, of which each has an id once.
+        if flag.any() and not flag.all():
+            names, asked_v, mark = ids[flag], v[flag], marks[flag]
+            order = np.lexsort((mark, names))
+            names, asked_v, mark = names[order], asked_v[order], mark[order]
+            turn = np.arange(len(names)) - np.searchsorted(names, names, "left")
+            for i in range(int(turn.max()) + 1):
+                sel = turn == i
+                a, b, score = block_top(ids[~flag], v[~flag], names[sel], asked_v[sel], k)
+                found.append((a, b, score, mark[sel][np.searchsorted(names[sel], a)]))
+        a, b, score, mark = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": pa.array(a, pa.int64()), "mark": pa.array(mark, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(score, pa.int64())})
+
+    best = index.unionByName(asked).groupBy("dim", "r", "q").applyInArrow(run, "query_id long, mark long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")  # k rows a block of rows
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
