@@ -522,24 +522,70 @@ def test_toxicity_edges(spark, edge):
     assert len(rows) == len(docs_of(spark, edge)) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
-def test_toxicity_counts_every_preceding_word(spark):
+def test_toxicity_counts_every_preceding_word(spark, monkeypatch):
     import pyarrow as pa
 
+    monkeypatch.setattr(toxicity, "CHUNK", 100)
     rng = random.Random(5)
-    texts = [(" ".join(f"w{rng.randrange(300)} hub" if rng.random() < 0.5 else f"w{rng.randrange(300)}" for _ in range(60)), i % 3 and i % 2) for i in range(60)]
-    rows = spark.createDataFrame([(t, c, False) for t, c in texts], "text string, __toxic int, __sampled boolean").repartition(5)
-    chunks = stored(toxicity.chunked(rows), "chunks")
-    assert chunks.count() > 1
-    got = {r["h"]: r for r in toxicity.counted(chunks, 4)[1].collect()}
+    texts = [(" ".join(f"w{rng.randrange(300)} hub" if rng.random() < 0.5 else f"w{rng.randrange(300)}" for _ in range(60)), int(i % 5 == 0)) for i in range(60)]
+    rows = spark.createDataFrame(texts, "text string, __toxic int").repartition(5)
+    words, kept, model = toxicity.counted(rows, 6)
+    got, pairs_of = {r["h"]: r for r in words.collect()}, {r["h"]: (r["n_toxic"], r["n_other"]) for r in kept.collect()}
     pairs = Counter((v, w, c) for t, c in texts for v, w in zip(["", *t.split()], t.split()))
-    words = sorted({w for _, w, _ in pairs})
+    names = sorted({w for _, w, _ in pairs})
     assert len({v for v, w, _ in pairs if w == "hub"}) > 200
-    hashes = textnp.lower_word_hashes(*textnp.bytes_of(pa.array(words)))[0].view("int64").tolist()
-    for w, h in zip(words, hashes):
-        assert got[h]["k"] == len({v for v, x, _ in pairs if x == w})
-        assert got[h]["n_toxic"] == sum(n for (_, x, c), n in pairs.items() if x == w and c == 1)
-        assert got[h]["types_other"] == len({x for v, x, c in pairs if v == w and c == 0})
-        assert got[h]["after_other"] == sum(n for (v, _, c), n in pairs.items() if v == w and c == 0)
+    t = toxicity.Tokens(pa.array(names))
+    key = dict(zip(names, t.words[t.word].tolist())) | {"": 0}
+    for w in names:
+        n = got[key[w]]
+        assert n["k"] == len({v for v, x, _ in pairs if x == w})
+        assert n["n_toxic"] == sum(n for (_, x, c), n in pairs.items() if x == w and c == 1)
+        assert n["types_other"] == len({x for v, x, c in pairs if v == w and c == 0})
+        assert n["after_other"] == sum(n for (v, _, c), n in pairs.items() if v == w and c == 0)
+    both = {(v, w): (pairs[v, w, 1], pairs[v, w, 0]) for v, w, _ in pairs}
+    of = {p: int(toxicity.pair_keys(np.array([key[p[0]]], np.uint64), np.array([key[p[1]]], np.uint64))[0]) for p in both}
+    assert pairs_of == {of[p]: n for p, n in both.items() if n[0] or n[1] >= toxicity.CUTOFF}
+    once, twice = (sum(n[1] == i for n in both.values()) for i in (1, 2))
+    assert model.pair_discount[1] == pytest.approx(once / (once + 2 * twice))
+
+
+def test_toxicity_ratio_by_brute_force(spark, tmp_path):
+    """mean_llr of texts from the formulas of the docstring, with dictionaries."""
+    rng = random.Random(8)
+    stems = ["alpha", "betaa", "gamma"]
+    rows = [(i, " ".join(rng.choice(stems) + rng.choice("abcd") for _ in range(rng.randrange(1, 30))), int(i % 4 == 0)) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    got = {r["doc_id"]: r["e0"] for r in toxicity.toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).collect()}
+    n, pre = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t, c in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            w = t.split()
+            n[c].update(w)
+            pre[c].update(zip(["", *w], w))
+    stem_of = lambda w: w[:5]
+    k = Counter(w for _, w in {*pre[0], *pre[1]})
+    ks = Counter()
+    for w, m in k.items():
+        ks[stem_of(w)] += m
+    discount = lambda counts: (lambda a, b: a / (a + 2 * b) if a and b else 0.5)(sum(x == 1 for x in counts.values()), sum(x == 2 for x in counts.values()))
+
+    def p(c, v, w):
+        total, s = sum(n[c].values()), Counter()
+        for x, m in n[c].items():
+            s[stem_of(x)] += m
+        q = max(s[stem_of(w)] - discount(s), 0) / total + discount(s) * len(s) / total * max(ks[stem_of(w)], 1) / sum(k.values())
+        one = max(n[c][w] - discount(n[c]), 0) / total + discount(n[c]) * len(n[c]) / total * q * max(k[w], 1) / max(ks[stem_of(w)], 1)
+        after = {x: m for (u, x), m in pre[c].items() if u == v}
+        if not after:
+            return one
+        d, seen = discount(pre[c]), pre[c][v, w]
+        if pre[1][v, w] == 0 and pre[0][v, w] < toxicity.CUTOFF:
+            seen = 0
+        return (max(seen - d, 0) + d * len(after) * one) / sum(after.values())
+
+    for i, t, _ in rows:
+        w = t.split()
+        assert got[i] == pytest.approx(sum(math.log(p(1, v, x) / p(0, v, x)) for v, x in zip(["", *w], w)) / len(w), abs=1e-9)
 
 
 def test_toxicity_of_a_sequence(spark):

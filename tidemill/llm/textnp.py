@@ -14,6 +14,9 @@ LOWER_VALUE = BYTE_VALUE.copy()
 LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII letters and digits, and all bytes of other characters.
+IS_LETTER = np.zeros(256, bool)
+IS_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -85,10 +88,17 @@ def lower_word_hashes(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def lower_words_and_stems(body: np.ndarray, at: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As lower_word_hashes, with a hash of the first `stem` bytes of each word in the middle; it never equals the hash of a word by design."""
+    """As lower_word_hashes, with a hash of each word's stem in the middle: the first `stem` bytes of its first run of letters and digits (without such, of
+    the word); it never equals the hash of a word by design."""
     starts, ends, row = words_of(body, at)
     c = prefix_hash(body, LOWER_VALUE)
-    return range_hash(c, starts, ends), mixed(range_hash(c, starts, np.minimum(ends, starts + stem)) + U64(BASE)), row
+    letter = np.flatnonzero(IS_LETTER[body])
+    other = np.flatnonzero(~IS_LETTER[body])
+    first = np.concatenate((letter, [len(body)]))[np.searchsorted(letter, starts)]
+    first = np.where(first < ends, first, starts)
+    last = np.concatenate((other, [len(body)]))[np.searchsorted(other, first)]
+    last = np.minimum(np.where(last > first, last, ends), np.minimum(ends, first + stem))
+    return range_hash(c, starts, ends), mixed(range_hash(c, first, last) + U64(BASE)), row
 
 
 def shingles(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
 Each class c (toxic, ordinary) has an interpolated model of the words of its documents, over all tokens. v is the word before w, or the start of the
-text. A bigram backs off to its word, a word to its stem (its first STEM bytes), so that rare inflections share what is known of them, and a stem
+text. A bigram backs off to its word, a word to its stem (the first STEM bytes of its first run
+of letters and digits), so that rare inflections share what is known of them, and a stem
 to continuation counts, which both classes share:
 
     P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v .) + D * |{u : n_c(v u) > 0}| / n_c(v .) * P_c(w)    (P_c(w) where the class has no v)
@@ -10,18 +11,24 @@ to continuation counts, which both classes share:
 
 k(w) is the exact number of different (preceding word, w), over both classes; k(s) its sum over the words of s, and K over all. Each discount is that
 of its class and order, n1 / (n1 + 2 n2) from the numbers of its types seen once and twice (HALF where one of them is 0), so it is below 1.
+Every bigram of every training row counts in n_c(v .), in the types after v, in k and in the discounts. A bigram that a single ordinary token has, and no
+toxic one (CUTOFF), has no row of its own to look up: all its mass, which is close to nothing at these discounts, is left to the backoff.
 
-The counts grow with the corpus. Documents are packed in chunks of about CHUNK tokens. A chunk sends each distinct bigram once to a bucket, which
-sums its counts over all chunks and sends back the sums alone, in the order in which the chunk can list its bigrams again; so no table
-of bigrams is joined or broadcast. The number of buckets grows with that of the chunks. The counts of words and stems are broadcast only while
-they have at most MODEL_ROWS rows, which is checked; beyond, the words of each chunk are joined with them.
+Counting. Training rows are packed in chunks of about CHUNK tokens, in which bigrams are added up first. A chunk sends each distinct bigram once to a cell, which
+is told by some bits of its word and some of the word before; so neither a frequent word nor a frequent context meets in one task. A cell adds up its bigrams;
+what it tells of its words and contexts adds up over the cells, since each pair is in one cell. The number of cells grows with the training text.
+
+Scoring. Documents stay where they are while words, stems and bigrams of the model have at most MODEL_ROWS rows, which is checked: then they are broadcast (10 to
+15 bytes a row). Beyond, each chunk's distinct keys are joined with them and come back to the chunk; both ways give the same numbers.
 
 A document's evidence is its length-normalised log-likelihood ratio: over the whole text, over its best window of WINDOW words, and over
-its best single word, each by P_c(w | v) and by P_c(w), as single bigrams are much rarer than words. A logistic curve over these six is fitted on a
+its best single word, each by P_c(w | v), by P_c(w) and by Q_c(stem), as bigrams are much rarer than words, and words than stems. A logistic curve over these nine is fitted on a
 bounded sample of SAMPLE labelled rows, for each of which the counts are taken without the document itself.
 
 Defined results: a null or wordless text has no evidence (all ratios 0); a null id is held out of training; a label counts if any row
-of its id has it; rows that repeat others get equal scores; without both classes among the labels, every score is the share of toxic ones.
+of its id has it; rows that repeat others get equal scores, and each counts in training; a very long text is scored whole, in one piece; an empty table
+gives no rows; without both classes among the labels, every score is the share of toxic ones. docs may have columns of any names but those of the
+result and names that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -35,20 +42,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnp
-from .common import discard, parts, stored, table
+from .common import discard, parts, ship, stored, table
 
 STEM = 5
 WINDOW = 8
 SAMPLE = 20_000
-MODEL_ROWS = 4_000_000
-#: Tokens of a chunk, about.
+MODEL_ROWS = 12_000_000
+#: Labelled ids that are broadcast to find the training rows; with more, the tables are joined by id.
+LABEL_ROWS = 2_000_000
+#: Tokens of a chunk, and bytes of training text to a cell, about.
 CHUNK = 500_000
+CELL_BYTES = 4_000_000
+#: Ordinary tokens that a bigram without a toxic one needs for a row of its own.
+CUTOFF = 2
 HALF = 0.5
-#: Ratios of a document: three by bigrams, three by words alone.
-RATIOS = 6
+#: Bigrams, words, stems; and the ratios of a document: three by each.
+ORDERS = 3
+RATIOS = 3 * ORDERS
 U64 = np.uint64
 #: Of a word or a stem: its tokens by class, its different contexts; and as a context: tokens after it by class, types after it by class.
 NUMBERS = ("n_toxic", "n_other", "k", "after_toxic", "after_other", "types_toxic", "types_other")
+#: A number that a byte does not hold is kept apart.
+FULL = 255
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,120 +82,119 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"<u{b[0]}", offset=1)
 
 
-class Bigrams:
-    """The tokens of a chunk's texts, and its distinct bigrams in order of bucket, word and preceding word."""
+#: Bytes of a word's key (and of a context's, which is a word or 0 for the start of a text), and of a stem's.
+KEY, STEM_KEY = 6, 5
 
-    def __init__(self, texts: pa.Array, bits: int):
-        self.hashes, stems, self.row = textnp.lower_words_and_stems(*textnp.bytes_of(texts), STEM)
-        self.doc = np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
-        self.words, first, self.word = np.unique(self.hashes, return_index=True, return_inverse=True)
-        self.stems = stems[first]
-        before = np.empty_like(self.word)
-        before[1:] = self.word[:-1]
-        before[self.row[:-1][self.row[:-1] < self.row[1:]]] = -1
-        n = len(self.words) + 1
-        code, of = np.unique(self.word * n + before + 1, return_inverse=True)
-        w, v = code // n, code % n
-        self.contexts = np.concatenate((np.zeros(1, U64), self.words))  # the start of a text is 0
-        v_bits = max(1, bits // 4)
-        bucket = ((self.words[w] >> U64(64 - bits + v_bits)) << U64(v_bits)) | (self.contexts[v] >> U64(64 - v_bits))
-        order = np.argsort(bucket, kind="stable")
-        self.w, self.v, self.bucket = w[order], v[order], bucket[order].astype(np.int64)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.token = place[of]  # the bigram of each token
-
-
-BIGRAMS = "bucket long, chunk long, w binary, s binary, run binary, v binary, n_toxic binary, n_other binary"
-
-
-def sent(chunks: DataFrame, bits: int) -> DataFrame:
-    """A row for each chunk and bucket: its distinct words, their stems and how many contexts follow; contexts; counts in labelled rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, docs in opened(batches, "docs"):
-            b = Bigrams(docs["text"], bits)
-            if not len(b.token):
-                continue
-            label = np.array([-1 if x is None else x for x in docs["__toxic"].to_pylist()], np.int64)[b.doc]
-            t, o = (np.bincount(b.token[label == c], minlength=len(b.w)) for c in (1, 0))
-            rows = []
-            edges = np.flatnonzero(np.concatenate(([True], b.bucket[1:] != b.bucket[:-1], [True])))
-            for s, e in zip(edges[:-1], edges[1:]):
-                w = b.w[s:e]
-                first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-                rows.append((int(b.bucket[s]), chunk, b.words[w[first]].tobytes(), b.stems[w[first]].tobytes(), packed(np.diff(np.append(first, len(w)))), b.contexts[b.v[s:e]].tobytes(), packed(t[s:e]), packed(o[s:e])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 2 + [pa.binary()] * 6)], names=["bucket", "chunk", "w", "s", "run", "v", "n_toxic", "n_other"])
+def narrow(a: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
-    return chunks.mapInArrow(run, BIGRAMS)
 
+def widened(b: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(b) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel().astype(U64)
 
-STAT = [("h", pa.int64()), ("stem", pa.int64()), *((c, pa.int64()) for c in NUMBERS)]
-SUMS = "bucket long, chunk long, counts_toxic binary, counts_other binary, types array<long>, stats array<struct<" + ", ".join(f"{c}: long" for c, _ in STAT) + ">>"
 
+#: Keys of words are below 2^48, those of stems from there to 2^49, those of bigrams from 2^62 to 2^63.
+STEMS, PAIRS = U64(1 << 48), U64(1 << 62)
 
-def summed(group: pa.Table) -> pa.Table:
-    """For each chunk the sums of its bigrams over all chunks, in its order; and one row with what the bucket tells of words and contexts."""
-    cols = {c: [x.as_py() for x in group[c]] for c in group.column_names}
-    runs = [unpacked(x) for x in cols["run"]]
-    words = lambda name: np.concatenate([np.repeat(np.frombuffer(x, U64), r) for x, r in zip(cols[name], runs)])
-    uw, first, w = np.unique(words("w"), return_index=True, return_inverse=True)
-    stem = words("s")[first]
-    uv, v = np.unique(np.concatenate([np.frombuffer(x, U64) for x in cols["v"]]), return_inverse=True)
-    code, of = np.unique(w * len(uv) + v, return_inverse=True)
-    # Sums of integers below 2^53 are exact in bincount.
-    t, o = (np.bincount(of, np.concatenate([unpacked(x) for x in cols[c]]).astype(float), len(code)).astype(np.int64) for c in ("n_toxic", "n_other"))
-    ends = np.cumsum([len(x) // 8 for x in cols["v"]])
-    back = [[packed(x[of[a:z]]) for a, z in zip(np.concatenate(([0], ends[:-1])), ends)] + [None] for x in (t, o)]
-    # Bigrams of labelled rows only.
-    code, t, o = (x[t + o > 0] for x in (code, t, o))
-    w, v = code // len(uv), code % len(uv)
-    add = lambda at, x, n: np.bincount(at, x.astype(float), n).astype(np.int64)
-    none_w, none_v = np.zeros(len(uw), np.int64), np.zeros(len(uv), np.int64)
-    of_w = [add(w, x, len(uw)) for x in (t, o, np.ones(len(w)))] + [none_w] * 4
-    of_v = [none_v] * 3 + [add(v, x, len(uv)) for x in (t, o, t > 0, o > 0)]
-    numbers = [np.concatenate(x) for x in zip(of_w, of_v)]
-    some = np.flatnonzero(numbers[2] + numbers[3] + numbers[4] > 0)
-    stems = pa.array(np.concatenate((stem, uv)).view(np.int64)[some], mask=(np.arange(len(uw) + len(uv)) >= len(uw))[some])
-    stat = pa.StructArray.from_arrays([pa.array(np.concatenate((uw, uv)).view(np.int64)[some]), stems, *(pa.array(x[some]) for x in numbers)], names=[c for c, _ in STAT])
-    n = len(cols["chunk"])
-    stats = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(some)], pa.int32()), stat)
-    types = [None] * n + [[int((x == i).sum()) for x in (t, o) for i in (1, 2)]]
-    bucket = cols["bucket"][0]
-    return pa.table([pa.array([bucket] * (n + 1), pa.int64()), pa.array([*cols["chunk"], None], pa.int64()), *(pa.array(x, pa.binary()) for x in back), pa.array(types, pa.list_(pa.int64())), stats], names=["bucket", "chunk", "counts_toxic", "counts_other", "types", "stats"])
 
+class Tokens:
+    """The tokens of texts, with keys."""
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(chunk, docs): docs in chunks of about CHUNK tokens, each as one Arrow stream."""
+    def __init__(self, texts: pa.Array):
+        hashes, stems, self.row = textnp.lower_words_and_stems(*textnp.bytes_of(texts), STEM)
+        self.doc = np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
+        self.words, first, self.word = np.unique(hashes >> U64(64 - 8 * KEY), return_index=True, return_inverse=True)
+        self.stems = (stems[first] >> U64(64 - 8 * STEM_KEY)) + STEMS
+        self.before = np.empty_like(self.word)  # 1 more than the place of the word before; 0: the start of a text
+        self.before[1:] = self.word[:-1] + 1
+        self.before[self.row[:-1][self.row[:-1] < self.row[1:]]] = 0
+        self.contexts = np.concatenate((np.zeros(1, U64), self.words))
+        code, self.pair = np.unique(self.word * len(self.contexts) + self.before, return_inverse=True)
+        self.w, self.v = code // len(self.contexts), code % len(self.contexts)  # of each distinct bigram
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def keys(self) -> np.ndarray:
+        """Of the distinct bigrams."""
+        return pair_keys(self.contexts[self.v], self.words[self.w])
 
-        task, n, some, size = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
-            for part in parts(batch):
-                some, size = [*some, part], size + part.nbytes
-                if size > CHUNK * 7:
-                    yield stream(task, n, some)
-                    n, some, size = n + 1, [], 0
-        if some:
-            yield stream(task, n, some)
-
-    def stream(task: int, n: int, some: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, some[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(pa.Table.from_batches(some).combine_chunks())
-        return pa.RecordBatch.from_arrays([pa.array([task << 32 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
 
-    return docs.mapInArrow(run, "chunk long, docs binary")
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (textnp.mixed(v * U64(textnp.BASE) + w) >> U64(2)) | PAIRS
 
 
-def opened(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+# ---- counting
+
+CELLS = "cell long, w binary, s binary, run binary, v binary, n_toxic binary, n_other binary"
+SUMS = "kind byte, h long, stem long, a long, b long, c long, d long"
+WORD, CONTEXT, PAIR, TYPES = range(4)
+
+
+def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together or cut to about CHUNK tokens."""
+    some, size = [], 0
     for batch in batches:
-        for i in range(batch.num_rows):
-            docs = pa.ipc.open_stream(batch["docs"][i].as_py()).read_all().combine_chunks().to_batches()
-            if docs:
-                yield (batch["chunk"][i].as_py(), docs[0], *(batch[c][i] for c in names if c != "docs"))
+        for part in parts(batch):
+            some, size = [*some, part], size + part.nbytes
+            if size > CHUNK * 7:
+                yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+                some, size = [], 0
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+
+def sent(training: DataFrame, bits: int) -> DataFrame:
+    """A row for each chunk and cell of training (text, __toxic): its distinct words, their stems and how many contexts follow; contexts; counts by class."""
+    v_bits = bits // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs in of_chunks(batches):
+            t = Tokens(docs["text"])
+            if not len(t.pair):
+                continue
+            label = np.array(docs["__toxic"].to_pylist(), np.int64)[t.doc]
+            toxic, other = (np.bincount(t.pair[label == c], minlength=len(t.w)) for c in (1, 0))
+            top = U64(8 * KEY)
+            cell = ((t.words[t.w] >> (top - U64(bits - v_bits))) << U64(v_bits)) | (t.contexts[t.v] >> (top - U64(v_bits)))
+            order = np.argsort(cell, kind="stable")
+            cell, w, v, toxic, other = cell[order].astype(np.int64), t.w[order], t.v[order], toxic[order], other[order]
+            rows = []
+            edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            for s, e in zip(edges[:-1], edges[1:]):
+                own = w[s:e]
+                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                rows.append((int(cell[s]), narrow(t.words[own[first]], KEY), narrow(t.stems[own[first]] - STEMS, STEM_KEY), packed(np.diff(np.append(first, len(own)))), narrow(t.contexts[v[s:e]], KEY), packed(toxic[s:e]), packed(other[s:e])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] + [pa.binary()] * 6)], names=[x.split()[0] for x in CELLS.split(", ")])
+
+    return training.mapInArrow(run, CELLS)
+
+
+def summed(group: pa.Table) -> pa.Table:
+    """What a cell tells of its words (tokens by class, contexts), contexts (tokens and types by class), bigrams above the cutoff, and types seen once and twice."""
+    cols = {c: group[c].to_pylist() for c in group.column_names if c != "cell"}
+    runs = [unpacked(x) for x in cols["run"]]
+    uw, first, w = np.unique(np.concatenate([np.repeat(widened(x, KEY), r) for x, r in zip(cols["w"], runs)]), return_index=True, return_inverse=True)
+    stem = np.concatenate([np.repeat(widened(x, STEM_KEY), r) for x, r in zip(cols["s"], runs)])[first] + STEMS
+    uv, v = np.unique(widened(b"".join(cols["v"]), KEY), return_inverse=True)
+    code, of = np.unique(w * len(uv) + v, return_inverse=True)
+    # Sums of integers below 2^53 are exact in bincount.
+    add = lambda at, x, n: np.bincount(at, x.astype(float), n).astype(np.int64)
+    t, o = (add(of, np.concatenate([unpacked(x) for x in cols[c]]), len(code)) for c in ("n_toxic", "n_other"))
+    w, v = code // len(uv), code % len(uv)
+    keep = (t > 0) | (o >= CUTOFF)
+    none = lambda n: np.zeros(n, np.int64)
+    blocks = [
+        (WORD, uw, stem, add(w, t, len(uw)), add(w, o, len(uw)), add(w, np.ones(len(w)), len(uw)), none(len(uw))),
+        (CONTEXT, uv, None, add(v, t, len(uv)), add(v, o, len(uv)), add(v, t > 0, len(uv)), add(v, o > 0, len(uv))),
+        (PAIR, pair_keys(uv[v[keep]], uw[w[keep]]), None, t[keep], o[keep], none(int(keep.sum())), none(int(keep.sum()))),
+        (TYPES, none(1), None, *(np.array([int((x == i).sum())]) for x in (t, o) for i in (1, 2))),
+    ]
+    sizes = [len(b[1]) for b in blocks]
+    whole = lambda i: pa.array(np.concatenate([b[i] for b in blocks]).astype(np.int64))
+    stems = pa.concat_arrays([pa.nulls(n, pa.int64()) if b[2] is None else pa.array(b[2].astype(np.int64)) for b, n in zip(blocks, sizes)])
+    kinds = pa.array(np.repeat(np.array([b[0] for b in blocks], np.int8), sizes))
+    return pa.table([kinds, whole(1), stems, *map(whole, (3, 4, 5, 6))], names=[x.split()[0] for x in SUMS.split(", ")])
 
 
 class Model:
@@ -199,39 +213,75 @@ class Model:
             self.word_rest, self.stem_rest = self.word_discount * of(words, "types") / self.total, self.stem_discount * of(stems, "types") / self.total
 
     def ratio(self, pair: np.ndarray, before: np.ndarray, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
-        """log P_toxic / P_other of w after v, and of w alone, as two columns; rows of: pair: counts by class; before, word, stem: NUMBERS."""
+        """log P_toxic / P_other of w after v, of w alone and of its stem, as ORDERS columns; rows of: pair: counts by class; before, word, stem: NUMBERS."""
         if not self.known:
-            return np.zeros((len(pair), 2))
+            return np.zeros((len(pair), ORDERS))
         k_stem = np.maximum(stem[:, 2], 1)
-        p, alone = [], []
+        p = []
         for c in (0, 1):
             q = np.maximum(stem[:, c] - self.stem_discount[c], 0) / self.total[c] + self.stem_rest[c] * k_stem / self.k
             one = np.maximum(word[:, c] - self.word_discount[c], 0) / self.total[c] + self.word_rest[c] * q * np.maximum(word[:, 2], 1) / k_stem
             after = np.maximum(before[:, 3 + c], 1)
             two = (np.maximum(pair[:, c] - self.pair_discount[c], 0) + self.pair_discount[c] * before[:, 5 + c] * one) / after
-            p.append(np.where((before[:, 3 + c] > 0) & (before[:, 5 + c] > 0), two, one))
-            alone.append(one)
-        return np.column_stack((np.log(p[0] / p[1]), np.log(alone[0] / alone[1])))
+            p.append((np.where((before[:, 3 + c] > 0) & (before[:, 5 + c] > 0), two, one), one, q))
+        return np.column_stack([np.log(a / b) for a, b in zip(*p)])
 
 
-def counted(chunks: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, Model]:
-    """What the buckets send back; (h, NUMBERS) of all words and stems; sizes and discounts."""
-    sums = stored(sent(chunks, bits).groupBy("bucket").applyInArrow(summed, SUMS), "toxic-bigrams")
-    told = sums.where(F.col("chunk").isNull())
-    words = told.select(F.inline("stats")).groupBy("h").agg(F.max("stem").alias("stem"), *(F.sum(c).alias(c) for c in NUMBERS))
+def counted(training: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, Model]:
+    """(h, NUMBERS) of all words and stems; (h, n_toxic, n_other) of bigrams; sizes and discounts."""
+    ship(training.sparkSession)
+    sums = stored(sent(training, bits).groupBy("cell").applyInArrow(summed, SUMS), "toxic-sums")
+    when = lambda kind, c: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0))
+    columns = [*((WORD, c) for c in "abc"), *((CONTEXT, c) for c in "abcd")]
+    words = sums.where(F.col("kind").isin(WORD, CONTEXT)).groupBy("h").agg(F.max("stem").alias("stem"), *(when(k, c).alias(n) for n, (k, c) in zip(NUMBERS, columns)))
     words = stored(words, "toxic-words")
     stems = stored(words.where("stem IS NOT NULL").groupBy("stem").agg(*(F.sum(c).alias(c) for c in NUMBERS[:3])), "toxic-stems")
     some = lambda c, cond: F.sum(F.when(cond, 1).otherwise(0)).alias(c)
     size = [F.sum("k").alias("k")] + [x for c in ("toxic", "other") for x in (F.sum(f"n_{c}").alias(f"n_{c}"), some(f"types_{c}", F.col(f"n_{c}") > 0), some(f"n1_{c}", F.col(f"n_{c}") == 1), some(f"n2_{c}", F.col(f"n_{c}") == 2))]
-    types = told.select(*(F.sum(F.col("types")[i]) for i in range(4))).first()
+    types = sums.where(F.col("kind") == TYPES).agg(*(F.sum(c) for c in "abcd")).first()
     model = Model(words.agg(*size).first().asDict(), stems.agg(*size).first().asDict(), [x or 0 for x in types])
-    single = lambda c: F.col(c).cast("float").alias(c)
-    no = F.lit(0).cast("float")
-    rows = words.select("h", *map(single, NUMBERS)).unionByName(stems.select(F.col("stem").alias("h"), *map(single, NUMBERS[:3]), *(no.alias(c) for c in NUMBERS[3:])))
-    return sums.where(F.col("chunk").isNotNull()), rows, model
+    no = F.lit(0).cast("long")
+    rows = words.select("h", *NUMBERS).unionByName(stems.select(F.col("stem").alias("h"), *NUMBERS[:3], *(no.alias(c) for c in NUMBERS[3:])))
+    return rows, sums.where(F.col("kind") == PAIR).select("h", F.col("a").alias("n_toxic"), F.col("b").alias("n_other")), model
+
+
+# ---- scoring
+
+
+class Known:
+    """Numbers by sorted key, a byte each; rows with a larger one stand apart."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, values = keys[order], values[order]
+        large = np.flatnonzero((values >= FULL).any(1))
+        self.large, self.exact = self.keys[large], values[large].astype(np.float64)
+        self.values = np.minimum(values, FULL).astype(np.uint8)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of h, zeros where it is unknown."""
+        out = np.zeros((len(h), self.values.shape[1]))
+        for keys, values in ((self.keys, self.values), (self.large, self.exact)):
+            if len(keys) and len(h):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[at] == h
+                out[hit] = values[at[hit]]
+        return out
+
+
+def collected(rows: DataFrame, columns: tuple[str, ...]) -> Known:
+    """rows (h, columns) on the driver; their number was checked. Small numbers travel in two bytes."""
+    short = rows.select("h", *(F.least(F.col(c), F.lit(FULL)).cast("short").alias(c) for c in columns)).toArrow()
+    of = lambda t: (t["h"].to_numpy().astype(U64), np.column_stack([t[c].to_numpy().astype(np.uint8) for c in columns]))
+    out = Known(*of(short))
+    del short
+    large = rows.where(F.greatest(*columns) >= FULL).select("h", *columns).toArrow()
+    apart = Known(large["h"].to_numpy().astype(U64), np.column_stack([large[c].to_numpy() for c in columns]))
+    out.large, out.exact = apart.large, apart.exact
+    return out
 
 
-def evidence(hashes: np.ndarray, row: np.ndarray, llr: np.ndarray) -> np.ndarray:
+def evidence(row: np.ndarray, llr: np.ndarray) -> np.ndarray:
     """(rows, 3): mean ratio of all words, of the best window, of the best word."""
     out = np.zeros((len(row) - 1, 3))
     full = np.flatnonzero(row[1:] > row[:-1])
@@ -248,103 +298,115 @@ def evidence(hashes: np.ndarray, row: np.ndarray, llr: np.ndarray) -> np.ndarray
     return out
 
 
-def both_evidence(b: Bigrams, llr: np.ndarray) -> np.ndarray:
-    return np.hstack([evidence(b.hashes, b.row, llr[:, i]) for i in (0, 1)])
-
+def both_evidence(t: Tokens, llr: np.ndarray) -> np.ndarray:
+    return np.hstack([evidence(t.row, llr[:, i]) for i in range(ORDERS)])
 
-def found(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The values of h, zeros where it is not among the sorted keys."""
-    out = np.zeros((len(h), len(NUMBERS)))
-    if len(keys) and len(h):
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = keys[at] == h
-        out[hit] = values[at[hit]]
-    return out
 
-
-def without_itself(model: Model, b: Bigrams, token: np.ndarray, label: np.ndarray, pair: np.ndarray, before: np.ndarray, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
-    """Ratios of the tokens named, with the counts taken without the document of each; label: its class. before is by place in b.contexts."""
-    doc, p = b.doc[token], b.token[token]
+def without_itself(model: Model, t: Tokens, token: np.ndarray, label: np.ndarray, pair: np.ndarray, before: np.ndarray, word: np.ndarray, stem: np.ndarray) -> np.ndarray:
+    """Ratios of the tokens named, with the counts taken without the document of each; label: its class. before is by place in t.contexts."""
+    doc, p = t.doc[token], t.pair[token]
 
     def own(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         _, of, counts = np.unique(doc * n + ids, return_inverse=True, return_counts=True)
         return counts[of], of
 
-    _, stem_of = np.unique(b.stems, return_inverse=True)
-    n_pair, which = own(p, len(b.w))
-    n_before, same = own(b.v[p], len(b.contexts))
-    n_word, n_stem = own(b.w[p], len(b.words))[0], own(stem_of[b.w[p]], len(b.words))[0]
-    x, y, w, s = pair[p].astype(float), before[b.v[p]].copy(), word[b.w[p]].copy(), stem[b.w[p]].copy()
-    # Types after a context that the document alone has; each counts once, at the first of its tokens.
-    alone = n_pair >= x[np.arange(len(p)), 1 - label]
+    _, stem_of = np.unique(t.stems, return_inverse=True)
+    n_pair, which = own(p, len(t.w))
+    n_before, same = own(t.v[p], len(t.contexts))
+    n_word, n_stem = own(t.w[p], len(t.words))[0], own(stem_of[t.w[p]], len(t.words))[0]
+    x, y, w, s = pair[p].copy(), before[t.v[p]].copy(), word[t.w[p]].copy(), stem[t.w[p]].copy()
+    # Types after a context that the document alone has; each counts once, at the first of its tokens. A bigram below the cutoff has no row: it is the document's own.
+    at = np.arange(len(p))
+    alone = n_pair >= x[at, 1 - label]
     first = np.zeros(len(p), bool)
     first[np.unique(which, return_index=True)[1]] = True
     lost = np.bincount(same, alone & first)[same] if len(p) else np.zeros(0)
-    at = np.arange(len(p))
     for numbers, column, less in ((x, 1 - label, n_pair), (y, 4 - label, n_before), (y, 6 - label, lost), (w, 1 - label, n_word), (s, 1 - label, n_stem)):
         numbers[at, column] = np.maximum(numbers[at, column] - less, 0)
+    x[(x[:, 0] == 0) & (x[:, 1] < CUTOFF), 1] = 0
     return model.ratio(x, y, w, s)
 
 
-def with_evidence(chunks: DataFrame, sums: DataFrame, rows: DataFrame, model: Model, bits: int, fields: list[T.StructField], model_rows: int = MODEL_ROWS) -> DataFrame:
-    """The documents with e0 ... e5; and with x0 ... x5, the same without the document's own counts, where __sampled is set."""
-    keep = [f.name for f in fields]
-    extra = [f"{k}{i}" for k in "ex" for i in range(RATIOS)]
-    schema = T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in extra)])
-
-    def scored(docs: pa.RecordBatch, back: list[dict], keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        b = Bigrams(docs["text"], bits)
-        e, x = np.zeros((docs.num_rows, RATIOS)), np.zeros((docs.num_rows, RATIOS))
-        is_sampled = np.array(docs["__sampled"].to_pylist(), bool)
-        if len(b.token):
-            back = sorted(back, key=lambda r: r["bucket"])
-            pair = np.column_stack([np.concatenate([unpacked(r[f"counts_{c}"]) for r in back]) for c in ("toxic", "other")])
-            assert len(pair) == len(b.w)
-            before, stem = found(keys, values, b.contexts), found(keys, values, b.stems)
-            word = before[1:]
-            e = both_evidence(b, model.ratio(pair, before[b.v], word[b.w], stem[b.w])[b.token])
-            token = np.flatnonzero(is_sampled[b.doc])
-            if len(token):
-                label = np.array([x or 0 for x in docs["__toxic"].to_pylist()], np.int64)[b.doc[token]]
-                llr = np.zeros((len(b.token), 2))
-                llr[token] = without_itself(model, b, token, label, pair, before, word, stem)
-                x = both_evidence(b, llr)
-        numbers = [pa.array(e[:, i]) for i in range(RATIOS)] + [pa.array(x[:, i], mask=~is_sampled) for i in range(RATIOS)]
-        return pa.RecordBatch.from_arrays([*(docs[c] for c in keep), *numbers], names=[*keep, *extra])
-
-    of_chunk = sums.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts_toxic", "counts_other")).alias("back"))
-    both = chunks.repartition(max(1, min(2000, chunks.count())), "chunk").join(of_chunk, "chunk", "left")
-    if rows.count() <= model_rows:
-        t = rows.toArrow()
-        keys = t["h"].to_numpy().view(U64)
-        order = np.argsort(keys)
-        # Its size was checked just now: 36 bytes a row.
-        shared = chunks.sparkSession.sparkContext.broadcast((keys[order], np.column_stack([t[c].to_numpy() for c in NUMBERS])[order]))
-        del t
+EXTRA = [f"{k}{i}" for k in "ex" for i in range(RATIOS)]
+
+
+def scored(docs: pa.RecordBatch, keep: list[str], model: Model, t: Tokens, words: Known, pairs: Known) -> pa.RecordBatch:
+    """docs (text, __sampled: the label of a row of the sample) with e0 ... e8; and with x0 ... x8, the same without the document's own counts, in the sample."""
+    e, x = np.zeros((docs.num_rows, RATIOS)), np.zeros((docs.num_rows, RATIOS))
+    label = np.array([-1 if y is None else y for y in docs["__sampled"].to_pylist()], np.int64)
+    if len(t.pair):
+        pair, before, stem = pairs.find(t.keys()), words.find(t.contexts), words.find(t.stems)
+        word = before[1:]
+        e = both_evidence(t, model.ratio(pair, before[t.v], word[t.w], stem[t.w])[t.pair])
+        token = np.flatnonzero(label[t.doc] >= 0)
+        if len(token):
+            llr = np.zeros((len(t.pair), ORDERS))
+            llr[token] = without_itself(model, t, token, label[t.doc[token]], pair, before, word, stem)
+            x = both_evidence(t, llr)
+    numbers = [pa.array(e[:, i]) for i in range(RATIOS)] + [pa.array(x[:, i], mask=label < 0) for i in range(RATIOS)]
+    return pa.RecordBatch.from_arrays([*(docs[c] for c in keep), *numbers], names=[*keep, *EXTRA])
+
+
+def with_evidence(docs: DataFrame, words: DataFrame, pairs: DataFrame, model: Model, keep: list[T.StructField], model_rows: int = MODEL_ROWS) -> DataFrame:
+    """The columns `keep` of docs, and EXTRA."""
+    names = [f.name for f in keep]
+    schema = T.StructType([*keep, *(T.StructField(c, T.DoubleType()) for c in EXTRA)])
+    spark = docs.sparkSession
+    ship(spark)
+    if words.count() + pairs.count() <= model_rows:
+        shared = spark.sparkContext.broadcast((collected(words, NUMBERS), collected(pairs, NUMBERS[:2])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, docs, back in opened(batches, "back"):
-                yield from parts(scored(docs, back.as_py() or [], *shared.value))
+            for batch in batches:
+                for part in parts(batch):
+                    yield scored(part, names, model, Tokens(part["text"]), *shared.value)
+
+        return docs.mapInArrow(run, schema)
 
-        return both.mapInArrow(run, schema)
+    # Beyond that size: distinct keys of each chunk meet the tables in a join, and come back to their chunk as an array.
+    chunks = stored(chunked(docs), "toxic-chunks")
 
-    # Beyond that size: distinct words and stems of each chunk meet the table in a join, and come back to their chunk as an array.
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, docs in opened(batches, "docs"):
-            hashes, stems, _ = textnp.lower_words_and_stems(*textnp.bytes_of(docs["text"]), STEM)
-            h = np.unique(np.concatenate((np.zeros(1, U64), hashes, stems))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(h)], names=["mark", "h"])
+        for chunk, part in opened(batches):
+            t = Tokens(part["text"])
+            h = np.concatenate((t.contexts, np.unique(t.stems), t.keys())).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(h)], names=["of", "h"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, docs, back, words in opened(batches, "back", "words"):
-            of = words.values.flatten() if words.is_valid else []
-            keys = of[0].to_numpy().view(U64) if len(of) else np.zeros(0, U64)
-            values = np.column_stack([x.to_numpy() for x in of[1:]]) if len(of) else np.zeros((0, len(NUMBERS)))
-            order = np.argsort(keys)
-            yield from parts(scored(docs, back.as_py() or [], keys[order], values[order]))
+        for _, part, found in opened(batches, "found"):
+            of = found.values.flatten() if found.is_valid else [pa.array([], pa.int64())] * (1 + len(NUMBERS))
+            keys, values = of[0].to_numpy().astype(U64), np.column_stack([x.to_numpy() for x in of[1:]])
+            pair = keys >= PAIRS
+            yield from parts(scored(part, names, model, Tokens(part["text"]), Known(keys[~pair], values[~pair]), Known(keys[pair], values[pair][:, :2])))
+
+    no = F.lit(0).cast("long")
+    every = words.unionByName(pairs.select("h", *NUMBERS[:2], *(no.alias(c) for c in NUMBERS[2:])))
+    found = chunks.select("chunk", "docs").mapInArrow(distinct, "of long, h long").join(every, "h").groupBy("of").agg(F.collect_list(F.struct("h", *NUMBERS)).alias("found"))
+    return chunks.join(found, F.col("chunk") == F.col("of"), "left").select("chunk", "docs", "found").mapInArrow(joined, schema)
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """(chunk, docs): docs in chunks of about CHUNK tokens, each as one Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    words = chunks.mapInArrow(distinct, "mark long, h long").join(rows, "h").groupBy("mark").agg(F.collect_list(F.struct("h", *NUMBERS)).alias("words"))
-    return both.join(words, F.col("chunk") == F.col("mark"), "left").mapInArrow(joined, schema)
+        task = TaskContext.get().partitionId()
+        for n, docs in enumerate(of_chunks(batches)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(docs)
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "docs"])
+
+    return docs.mapInArrow(run, "chunk long, docs binary")
+
+
+def opened(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            docs = pa.ipc.open_stream(batch["docs"][i].as_py()).read_all().combine_chunks().to_batches()
+            if docs:
+                yield (batch["chunk"][i].as_py(), docs[0], *(batch[c][i] for c in names))
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -363,31 +425,31 @@ def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def toxicity(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS, keep_text: bool = False) -> DataFrame:
     """docs (doc_id, text and any others) with held_out, score and predicted, without text unless keep_text is set. labels: (doc_id, toxic)."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("__toxic"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("__toxic"))
     known = stored(known, "toxic-labels")
     total, positive = known.agg(F.count("*"), F.coalesce(F.sum("__toxic"), F.lit(0))).first()
+    ids = F.broadcast(known) if total <= LABEL_ROWS else known
+    training = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id")).select("text", "__toxic")
+    size = training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = max(4, int(np.ceil(np.log2(max(1, size / CELL_BYTES)))))
+    words, pairs, model = counted(training, bits)
     share = min(1.0, SAMPLE / max(1, total))
-    sampled = F.pmod(F.xxhash64("label_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
     # At most about SAMPLE ids, whatever the size of the corpus.
-    known = known.withColumn("__sampled", sampled)
-    marked = docs.join(known, F.col("doc_id") == F.col("label_id"), "left").select(*docs.columns, "__toxic", F.coalesce("__sampled", F.lit(False)).alias("__sampled"))
-    chunks = stored(chunked(marked), "toxic-chunks")
-    bits = max(4, int(np.ceil(np.log2(max(1, chunks.count())))) - 2)  # a bucket for about four chunks
-    sums, rows, model = counted(chunks, bits)
-    fields = [f for f in marked.schema.fields if keep_text or f.name != "text"]
-    out = stored(with_evidence(chunks, sums, rows, model, bits, fields, model_rows), "toxic-evidence")
-    discard(chunks)
-    seen = out.where("__sampled").select("__toxic", *(F.col(f"x{i}") for i in range(RATIOS))).toPandas()
+    sample = known.where(F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)).withColumnRenamed("__toxic", "__sampled")
+    marked = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    out = stored(with_evidence(marked, words, pairs, model, [*fields, marked.schema["__sampled"]], model_rows), "toxic-evidence")
+    seen = out.where("__sampled IS NOT NULL").select("__sampled", *(F.col(f"x{i}") for i in range(RATIOS))).toPandas()
     seen = seen.sort_values(list(seen.columns), ignore_index=True)  # the same weights in every run
-    if len(seen) and seen["__toxic"].nunique() == 2:
-        w = fitted(seen[[f"x{i}" for i in range(RATIOS)]].to_numpy(), seen["__toxic"].to_numpy(float))
+    if len(seen) and seen["__sampled"].nunique() == 2:
+        w = fitted(seen[[f"x{i}" for i in range(RATIOS)]].to_numpy(), seen["__sampled"].to_numpy(float))
     else:
         rate = min(max(positive / total, 1e-6), 1 - 1e-6) if total else 0.5
         w = np.append(np.zeros(RATIOS), np.log(rate / (1 - rate)))
     z = sum((F.col(f"e{i}") * F.lit(float(w[i])) for i in range(RATIOS)), F.lit(float(w[RATIOS])))
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     out = out.select("*", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    return out.drop("__toxic", "__sampled", *(f"x{i}" for i in range(RATIOS)), *(f"e{i}" for i in range(3, RATIOS)))
+    return out.drop("__sampled", *(f"x{i}" for i in range(RATIOS)), *(f"e{i}" for i in range(3, RATIOS)))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
