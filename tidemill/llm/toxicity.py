@@ -191,7 +191,7 @@ def summed(group: pa.Table) -> pa.Table:
         (TYPES, none(1), None, *(np.array([int((x == i).sum())]) for x in (t, o) for i in (1, 2))),
     ]
     sizes = [len(b[1]) for b in blocks]
-    whole = lambda i: pa.array(np.concatenate([b[i] for b in blocks]).astype(np.int64))
+    whole = lambda i: pa.array(np.concatenate([b[i].astype(np.int64) for b in blocks]))
     stems = pa.concat_arrays([pa.nulls(n, pa.int64()) if b[2] is None else pa.array(b[2].astype(np.int64)) for b, n in zip(blocks, sizes)])
     kinds = pa.array(np.repeat(np.array([b[0] for b in blocks], np.int8), sizes))
     return pa.table([kinds, whole(1), stems, *map(whole, (3, 4, 5, 6))], names=[x.split()[0] for x in SUMS.split(", ")])
