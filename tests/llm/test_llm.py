@@ -464,21 +464,34 @@ def test_pieces_like_the_library(spark, edge):
         assert alone.decode(np.array(mine, int)) == t.replace("▁", " ")
 
 
-@pytest.mark.parametrize("chunk", [17, 40, 100])
-def test_chunks_score_as_the_whole(spark, edge, chunk):
-    names, scores, kinds, prefix, _ = pieces.read_model(pieces.MODEL)
-    it = pieces.Lattice(names, scores, kinds, prefix)
-    total = lambda raw: sum(scores[i] for i in np.frombuffer(raw, "<i4").tolist() if kinds[i] != 6)
-    for text in [d[1] or "" for d in docs_of(spark, edge)][:40] + ["abc" * 300, "zq" * 200 + " b"]:
-        t = it.normal(text)
-        n = -(-len(t) // chunk)
-        if not n:
-            continue
-        part, size = [t[k * chunk : (k + 1) * chunk + it.reach] for k in range(n)], [min(chunk, len(t) - k * chunk) for k in range(n)]
-        states = pieces.boundary_states(np.stack([it.transfer(p, s) for p, s in zip(part, size)]))
-        ids = b"".join(it.trace(p, s, a, b) for p, s, a, b in zip(part, size, states, states[1:]))
-        assert total(ids) == total(it.encode(text))
-        assert it.decode(np.frombuffer(ids, "<i4")) == it.decode(np.frombuffer(it.encode(text), "<i4"))
+def in_chunks(it, text, chunk):
+    t = it.normal(text)
+    n = -(-len(t) // chunk)
+    part, size = [t[k * chunk : (k + 1) * chunk + it.reach] for k in range(n)], [min(chunk, len(t) - k * chunk) for k in range(n)]
+    before = pieces.prefix_scores(np.stack([it.transfer(p, s) for p, s in zip(part, size)]))
+    ways = [it.walk(p, s, b.tolist()) for p, s, b in zip(part, size, before)]
+    return b"".join(shared + tails[j] for (shared, _, tails), j in zip(ways, pieces.followed([w[1] for w in ways])))
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 17, 40, 100])
+def test_chunks_are_segmented_as_the_whole(spark, edge, chunk, monkeypatch):
+    monkeypatch.setattr(pieces, "SCAN", 7)
+    model = pieces.read_model(pieces.MODEL)
+    it = pieces.Lattice(*model)
+    texts = [d[1] or "" for d in docs_of(spark, edge)][:40] + ["abc" * 60, "zq" * 90 + " b", "a" * 150, "   " * 30, "é日" * 40]
+    for text in [t[:600] for t in texts if t]:
+        assert in_chunks(it, text, chunk) == it.encode(text)
+
+
+def test_pieces_of_texts_above_the_chunk(spark):
+    """Two texts above the default chunk, one of them a single word."""
+    rng = random.Random(11)
+    rows = [(1, " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(1, 12))) for _ in range(6000))), (2, "".join(rng.choice("ab") for _ in range(pieces.CHUNK + 500))), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (bytes(r["ids"]), r["chunks"]) for r in pieces.tokens(df).collect()}
+    it = pieces.Lattice(*pieces.read_model(pieces.MODEL))
+    for i, text in rows:
+        assert got[i][0] == it.encode(text) and (got[i][1] > 1) == (i < 3)
 
 
 def test_product_is_associative():
@@ -492,7 +505,8 @@ def test_pieces_query(spark, edge):
     small = pieces.checked(pieces.tokens(df, chunk=500)).collect()
     whole = pieces.op7_pieces(spark, edge).collect()
     assert len(small) == len(whole) == len(docs_of(spark, edge))
-    assert Counter((r["doc_id"], r["decoded_sha256"], r["round_trip"]) for r in small) == Counter((r["doc_id"], r["decoded_sha256"], r["round_trip"]) for r in whole)
+    columns = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
+    assert Counter(tuple(r[c] for c in columns) for r in small) == Counter(tuple(r[c] for c in columns) for r in whole)
     assert max(r["chunks"] for r in small) > 1
 
 

@@ -2,20 +2,25 @@
 
 A text is cut at places that no piece crosses (before a space mark that follows another character, around characters that no piece has), so
 each word between two such places is segmented alone, for all its occurrences in a batch. The library's own lattice search does that, reading the
-same pieces with the same integer scores; in its 32-bit floats their sums over a word are exact.
+same pieces with the same integer scores; in its 32-bit floats their sums over a word of up to LIBRARY_CHARS are exact. Longer words take the search here.
+
+One rule settles ties, the library's: of the best ways to an end, the one whose last piece starts earliest. It depends on the best scores up to each place
+alone, so a text has one segmentation, whatever chunks it is cut into.
 
 Giant texts are cut into chunks of CHUNK characters anywhere. A chunk's boundary states are how far a piece of the chunk before reaches into
 it; its transfer matrix has the best score from each state at its start to each state at its end. The max-plus product is
-associative, so all prefix products come from a doubling scan; they fix the best state at each boundary, and each chunk is then
-traced back by itself. Between its first and last safe place a chunk's matrix is a sum of a column, a number and a row; a chunk
-without safe places (one giant word) pays for all states.
+associative, so all prefix products come from a doubling scan; they give the best score of every state at each boundary. From those each chunk is
+traced back by itself, for every state at its end: which state at its start that comes from, and the pieces between. What is left is to follow
+one state a chunk from the text's end. Between its first and last safe place a chunk's matrix is a sum of a column, a number and a row, and its trace is
+the same for all states; a chunk without safe places (one giant word) pays for all states.
 
 Scores are integers (thousandths of a log-probability), so sums do not depend on their order. A vocabulary of the merge type has ranks in
 the place of scores; its pieces get the Zipf-Mandelbrot probability of their rank. A character without a piece costs UNKNOWN more than the
 worst piece, as in the library, and is spelled in byte pieces.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; a literal space mark decodes as a space, as the format has
-it; of equally good segmentations, the one whose pieces are longest at the earliest ends within a chunk; equal texts, equal tokens.
+it; equal texts, repeated rows among them, have equal tokens; an empty table gives no rows; docs may have columns of any names but the results' (ids,
+chunks) and `__mark`.
 """
 
 from __future__ import annotations
@@ -41,8 +46,14 @@ UNKNOWN = 10
 SCALE = 1000
 MANDELBROT = 2.7
 NEVER = -(1 << 60)
-#: Words that a task remembers.
+#: Words that a task remembers, and characters of a word that the library segments.
 MEMORY = 200_000
+LIBRARY_CHARS = 1000
+#: Chunks that a task takes, and matrices whose products are made at once.
+TASK_CHUNKS = 16
+SCAN = 256
+#: Where a session names another vocabulary.
+MODEL_SETTING = "spark.tidemill.pieces.model"
 
 
 @lru_cache(4)
@@ -112,6 +123,11 @@ class Lattice:
         self.words = re.compile(rf"{MARK}*[^{MARK}{a}]+|{MARK}+" + (f"|[{a}]" if a else "")) if not inside else re.compile(r"(?s).+")
         self.cuts = None if inside else re.compile(rf"(?<=[^{MARK}])(?={MARK})" + (f"|(?=[{a}])|(?<=[{a}])" if a else ""))
         self.code = [i.to_bytes(4, "little") for i in range(len(pieces))]
+        # What a token adds to the score; a character in byte pieces adds it with its first byte.
+        self.worth = np.array([s if k in (1, 4) else 0 for s, k in zip(scores, kinds)], np.int64)
+        for b, i in self.bytes.items():
+            self.worth[i] = 0 if 0x80 <= b < 0xC0 else self.unknown
+        self.worth[self.unknown_id] = self.unknown
         self.memory = Memory(self.segmented)
 
     def forward(self, text: str, best: list[int], back: list, upto: int) -> None:
@@ -159,12 +175,12 @@ class Lattice:
 
     def learn(self, words: set[str]) -> None:
         """Segments the words of a batch that are not known yet, all at once."""
-        new = [w for w in words if w not in self.memory]
+        new = [w for w in words if w not in self.memory and len(w) <= LIBRARY_CHARS]
         if self.library is None or not new:
             return
         if len(self.memory) + len(new) > MEMORY:
             self.memory.clear()
-            new = list(words)
+            new = [w for w in words if len(w) <= LIBRARY_CHARS]
         code = self.code
         self.memory.update(zip(new, (b"".join([code[i] for i in ids]) for ids in self.library.encode(new, num_threads=1))))
 
@@ -218,7 +234,7 @@ class Lattice:
             best[i] = 0
             self.forward(text[:a], best, [None] * (a + 1), a)
             head[i] = best[a]
-        middle = sum(self.scored(w)[1] for w in self.words.findall(text[a:b]))
+        middle = int(self.worth[np.frombuffer(self.encode_word_run(text[a:b]), "<i4")].sum())
         rest = text[b:]
         best = [0] + [NEVER] * len(rest)
         self.forward(rest, best, [None] * (len(rest) + 1), size - b)
@@ -229,27 +245,53 @@ class Lattice:
         out[ok] = (head[:, None] + middle + tail[None, :])[ok]
         return out
 
-    def trace(self, text: str, size: int, enter: int, leave: int) -> bytes:
-        """Ids of the pieces that start in the chunk, between two boundary states."""
-        found = self.safe(text, size)
+    def encode_word_run(self, text: str) -> bytes:
+        """The ids of a text between two safe places."""
+        words = self.words.findall(text)
+        self.learn(set(words))
+        return b"".join(map(self.memory.__getitem__, words))
+
+    def walk(self, text: str, size: int, before: list[int]) -> tuple[bytes, list[int], list[bytes]]:
+        """The pieces that start in the chunk, as a part that all ways share and one for each state at its end, and the state at its start that each comes from.
+
+        before: the best scores of the states at its start. A state that nothing reaches comes from -1. Earlier starts win ties, so a state keeps its own score
+        against an equal one from within the chunk.
+        """
+        m, found = self.reach, self.safe(text, size)
+        ends = range(min(m, len(text) - size + 1))
+        shared, enter, tails = b"", [-1] * m, [b""] * m
+
+        def entered(upto: int) -> tuple[list[int], list]:
+            best, back = [NEVER] * (upto + 1), [None] * (upto + 1)
+            for i in range(min(m, upto + 1)):
+                best[i] = before[i]
+            return best, back
+
+        def root(back: list, at: int) -> int:
+            while back[at] is not None:
+                at = back[at][0]
+            return at
+
         if found is None:
-            best, back = [NEVER] * (len(text) + 1), [None] * (len(text) + 1)
-            if enter > size:
-                return b""
-            best[enter] = 0
+            best, back = entered(len(text))
             self.forward(text, best, back, size)
-            return self.spell(text, back, enter, size + leave)
+            for j in ends:
+                if best[size + j] > NEVER:
+                    enter[j] = root(back, size + j)
+                    tails[j] = self.spell(text, back, enter[j], size + j)
+            return shared, enter, tails
         a, b = found
-        best, back = [NEVER] * (a + 1), [None] * (a + 1)
-        best[enter] = 0
+        best, back = entered(a)
         self.forward(text[:a], best, back, a)
-        out = [self.spell(text, back, enter, a)]
-        out += map(self.memory.__getitem__, self.words.findall(text[a:b]))
+        start = root(back, a)
+        shared = self.spell(text, back, start, a) + self.encode_word_run(text[a:b])
         rest = text[b:]
         best, back = [0] + [NEVER] * len(rest), [None] * (len(rest) + 1)
         self.forward(rest, best, back, size - b)
-        out.append(self.spell(rest, back, 0, size - b + leave))
-        return b"".join(out)
+        for j in ends:
+            if best[size - b + j] > NEVER:
+                enter[j], tails[j] = start, self.spell(rest, back, 0, size - b + j)
+        return shared, enter, tails
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -266,21 +308,35 @@ def prefix_products(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_states(m: np.ndarray) -> list[int]:
-    """The state at each boundary of the chunks with these matrices, one more than there are; both ends are state 0."""
-    before = np.full((len(m) + 1, m.shape[1]), NEVER, np.int64)
-    before[0, 0] = 0
-    before[1:] = prefix_products(m)[:, 0, :]
-    states = [0]
-    for k in range(len(m) - 1, -1, -1):
-        states.append(int(np.argmax(before[k] + m[k, :, states[-1]])))
+def prefix_scores(m: np.ndarray) -> np.ndarray:
+    """The best scores of all states at the start of each chunk with these matrices; the text starts in state 0."""
+    before = np.full((len(m), m.shape[1]), NEVER, np.int64)
+    now = np.full(m.shape[1], NEVER, np.int64)
+    now[0] = 0
+    for at in range(0, len(m), SCAN):
+        upto = product(now[None, None, :], prefix_products(m[at : at + SCAN]))[:, 0, :]
+        before[at], before[at + 1 : at + SCAN] = now, upto[:-1]
+        now = upto[-1]
+    return before
+
+
+def followed(enter: list[list[int]]) -> list[int]:
+    """The state at the end of each chunk on the way that ends in state 0 of the last; enter: for each chunk, where its end states come from."""
+    states, now = [], 0
+    for of in reversed(enter):
+        states.append(now)
+        now = of[now]
     return states[::-1]
 
 
-def tokens(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, text_col: str = "text") -> DataFrame:
-    """docs with `ids`, the tokens as little-endian 32-bit numbers, and `chunks`."""
+def vocabulary(spark: SparkSession, model: str | None) -> str:
+    return model or spark.conf.get(MODEL_SETTING, MODEL)
+
+
+def tokens(docs: DataFrame, model: str | None = None, chunk: int = CHUNK, text_col: str = "text") -> DataFrame:
+    """docs with `ids`, the tokens as little-endian 32-bit numbers, and `chunks`. model: a vocabulary's path, else the session's."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_model(model))  # the vocabulary: of a size of its own, not the data's
+    shared = spark.sparkContext.broadcast(read_model(vocabulary(spark, model)))  # the vocabulary: of a size of its own, not the data's
     made: dict = {}
 
     def lattice() -> Lattice:
@@ -309,8 +365,10 @@ def tokens(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, text_col: st
             size = [min(chunk, len(text) - k * chunk) for k in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array([mark] * n), pa.array(range(n), pa.int32()), pa.array(size, pa.int32()), pa.array(part, pa.string())], names=["mark", "k", "size", "part"])
 
-    chunks = arrow_map(texts, cut, "mark string, k int, size int, part string")
-    chunks = stored(chunks.repartition("mark", "k"), "pieces-chunks")
+    chunks = stored(arrow_map(texts, cut, "mark string, k int, size int, part string"), "pieces-chunks")
+    # Few bytes hold much work, so tasks are dealt by the number of chunks.
+    tasks = max(1, -(-chunks.count() // TASK_CHUNKS))
+    dealt = chunks.repartition(tasks, "mark", "k")
 
     def matrices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         it = lattice()
@@ -320,26 +378,33 @@ def tokens(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, text_col: st
     def scan(t: pa.Table) -> pa.Table:
         t = t.sort_by("k")
         side = math.isqrt(len(t["m"][0].as_py()) // 8)
-        states = boundary_states(np.frombuffer(b"".join(t["m"].to_pylist()), np.int64).reshape(-1, side, side))
-        return pa.table({"mark": t["mark"], "k": t["k"], "enter": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32())})
+        before = prefix_scores(np.frombuffer(b"".join(t["m"].to_pylist()), np.int64).reshape(-1, side, side))
+        return pa.table({"mark": t["mark"], "k": t["k"], "before": pa.array(list(before), pa.list_(pa.int64()))})
 
-    states = arrow_map(chunks, matrices, "mark string, k int, m binary").groupBy("mark").applyInArrow(scan, "mark string, k int, enter int, leave int")
+    scores = arrow_map(dealt, matrices, "mark string, k int, m binary").groupBy("mark").applyInArrow(scan, "mark string, k int, before array<long>")
 
-    def trace(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def walked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         it = lattice()
-        ids = [it.trace(*x) for x in zip(*(batch[c].to_pylist() for c in ("part", "size", "enter", "leave")))]
-        yield pa.RecordBatch.from_arrays([batch["mark"], batch["k"], pa.array(ids, pa.binary())], names=["mark", "k", "ids"])
+        rows = [it.walk(*x) for x in zip(*(batch[c].to_pylist() for c in ("part", "size", "before")))]
+        kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([batch["mark"], batch["k"], *(pa.array(list(c), t) for c, t in zip(zip(*rows), kinds))], names=["mark", "k", "shared", "enter", "tails"])
+
+    ways = arrow_map(dealt.join(scores.repartition(tasks, "mark", "k"), ["mark", "k"]).select("mark", "k", "part", "size", "before"), walked, "mark string, k int, shared binary, enter array<int>, tails array<binary>")
+
+    def glue(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        last = followed(t["enter"].to_pylist())
+        ids = b"".join(x for shared, tails, j in zip(t["shared"], t["tails"], last) for x in (shared.as_py(), tails[j].as_py()))
+        return pa.table({"mark": t["mark"][:1], "ids": pa.array([ids], pa.binary()), "chunks": pa.array([len(last)], pa.int32())})
 
-    traced = arrow_map(chunks.join(states, ["mark", "k"]), trace, "mark string, k int, ids binary")
-    glued = traced.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
-    glued = glued.select("mark", F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"), F.size("all").alias("chunks"))
+    glued = ways.groupBy("mark").applyInArrow(glue, "mark string, ids binary, chunks int")
     back = large.join(glued, F.col("__mark") == F.col("mark"), "left").select(*columns, "ids", "chunks")
     return plain.unionByName(back)
 
 
-def checked(encoded: DataFrame, model: str = MODEL, text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def checked(encoded: DataFrame, model: str | None = None, text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """encoded (of tokens()) without its text: n_tokens, ids_sha256, decoded_sha256, round_trip, and ids as an array if asked for."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_model(model))
+    shared = encoded.sparkSession.sparkContext.broadcast(read_model(vocabulary(encoded.sparkSession, model)))
     made: dict = {}
     names = [f for f in encoded.schema.fields if f.name not in (text_col, "ids")]
     columns = [f.name for f in names]
