@@ -44,19 +44,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests on one machine)."""
+    """The folder that driver and executors share; a temporary one only where none is named and the driver is the only machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not hasattr(context, "_tidemill_dir"):
+        context._tidemill_dir = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
+    return context._tidemill_dir
+
+
+#: Paths given out so far, by this process.
+PATHS: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return PATHS[-1]
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -73,13 +79,25 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
-    path = getattr(df, "_tidemill_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for df in tables:
+        path = getattr(df, "_tidemill_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+def release(spark: SparkSession, since: int, kept: DataFrame) -> None:
+    """Deletes all tables whose paths were given out since PATHS had that length, but for `kept`, which reads none of the others."""
+    for path in PATHS[since:]:
+        if path != kept._tidemill_path:
+            remove(spark, path)
+    PATHS[since:] = [kept._tidemill_path]
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:

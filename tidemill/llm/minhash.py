@@ -3,17 +3,18 @@
 1. Each text becomes the set of its distinct n-word shingles (64-bit hashes), BANDS * ROWS universal hash minima, a hash for each band
    and a byte of each minimum. Texts with equal sets are one class from here on: copies need no pairs.
 2. Classes that share a band are candidates. With 32 bands of 4 minima a pair at the threshold of 0.8 shares none once in 2 * 10^7.
-3. Star round: in each bucket the member with the most candidates over all its bands is the hub, and all others are held against it: first
-   their signatures (bytes of minima; not in a bucket of two, which has no rest round), then their full sets. Verified pairs are links.
-4. Rest round: connected components so far; members of one bucket that are still apart are compared in full, all of them, in
-   square blocks of BLOCK members, so that no group is ever in one task and no pair becomes a row; each block
-   gives a spanning forest of its links. A bucket that is in one piece needs nothing.
+3. Star rounds: in each bucket one member is the hub, and others are held against it: first their signatures (bytes of minima; not in a bucket of
+   two, which has no rest round), then their full sets. Verified pairs are links. The first hub is the member with the most candidates over all its bands;
+   while a round finds links, buckets that are still in pieces get a hub from outside their largest piece, STARS times at most.
+4. Rest round: members of one bucket that are still apart are compared in full, all of them, in square blocks of BLOCK members, so that no group is
+   ever in one task and no pair becomes a row; each block gives a spanning forest of its links. A bucket that is in one piece needs nothing.
 5. Components of all links.
 
 So every pair that shares a band is either verified, or is joined already by other verified links: nothing is capped.
 
 Defined results: no words or a null text: an empty set, linked with nothing, its own component. A null id: not in the graph, component_id
-null, kept. Rows that share an id are one node. Row columns besides id and text may have any names.
+null, kept. Rows that share an id are one node, whatever their texts. Repeated rows are one class. A very long text is hashed whole, CHUNK shingles at a time. An
+empty table gives no rows. Row columns besides id and text may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import arrow_map, lookup, stored, table
+from .common import arrow_map, discard, lookup, stored, table
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -39,6 +40,8 @@ ADD = _rng.integers(0, 2**64 - 1, HASHES, dtype=np.uint64)
 CHUNK = 1 << 15
 #: Members on each side of a block of the rest round.
 BLOCK = 128
+#: Star rounds after the first.
+STARS = 3
 #: Standard deviations below the threshold at which a signature rules a pair out (about five times in 10^7 wrongly; the rest round sees these pairs again).
 SIGMAS = 5.2
 
@@ -164,31 +167,40 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], differ: np.ndar
     return out
 
 
-def rest_links(members: DataFrame, texts: DataFrame, components: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Links between members of one bucket that are in different components; members: (node, h, cnt)."""
+def torn_buckets(members: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (node, h, cnt, component) of buckets that are in pieces, and (h, main, n_out): the piece that most are in, and how many are not."""
     own = members.where("cnt > 2").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))  # a bucket of two has had its only pair compared
     own = stored(own, "minhash-members")
-    # The component that most of a bucket is in: its members need no comparison among themselves.
-    main = own.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = own.join(main.select("h", "main"), "h")
-    if apart.isEmpty():
-        return None
+    pieces = own.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("pieces"))
+    # Stored, so that the join has exchanges of its own, of which adaptive execution can split those of hot buckets.
+    main = stored(pieces.where("pieces > 1").select("h", F.col("most.component").alias("main"), (F.col("n") - F.col("most.n")).alias("n_out")), "minhash-torn")
+    apart = stored(own.join(main, "h"), "minhash-apart")
+    discard(own)
+    return apart, main
+
+
+def rest_links(apart: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between members of one bucket that are in different components; apart: (h, node, cnt, component, main, n_out)."""
     probes = F.col("component") != F.col("main")
-    outside = apart.where(probes).groupBy("h").agg(F.count("*").alias("n_out"))
-    apart = apart.join(outside, "h")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     mine = lambda c: F.pmod(F.xxhash64("node", "h"), blocks(c)).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks("n_out") - 1))
     right = apart.select("h", mine("cnt").alias("rb"), every.alias("lb"), F.lit(False).alias("probe"), "node", "component")
     left = apart.where(probes).select("h", F.explode(F.sequence(F.lit(0), blocks("cnt") - 1)).alias("rb"), mine("n_out").alias("lb"), F.lit(True).alias("probe"), "node", "component")
-    cells = left.unionByName(right).join(texts, "node")
+
+    def hashed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array([s.tobytes() for s in textnp.shingle_sets(batch["text"], n)], pa.binary())], names=["node", "hashes"])
+
+    # The sets are made once, and each cell gets them as they are.
+    sets = stored(arrow_map(texts.join(apart.select("node").distinct(), "node", "left_semi"), hashed, "node long, hashes binary"), "minhash-sets")
+    cells = left.unionByName(right).join(sets, "node")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         probe = np.array(t["probe"].to_pylist(), bool)
         sides = [t.filter(pa.array(m)) for m in (probe, ~probe)]
         ids = [s["node"].to_pylist() for s in sides]
         comps = [np.array(s["component"].to_pylist(), np.int64) for s in sides]
-        sets = [textnp.shingle_sets(s["text"], n) for s in sides]
+        sets = [[np.frombuffer(x.as_py(), np.uint64) for x in s["hashes"]] for s in sides]
         found = block_links(*sets, comps[0][:, None] != comps[1][None, :], percent)
         return pa.table({"a": pa.array([ids[0][i] for i, _ in found], pa.int64()), "b": pa.array([ids[1][j] for _, j in found], pa.int64())})
 
@@ -218,25 +230,42 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     degree = members.groupBy("node").agg(F.sum("cnt").alias("degree"))
     hubs = members.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", (-F.col("node")).alias("neg")))["neg"].alias("neg"))
     hubs = stored(hubs.select("h", (-F.col("neg")).alias("hub")), "minhash-hubs")
+
+    def star(pairs: DataFrame, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The pairs (a, b, alone) that are links; and the texts, which are stored when the first round knows which it needs."""
+        sigs = classes.select("node", "sig")
+        pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+        pairs = stored(likely(pairs, percent / 100), "minhash-pairs")
+        if texts is None:  # only texts that are compared are kept, once for each class
+            needed = members.where("cnt > 2").select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+            wanted = classes.join(needed, "node", "left_semi").select(F.col("node").alias("doc_id"), "mark").distinct()
+            texts = stored(source.join(wanted, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("node"), "text"), "minhash-texts")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        links = stored(verified(both, n, percent), "minhash-links")
+        discard(pairs)
+        return links, texts
+
     pairs = members.join(hubs, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "cnt").groupBy("a", "b").agg((F.min("cnt") == 2).alias("alone"))
-    sigs = classes.select("node", "sig")
-    pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = stored(likely(pairs, percent / 100), "minhash-pairs")
-
-    # Only texts that are compared are kept, once for each class.
-    needed = members.where("cnt > 2").select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    wanted = classes.join(needed, "node", "left_semi").select(F.col("node").alias("doc_id"), "mark").distinct()
-    texts = source.join(wanted, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-    texts = stored(texts, "minhash-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    links = stored(verified(both, n, percent).unionByName(same_id_links(known, classes)), "minhash-links")
-
-    components = connected_components(links)
-    rest = rest_links(members, texts, components, n, percent)
-    if rest is not None:
-        rest = stored(rest, "minhash-links")
+    links, texts = star(pairs, None)
+    components = connected_components(links.unionByName(same_id_links(known, classes)))
+    as_edges = lambda c: c.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    apart, main = torn_buckets(members, components)
+    for _ in range(STARS):
+        if main.isEmpty():
+            break
+        hubs = stored(apart.where("component <> main").groupBy("h").agg(F.min(F.struct("node", "component")).alias("hub")), "minhash-hubs")
+        pairs = apart.join(hubs, "h").where("component <> hub.component").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        links, _ = star(pairs.withColumn("alone", F.lit(False)), texts)
+        if links.isEmpty():
+            break
+        components = connected_components(as_edges(components).unionByName(links))
+        discard(apart, main)
+        apart, main = torn_buckets(members, components)
+    if not main.isEmpty():
+        rest = stored(rest_links(apart, texts, n, percent), "minhash-links")
         if not rest.isEmpty():
-            components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+            components = connected_components(as_edges(components).unionByName(rest))
+    discard(shared, members, hubs, texts, links, apart, main)
     # Row, class, component. A class may hold a third of all rows, so it is looked up without skew.
     of_class = classes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("class_component"), "rows")
     rows = lookup(feats.select("doc_id", "mark", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")), of_class, "fp", "class_component", "rows", feats.count())

@@ -12,7 +12,8 @@
 5. Covered ranges go back to all copies of a context, and each document's union is cut out.
 
 Defined results: a null text is empty; texts below `least` bytes lose nothing; matches never cross documents; rows with one id and
-different texts are told apart by their texts; rows that repeat id and text get equal results, and repeat each other.
+different texts are told apart by their texts; rows that repeat id and text get equal results, and repeat each other; a null id is an id like others; a very
+long text is one row of its batch; an empty table gives no rows; columns besides id and text may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import arrow_map, stored, table
+from .common import arrow_map, discard, stored, table
 
 LEAST = 400
 GRAM = 64
@@ -301,16 +302,17 @@ def repeats(docs: DataFrame, least: int, gram: int, hot: int) -> DataFrame:
     found = stored(anchor_rows(long_docs, least, gram), "suffix-anchors")
     # Stored, so that the join has exchanges of its own, of which adaptive execution can split the one with a hot anchor.
     twice = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "suffix-twice")
-    found = stored(found.join(twice, "anchor"), "suffix-repeated")
+    every, found = found, stored(found.join(twice, "anchor"), "suffix-repeated")
     kinds = found.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start", "size", "lead")).alias("one"))
     kinds = stored(kinds, "suffix-contexts")
-    numbers = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = kinds.where(F.col("one.size") >= least).join(numbers, "anchor")
+    # Stored as well: an anchor may have very many contexts.
+    numbers = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min(F.when(F.col("one.size") >= least, F.col("n"))).alias("least_n"))
+    kinds = kinds.where(F.col("one.size") >= least)
     whole = kinds.where("n > 1").select("anchor", "ctx", F.lit(0).alias("lo"), F.col("one.size").alias("hi"))
 
     # An anchor of which every context has copies has nothing left to find.
-    unsettled = kinds.groupBy("anchor").agg(F.min("n").alias("least_n")).where("least_n = 1").select("anchor")
-    asked = kinds.where("kinds > 1").join(unsettled, "anchor").select("anchor", "ctx", "n", "kinds", "one.*")
+    open_anchors = stored(numbers.where("kinds > 1 AND least_n = 1").select("anchor", "kinds"), "suffix-unsettled")
+    asked = kinds.join(open_anchors, "anchor").select("anchor", "ctx", "n", "kinds", "one.*")
     wanted = asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "ctx", "n", "kinds", "start", "size", "lead")).alias("all"))
     same_row = [long_docs["doc_id"].eqNullSafe(wanted["doc_id"]), long_docs["mark"] == wanted["mark"]]
     texts = long_docs.join(wanted, same_row).select(long_docs["doc_id"], long_docs["mark"], F.col("text").cast("binary").alias("text"), F.explode("all").alias("x"))
@@ -321,6 +323,7 @@ def repeats(docs: DataFrame, least: int, gram: int, hot: int) -> DataFrame:
     if not much.isEmpty():
         spans = spans.unionByName(counted_spans(much.select("anchor", "ctx", F.col("lead").alias("anchor_at"), "bytes"), least, gram))
     spans = stored(spans.groupBy("anchor", "ctx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-spans")
+    discard(every, twice, open_anchors, contexts)
     back = found.join(spans, ["anchor", "ctx"]).select("doc_id", "mark", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     return back.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
