@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns the columns of documents; the last returns tokens.
 Texts travel with their id and a hash of themselves, so that rows which share an id are told apart. Columns that a stage does not use travel
 in one struct, so that none can have the name of one of its own.
+
+Defined results: a null or empty text is ordinary to the model, a node of its own to the near-duplicates, holds no secret, has size 0 and is taken no time by the
+mixture. A null id keeps its row. Rows that repeat id and text count once from the second stage on. Very long texts are worked on whole in every stage. A null
+source is a source. Without labels nothing is toxic and all weights are 1; empty tables give no rows. Further columns of documents travel through the first four stages.
 """
 
 from __future__ import annotations
@@ -12,13 +16,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import minhash, mixing, pieces, secrets, toxicity
-from tidemill.llm.common import stored, table
-
-MARK = "__mark"
-
+from tidemill.llm import common, minhash, mixing, pieces, secrets, toxicity
+from tidemill.llm.common import table
 
-REST = "__rest"
+MARK, REST = "__mark", "__rest"
 
 
 def using(*needed: str) -> Callable:
@@ -64,7 +65,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Credentials that look live are replaced; widely copied examples stay."""
     scanned = secrets.scan(docs.select("doc_id", "source", F.xxhash64("text").alias("mark"), "text")).drop("text")
     hits = secrets.judged(scanned).where(F.size("spans") > 0).groupBy("doc_id", "mark").agg(F.first("spans").alias("__spans"))
-    joined = by_row(marked(docs), stored(hits, "secret-hits"), "left")
+    joined = by_row(marked(docs), common.stored(hits, "secret-hits"), "left")
     clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("__spans")))
     return joined.withColumn("text", clean).select(*docs.columns)
 
@@ -73,9 +74,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it; the one that the end of its source's budget falls into is taken whole."""
     rows = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
-    rows = stored(mixing.weighted(spark, rows, sf_dir), "mix-sizes")
+    rows = common.stored(mixing.weighted(spark, rows, sf_dir), "mix-sizes")
     copies = mixing.mix(rows, mixing.quality_weight(F.col("quality"))).where("copies > 0").groupBy("doc_id", "mark").agg(F.max("copies").alias("__copies"))
-    taken = by_row(marked(docs), stored(copies, "mix-copies"), "inner")
+    taken = by_row(marked(docs), common.stored(copies, "mix-copies"), "inner")
     return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
@@ -89,7 +90,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, began = table(spark, sf_dir, "documents"), len(common.PATHS)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.release(spark, began, docs)  # the shared folder keeps one stage's result, not all tables on the way there
     return docs
