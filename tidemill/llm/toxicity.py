@@ -348,7 +348,7 @@ def scored(docs: pa.RecordBatch, keep: list[str], model: Model, t: Tokens, words
 
 
 def with_evidence(docs: DataFrame, words: DataFrame, pairs: DataFrame, model: Model, keep: list[T.StructField], model_rows: int = MODEL_ROWS) -> DataFrame:
-    """The columns `keep` of docs, and EXTRA."""
+    """The columns `keep` of docs, and EXTRA; stored."""
     names = [f.name for f in keep]
     schema = T.StructType([*keep, *(T.StructField(c, T.DoubleType()) for c in EXTRA)])
     spark = docs.sparkSession
@@ -361,7 +361,9 @@ def with_evidence(docs: DataFrame, words: DataFrame, pairs: DataFrame, model: Mo
                 for part in parts(batch):
                     yield scored(part, names, model, Tokens(part["text"]), *shared.value)
 
-        return docs.mapInArrow(run, schema)
+        out = stored(docs.mapInArrow(run, schema), "toxic-evidence")
+        shared.destroy()  # nothing reads it again, and workers would keep it beside the next one
+        return out
 
     # Beyond that size: distinct keys of each chunk meet the tables in a join, and come back to their chunk as an array.
     chunks = stored(chunked(docs), "toxic-chunks")
@@ -382,7 +384,9 @@ def with_evidence(docs: DataFrame, words: DataFrame, pairs: DataFrame, model: Mo
     no = F.lit(0).cast("long")
     every = words.unionByName(pairs.select("h", *NUMBERS[:2], *(no.alias(c) for c in NUMBERS[2:])))
     found = chunks.select("chunk", "docs").mapInArrow(distinct, "of long, h long").join(every, "h").groupBy("of").agg(F.collect_list(F.struct("h", *NUMBERS)).alias("found"))
-    return chunks.join(found, F.col("chunk") == F.col("of"), "left").select("chunk", "docs", "found").mapInArrow(joined, schema)
+    out = stored(chunks.join(found, F.col("chunk") == F.col("of"), "left").select("chunk", "docs", "found").mapInArrow(joined, schema), "toxic-evidence")
+    discard(chunks)
+    return out
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -438,7 +442,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_ROWS, k
     sample = known.where(F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)).withColumnRenamed("__toxic", "__sampled")
     marked = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    out = stored(with_evidence(marked, words, pairs, model, [*fields, marked.schema["__sampled"]], model_rows), "toxic-evidence")
+    out = with_evidence(marked, words, pairs, model, [*fields, marked.schema["__sampled"]], model_rows)
     seen = out.where("__sampled IS NOT NULL").select("__sampled", *(F.col(f"x{i}") for i in range(RATIOS))).toPandas()
     seen = seen.sort_values(list(seen.columns), ignore_index=True)  # the same weights in every run
     if len(seen) and seen["__sampled"].nunique() == 2:
