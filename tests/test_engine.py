@@ -49,7 +49,7 @@ def test_unique_and_hidden_key(db):
     with pytest.raises(ConstraintError):
         db.sql("INSERT INTO uq VALUES (1, 2)")
     db.sql("CREATE TABLE lone (email TEXT UNIQUE, x INT)")
-    assert db.tables["lone"].pk == "email"
+    assert db.tables["lone"].pk == ["email"]
 
 
 def test_alter(db):
@@ -117,6 +117,135 @@ def test_transactions(db):
         db.sql("DELETE FROM t")
 
 
+def test_update_binds_places_over_the_statement(db):
+    db.sql("CREATE TABLE v (id INT PRIMARY KEY, v INT, name TEXT)")
+    db.sql("INSERT INTO v VALUES (1, 10, 'a'), (2, 20, 'b')")
+    db.sql("UPDATE v SET v = ? WHERE id = ?", [2, 1])
+    assert rows(db.sql("SELECT id, v FROM v")) == [(1, 2), (2, 20)]
+    db.sql("UPDATE v SET name = 'x where y', v = v + ? WHERE id = ?", [5, 2])
+    assert rows(db.sql("SELECT * FROM v")) == [(1, 2, "a"), (2, 25, "x where y")]
+    db.sql("UPDATE v SET name = name || $2 WHERE id = $1", [1, "!"])
+    assert rows(db.sql("SELECT name FROM v WHERE id = ?", [1])) == [("a!",)]
+    db.sql("DELETE FROM v WHERE name = 'x where y' AND v = ?", [25])
+    assert rows(db.sql("SELECT id FROM v")) == [(1,)]
+    with pytest.raises(DialectError):
+        db.sql("UPDATE v SET v = ? WHERE id = $1", [1])
+    for odd in ("_init__", "sql", "frame x", ""):
+        with pytest.raises(DialectError):
+            db.sql(odd)
+
+
+def test_composite_key(db):
+    db.sql("CREATE TABLE k (a INT, b INT, v TEXT, PRIMARY KEY (a, b))")
+    db.sql("INSERT INTO k VALUES (1, 1, 'x'), (1, 2, 'y'), (1, 2, 'z')")
+    assert rows(db.sql("SELECT * FROM k")) == [(1, 1, "x"), (1, 2, "z")]
+    db.sql("UPDATE k SET v = 'w' WHERE b = 2")
+    db.sql("DELETE FROM k WHERE b = 1")
+    assert rows(db.sql("SELECT * FROM k")) == [(1, 2, "w")]
+    assert [r["Key"] for r in db.sql("DESCRIBE k").collect()] == ["PRI", "PRI", ""]
+    assert "PRIMARY KEY (a, b)" in db.sql("SHOW CREATE TABLE k").first()[1]
+    with pytest.raises(ConstraintError):
+        db.sql("UPDATE k SET a = 2")
+
+
+def test_serial_is_dense(spark, db):
+    db.sql("CREATE TABLE s (id SERIAL PRIMARY KEY, v INT)")
+    db.sql("INSERT INTO s (v) VALUES (30), (10), (20)")
+    db.sql("INSERT INTO s (v) VALUES (5)")
+    assert rows(db.sql("SELECT id, v FROM s")) == [(1, 30), (2, 10), (3, 20), (4, 5)]
+    assert db.insert("s", spark.range(100, numPartitions=7).selectExpr("id AS v")) == 100
+    assert rows(db.sql("SELECT id FROM s")) == [(i,) for i in range(1, 105)]
+
+
+def test_tables_in_a_from_list(db):
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY)")
+    db.sql("CREATE TABLE z (id INT PRIMARY KEY, w TEXT)")
+    db.sql("INSERT INTO t VALUES (1), (2)")
+    db.sql("INSERT INTO z VALUES (2, 'from t, z'), (3, 'b')")
+    assert rows(db.sql("SELECT t.id, w FROM t, z WHERE t.id = z.id")) == [(2, "from t, z")]
+    assert rows(db.sql("SELECT a.id FROM t AS a, z b WHERE a.id = b.id AND b.w = 'from t, z'")) == [(2,)]
+    assert rows(db.sql("SELECT id FROM (SELECT id FROM t WHERE id IN (SELECT id FROM z)) q")) == [(2,)]
+
+
+def test_other_databases_are_turned_away(db):
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY)")
+    db.sql("INSERT INTO default.t VALUES (1)")
+    assert rows(db.sql("SELECT id FROM default.t")) == [(1,)]
+    db.sql("CREATE DATABASE other")
+    for text in ("SELECT id FROM other.t", "INSERT INTO other.t VALUES (1)", "UPDATE other.t SET id = 2", "DELETE FROM other.t"):
+        with pytest.raises(DialectError):
+            db.sql(text)
+
+
+def test_in_lists_have_the_columns_type(db):
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY, name TEXT)")
+    db.sql("INSERT INTO t VALUES (1, 'a'), (-2, '3')")
+    assert rows(db.sql("SELECT id FROM t WHERE id IN (-2, '1')")) == [(-2,), (1,)]
+    assert rows(db.sql("SELECT id FROM t WHERE name IN ('a', 'b')")) == [(1,)]
+    for bad in ("id IN (1, 'x')", "id NOT IN (1.5)"):
+        with pytest.raises(DialectError):
+            db.sql(f"SELECT id FROM t WHERE {bad}")
+
+
+def test_global_unique(db):
+    db.sql("CREATE TABLE g (id INT PRIMARY KEY, mail TEXT GLOBAL UNIQUE, a INT, b INT, GLOBAL UNIQUE (a, b))")
+    db.sql("INSERT INTO g VALUES (1, 'x', 1, 1), (2, NULL, 1, 2), (3, NULL, 1, 3)")
+    assert db.tables["g"].global_uniques == [["mail"], ["a", "b"]] and db.tables["g"].uniques == []
+    for bad in ("(4, 'x', 2, 2)", "(4, 'y', 1, 2)"):
+        with pytest.raises(ConstraintError):
+            db.sql(f"INSERT INTO g VALUES {bad}")
+    assert "GLOBAL UNIQUE (a, b)" in db.sql("SHOW CREATE TABLE g").first()[1]
+
+
+def test_not_in_without_a_broadcast(db):
+    db.sql("CREATE TABLE a (id INT PRIMARY KEY, v INT)")
+    db.sql("CREATE TABLE b (id INT PRIMARY KEY, w INT)")
+    db.sql("INSERT INTO a VALUES (1, 1), (2, 2), (3, NULL)")
+    ask = "SELECT id FROM a WHERE v NOT IN (SELECT w FROM b WHERE id > ?) AND id < 9"
+    assert rows(db.sql(ask, [0])) == [(1,), (2,), (3,)]  # of nothing, a null as well
+    db.sql("INSERT INTO b VALUES (1, 2)")
+    assert rows(db.sql(ask, [0])) == [(1,)]
+    assert rows(db.sql(ask, [1])) == [(1,), (2,), (3,)]
+    db.sql("INSERT INTO b VALUES (2, NULL)")
+    assert rows(db.sql(ask, [0])) == []
+    plan = db.sql(ask, [0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull((v" not in plan  # the mark of a null-aware join
+    assert rows(db.sql("SELECT id FROM a WHERE NOT (id NOT IN (SELECT id FROM b))")) == [(1,), (2,)]
+
+
+def test_current_time(db):
+    at = db.sql("SELECT CURRENT_TIME AS t, CURRENT_TIME() AS u").first()
+    assert 0 <= at["t"] < 86_400_000_000 and 0 <= at["u"] < 86_400_000_000
+
+
+def test_rows_as_hashes(spark, db):
+    db.sql("CREATE TABLE u (id INT PRIMARY KEY, name TEXT NOT NULL, n INT, x DOUBLE)")
+    db.sql("INSERT INTO u VALUES (1, 'a', 5, NULL), (2, 'b', NULL, 1.5)")
+    made = lambda data, schema: spark.createDataFrame(data, schema)
+    writes = "pk string, field string, value string"
+    with pytest.raises(ConstraintError):
+        db.row_hashes("u")
+    db.sql("ALTER TABLE u SET RESP ADAPTER ON")
+    assert rows(db.row_hashes("u").where("key = 'u:2'")) == [("u:2", "id", "2"), ("u:2", "name", "b"), ("u:2", "x", "1.5")]
+    assert db.row_hset("u", made([("1", "n", "6"), ("3", "name", "c"), ("3", "n", "7")], writes)) == 2
+    assert rows(db.sql("SELECT id, name, n FROM u WHERE n IS NOT NULL")) == [(1, "a", 6), (3, "c", 7)]
+    with pytest.raises(ConstraintError):
+        db.row_hset("u", made([("4", "n", "1")], writes))  # a new row needs a name
+    with pytest.raises(ConstraintError):
+        db.row_hset("u", made([("1", "id", "9")], writes))
+    assert db.row_hset("u", made([("2", "n", "8"), ("1", "n", "9"), ("9", "n", "9")], writes), only_null=True) == 1
+    assert rows(db.sql("SELECT id, n FROM u")) == [(1, 6), (2, 8), (3, 7)]
+    assert db.row_hdel("u", made([("1", "n"), ("1", "x"), ("9", "n")], "pk string, field string")) == 1
+    with pytest.raises(ConstraintError):
+        db.row_hdel("u", made([("1", "name")], "pk string, field string"))
+    assert db.row_hincr("u", made([("1", "n", 4.0), ("2", "x", 0.25), ("2", "x", 0.25)], "pk string, field string, delta double")) == 2
+    assert rows(db.sql("SELECT id, n, x FROM u WHERE id < 3").na.fill(-1)) == [(1, 4, -1.0), (2, 8, 2.0)]
+    with pytest.raises(ConstraintError):
+        db.row_hincr("u", made([("9", "n", 4.0)], "pk string, field string, delta double"))
+    assert db.row_del("u", made([("2",), ("7",)], "pk string")) == 1
+    assert rows(db.sql("SELECT id FROM u")) == [(1,), (3,)]
+
+
 def test_serializable_conflict(db):
     db.sql("CREATE TABLE t (id INT PRIMARY KEY, v INT)")
     db.sql("INSERT INTO t VALUES (1, 1)")

@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from tidemill.functions.binary import slice_bytes
 
 
-def bit_text(value: Column) -> Column:
-    """The bits as a text of 0 and 1."""
-    digits = F.split(F.hex(value), "")
-    nibble = lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")
-    return F.when(F.octet_length(value) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.filter(digits, lambda d: d != ""), nibble), ""))
-
-
 def get_bit(value: Column, offset: int) -> Column:
     """0 beyond the end."""
     byte = F.conv(F.hex(value.substr(F.lit(offset // 8 + 1), F.lit(1))), 16, 10).cast("int")
@@ -33,14 +26,22 @@ def set_bit(value: Column, offset: int, bit: int) -> Column:
     return F.concat(wide.substr(F.lit(1), F.lit(at)), F.unhex(F.lpad(F.hex(new.cast("long")), 2, "0")), wide.substr(F.lit(at + 2), F.octet_length(wide)))
 
 
+#: Hexadecimal digits by their number of set bits.
+DIGITS = {1: "1248", 2: "3569AC", 3: "7BDE", 4: "F"}
+
+
 def bit_count(value: Column, start: int = 0, end: int = -1) -> Column:
     """Set bits in a range of bytes."""
-    return F.length(F.replace(bit_text(slice_bytes(value, start, end)), F.lit("0"), F.lit(""))).cast("long")
+    digits = F.hex(slice_bytes(value, start, end))
+    others = lambda kept: "".join(d for d in "0123456789ABCDEF" if d not in kept)
+    return sum((F.length(F.translate(digits, others(kept), "")) * n for n, kept in DIGITS.items()), F.lit(0)).cast("long")
 
 
 def bit_pos(value: Column, bit: int) -> Column:
     """The place of the first such bit; -1 if there is none, but the length for a 0 after all-ones; a missing value is all zeros."""
-    text = bit_text(value)
-    found = F.instr(text, str(bit)) - 1
-    none = F.length(text) if bit == 0 else F.lit(-1)
-    return F.when(value.isNull(), F.lit(-1 if bit else 0)).when(found >= 0, found).otherwise(none).cast("long")
+    digits = F.hex(value)
+    rest = F.ltrim(digits, F.lit("0" if bit else "F"))  # from the first digit that has such a bit
+    inside = F.translate(F.substring(rest, 1, 1), "123456789ABCDEF" if bit else "0123456789ABCDE", "322111100000000" if bit else "000000001111223")
+    place = (F.length(digits) - F.length(rest)) * 4 + F.when(F.length(rest) > 0, inside.cast("int"))
+    none = F.octet_length(value) * 8 if bit == 0 else F.lit(-1)
+    return F.when(value.isNull(), F.lit(-1 if bit else 0)).otherwise(F.coalesce(place, none)).cast("long")

@@ -13,14 +13,23 @@ EARTH_RADIUS = 6372797.560856
 METRES = {"m": 1.0, "km": 1000.0, "mi": 1609.34, "ft": 0.3048}
 
 
+#: Steps that move bits apart: how far, and the bits that are in place after it.
+MASKS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
 def spread(x: Column) -> Column:
-    """The bits of x at the even places."""
-    return F.conv(F.regexp_replace(F.bin(x), "(.)", "0$1"), 2, 10).cast("long")
+    """The bits of x (32 at most) at the even places."""
+    for shift, mask in MASKS:
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
 
 
 def squash(x: Column) -> Column:
     """The bits of x at the even places, next to each other."""
-    return F.conv(F.regexp_replace(F.lpad(F.bin(x), 2 * STEPS + 2, "0"), ".(.)", "$1"), 2, 10).cast("long")
+    x = x.bitwiseAND(F.lit(MASKS[-1][1]))
+    for (shift, _), (_, mask) in zip(MASKS[::-1], [*MASKS[-2::-1], (0, 0x00000000FFFFFFFF)]):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+    return x
 
 
 def cell(value: Column, least: float, most: float) -> Column:

@@ -1,7 +1,7 @@
 """Hashes, sets, lists and sorted sets in long format: (key, field, value), (key, member), (key, pos, value), (key, member, score).
 
-Reads give DataFrames; writes give the next table. A place in a collection is a window over its key, so one collection is ordered in one task, as
-in the systems that these commands come from; set algebra and sums have no such limit.
+Reads give DataFrames; writes give the next table. The first or last n of a collection are found by each task before they meet. Places in a sorted set are
+counted over ranges of its scores, so no task orders a whole one; a list's places from both ends, and its edits, order that list in one task.
 """
 
 from __future__ import annotations
@@ -12,11 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.operators.kv import ranked
+from tidemill.operators.kv import first_ranked, ranked, wide_ranked
 
 
-def window_range(df: DataFrame, order: list[Column], start: int, end: int) -> DataFrame:
-    """Rows of each key from place start to place end, both included and negative from the end; with their place."""
+def window_range(df: DataFrame, order: list[Column], back: list[Column], start: int, end: int) -> DataFrame:
+    """Rows of each key from place start to place end, both included and negative from the end; with their place. back: the reverse order."""
+    if start >= 0 and end >= 0:
+        return first_ranked(df, ["key"], order, start, end)
+    if start < 0 and end < 0:
+        sizes = df.groupBy("key").agg(F.count("*").alias("__n"))
+        last = first_ranked(df, ["key"], back, -end - 1, -start - 1).join(sizes, "key")
+        return last.withColumn("rank", F.col("__n") - 1 - F.col("rank")).drop("__n")
     out = ranked(df, ["key"], order).withColumn("__n", F.count("*").over(Window.partitionBy("key")))
     at = lambda i: F.lit(i) if i >= 0 else F.col("__n") + i
     return out.where((F.col("rank") >= at(start)) & (F.col("rank") <= at(end))).drop("__n")
@@ -55,7 +61,7 @@ def hincr(h: DataFrame, deltas: DataFrame) -> DataFrame:
 
 def htake(h: DataFrame, n: int) -> DataFrame:
     """The first n fields of each hash in byte order; a negative n counts as its absolute value."""
-    return ranked(h, ["key"], [F.col("field")]).where(F.col("rank") < abs(n)).drop("rank")
+    return first_ranked(h, ["key"], [F.col("field")], 0, abs(n) - 1).drop("rank")
 
 
 def rows_as_hash(df: DataFrame, table: str, pk: str) -> DataFrame:
@@ -116,7 +122,7 @@ def scard(s: DataFrame) -> DataFrame:
 
 def stake(s: DataFrame, n: int) -> DataFrame:
     """The first n members of each set in order."""
-    return ranked(s, ["key"], [F.col("member")]).where(F.col("rank") < abs(n)).drop("rank")
+    return first_ranked(s, ["key"], [F.col("member")], 0, abs(n) - 1).drop("rank")
 
 
 def spop(s: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +139,7 @@ def push(lst: DataFrame, key: str, values: DataFrame, left: bool) -> DataFrame:
 
 
 def lrange(lst: DataFrame, start: int, end: int) -> DataFrame:
-    return window_range(lst, [F.col("pos")], start, end)
+    return window_range(lst, [F.col("pos").asc()], [F.col("pos").desc()], start, end)
 
 
 def lindex(lst: DataFrame, i: int) -> DataFrame:
@@ -147,7 +153,7 @@ def ltrim(lst: DataFrame, start: int, end: int) -> DataFrame:
 def lpop(lst: DataFrame, n: int, right: bool = False) -> DataFrame:
     """The first (last) n values of each list, in the order in which they are popped."""
     order = F.col("pos").desc() if right else F.col("pos").asc()
-    return ranked(lst, ["key"], [order], "popped").where(F.col("popped") < n)
+    return first_ranked(lst, ["key"], [order], 0, n - 1, "popped")
 
 
 def lrem(lst: DataFrame, value: Column, count: int) -> DataFrame:
@@ -196,6 +202,10 @@ def zadd(z: DataFrame, writes: DataFrame) -> DataFrame:
     return z.join(writes.select("key", "member"), ["key", "member"], "left_anti").unionByName(writes)
 
 
+def zrem(z: DataFrame, gone: DataFrame) -> DataFrame:
+    return z.join(gone.select("key", "member"), ["key", "member"], "left_anti")
+
+
 def zincr(z: DataFrame, deltas: DataFrame) -> DataFrame:
     total = deltas.groupBy("key", "member").agg(F.sum("delta").alias("delta"))
     return z.join(total, ["key", "member"], "full").select("key", "member", (F.coalesce("score", F.lit(0.0)) + F.coalesce("delta", F.lit(0.0))).alias("score"))
@@ -206,7 +216,10 @@ def zmscore(z: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def zrange(z: DataFrame, start: int, end: int, reverse: bool = False) -> DataFrame:
-    return window_range(z, zorder(reverse), start, end)
+    if start >= 0 and end >= 0 or start < 0 and end < 0:
+        return window_range(z, zorder(reverse), zorder(not reverse), start, end)
+    at = lambda i: F.lit(i) if i >= 0 else F.col("__n") + i
+    return wide_ranked(z, "score", ["member"], reverse).where((F.col("rank") >= at(start)) & (F.col("rank") <= at(end))).drop("__n")
 
 
 def zrangebyscore(z: DataFrame, least: float, most: float) -> DataFrame:
@@ -218,11 +231,11 @@ def zcount(z: DataFrame, least: float, most: float) -> DataFrame:
 
 
 def zrank(z: DataFrame, reverse: bool = False) -> DataFrame:
-    return ranked(z, ["key"], zorder(reverse))
+    return wide_ranked(z, "score", ["member"], reverse).drop("__n")
 
 
 def zpop(z: DataFrame, n: int, largest: bool = False) -> DataFrame:
-    return zrank(z, largest).where(F.col("rank") < n)
+    return first_ranked(z, ["key"], zorder(largest), 0, n - 1)
 
 
 def zstore(z: DataFrame, keys: list[str], intersect: bool = False) -> DataFrame:

@@ -56,6 +56,14 @@ def increments(kv: DataFrame, deltas: DataFrame) -> DataFrame:
     return kv.join(total, "key", "full").select("key", (F.coalesce("value", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("value"))
 
 
+def increments_float(kv: DataFrame, deltas: DataFrame) -> DataFrame:
+    """kv (numbers) after deltas (key, delta) as doubles; a missing key starts at 0; a sum that is not finite is an error."""
+    total = deltas.groupBy("key").agg(F.sum(F.col("delta").cast("double")).alias("delta"))
+    value = F.coalesce(F.col("value").cast("double"), F.lit(0.0)) + F.coalesce("delta", F.lit(0.0))
+    finite = F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.raise_error(F.lit("the sum is not a finite number")).cast("double")).otherwise(value)
+    return kv.join(total, "key", "full").select("key", finite.alias("value"))
+
+
 def append(kv: DataFrame, writes: DataFrame) -> DataFrame:
     joined = kv.join(writes.withColumnRenamed("value", "more"), "key", "full")
     return joined.select("key", F.concat(F.coalesce("value", F.lit("")), F.coalesce("more", F.lit(""))).alias("value"))
@@ -82,6 +90,11 @@ def getset(kv: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return old, put(kv, writes)
 
 
+def getdel(kv: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The values of keys, null for those that are not there, and the table without them."""
+    return keys.select("key").distinct().join(kv, "key", "left").select("key", "value"), delete(kv, keys)
+
+
 def kind(kv: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, type): string, or none for a missing key."""
     return keys.join(kv.select("key", F.lit("string").alias("type")), "key", "left").select("key", F.coalesce("type", F.lit("none")).alias("type"))
@@ -98,3 +111,31 @@ def typed(value: Column, tag: Column) -> Column:
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """df with a 0-based place within each key."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+
+
+def first_ranked(df: DataFrame, by: list[str], order: list[Column], start: int, end: int, name: str = "rank") -> DataFrame:
+    """Rows from place start to end (both included) of each key, with their place. The condition is on the row number itself, so each task passes on end + 1 rows a key."""
+    numbered = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    kept = numbered.where(F.col(name) <= end + 1)
+    return (kept.where(F.col(name) > start) if start else kept).withColumn(name, (F.col(name) - 1).cast("long"))
+
+
+#: Cells of a key's scores that are ordered apart.
+CELLS = 128
+
+
+def wide_ranked(df: DataFrame, score: str, ties: list[str], reverse: bool = False, name: str = "rank") -> DataFrame:
+    """As ranked by (score, ties) within `key`, without ordering a whole key in one task; with __n, the key's size.
+
+    A key's scores are dealt into CELLS ranges between its least and its largest; places within a range follow the sizes of the ranges before it.
+    """
+    edges = df.groupBy("key").agg(F.min(score).alias("__least"), (F.max(score) - F.min(score)).alias("__width"))
+    share = (F.col(score) - F.col("__least")).cast("double") / F.col("__width")
+    cell = F.when(F.col("__width") > 0, F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("int")
+    placed = df.join(edges, "key").withColumn("__cell", F.coalesce(cell, F.lit(-1))).drop("__least", "__width")
+    sizes = placed.groupBy("key", "__cell").agg(F.count("*").alias("__size"))
+    before = Window.partitionBy("key").orderBy(F.col("__cell").desc() if reverse else F.col("__cell").asc())  # CELLS rows a key
+    sizes = sizes.select("key", "__cell", (F.sum("__size").over(before) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy("key")).alias("__n"))
+    order = [F.col(c).desc() if reverse else F.col(c).asc() for c in (score, *ties)]
+    inside = F.row_number().over(Window.partitionBy("key", "__cell").orderBy(*order))
+    return placed.withColumn("__at", inside).join(sizes, ["key", "__cell"]).withColumn(name, (F.col("__before") + F.col("__at") - 1).cast("long")).drop("__cell", "__at", "__before")

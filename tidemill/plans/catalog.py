@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemill.functions.scalars import coerce
 
@@ -58,10 +60,13 @@ class ForeignKey:
 
 @dataclass
 class TableDef:
+    """pk: the key's columns, one or more. global_uniques: unique over all shards of a name's table, where uniques may be kept by shard; here both hold over the whole table."""
+
     name: str
     columns: list[ColumnDef]
-    pk: str
+    pk: list[str]
     uniques: list[list[str]] = field(default_factory=list)
+    global_uniques: list[list[str]] = field(default_factory=list)
     indexes: list[list[str]] = field(default_factory=list)
     foreign: list[ForeignKey] = field(default_factory=list)
     checks: list[str] = field(default_factory=list)
@@ -102,27 +107,55 @@ def default_value(c: ColumnDef) -> Column:
 # ---- plans: the old contents and a change give the new contents
 
 
-def conformed(rows: DataFrame, t: TableDef) -> DataFrame:
-    """rows with every column of t, coerced as columns take values, and defaults where a column is missing; identities are numbered on from next_id."""
+def conformed(rows: DataFrame, t: TableDef, order: str | None = None) -> DataFrame:
+    """rows with every column of t, coerced as columns take values, and defaults where a column is missing; identities are numbered on from next_id.
+
+    Numbers are dense, in the order of the column `order`: a row's own number in its partition, after the rows of all partitions before it. Only the sizes of
+    the partitions are gathered.
+    """
+    missing = [c.name for c in t.columns if (c.serial or c.hidden) and c.name not in rows.columns]
+    if missing:
+        rows = dense_numbers(rows.orderBy(order) if order else rows, "__number")
     out = []
     for c in t.columns:
         if c.name in rows.columns:
             out.append(coerce(F.col(f"`{c.name}`"), c.type).cast(c.spark_type).alias(c.name))
-        elif c.serial or c.hidden:
-            out.append((F.monotonically_increasing_id() + t.next_id).cast("bigint").alias(c.name))
+        elif c.name in missing:
+            out.append((F.col("__number") + t.next_id).cast("bigint").alias(c.name))
         else:
             out.append(default_value(c).alias(c.name))
     return rows.select(*out)
 
 
-def upserted(old: DataFrame, new: DataFrame, pk: str) -> DataFrame:
+def dense_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """rows with 0, 1, 2 ... in the order in which they stand. They are kept as they stand first, so that numbers and sizes are of the same partitions."""
+    kept = kept_once(rows.withColumn("__at", F.monotonically_increasing_id()))
+    part, at = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = sizes.select(F.col("__part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return kept.withColumn("__part", part).join(starts, "__part").withColumn(name, F.col("__start") + at).drop("__at", "__part", "__start")
+
+
+def kept_once(df: DataFrame) -> DataFrame:
+    """df computed once: as a table in the shared folder, where lost executors lose nothing of it, or, where none is named, in the cache."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/tidemill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def upserted(old: DataFrame, new: DataFrame, pk: list[str]) -> DataFrame:
     """old with the rows of new in the place of those with their keys."""
-    return old.join(new.select(pk), pk, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    return old.join(new.select(*pk), pk, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def updated(old: DataFrame, sets: dict[str, Column], where: Column | None, t: TableDef) -> DataFrame:
     """Every right side reads the old row; a key cannot be set."""
-    if t.pk in sets:
+    if set(t.pk) & set(sets):
         raise ConstraintError("a primary key cannot be updated")
     hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     return old.select(*(F.when(hit, sets[c.name].cast(c.spark_type)).otherwise(F.col(c.name)).alias(c.name) if c.name in sets else F.col(c.name) for c in t.columns))
@@ -138,8 +171,8 @@ def split(old: DataFrame, where: Column | None) -> tuple[DataFrame, DataFrame]:
 
 
 def violations(rows: DataFrame, t: TableDef, parents: dict[str, DataFrame]) -> list[tuple[str, DataFrame]]:
-    out = [(f"{c.name} may not be null", rows.where(F.col(c.name).isNull())) for c in t.columns if c.not_null or c.name == t.pk]
-    for cols in [[t.pk], *t.uniques]:
+    out = [(f"{c.name} may not be null", rows.where(F.col(c.name).isNull())) for c in t.columns if c.not_null or c.name in t.pk]
+    for cols in [t.pk, *t.uniques, *t.global_uniques]:
         known = rows.where(F.greatest(*(F.col(c).isNull().cast("int") for c in cols), F.lit(0)) == 0)
         out.append((f"({', '.join(cols)}) must be unique", known.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1")))
     for k in t.foreign:
@@ -163,7 +196,7 @@ def cascaded(deleted: dict[str, DataFrame], tables: dict[str, TableDef], content
     """
     now = dict(contents)
     for name, gone in deleted.items():
-        now[name] = now[name].join(gone.select(tables[name].pk), tables[name].pk, "left_anti").select(*contents[name].columns)
+        now[name] = now[name].join(gone.select(*tables[name].pk), tables[name].pk, "left_anti").select(*contents[name].columns)
     frontier = dict(deleted)
     while frontier:
         following: dict[str, DataFrame] = {}
@@ -182,13 +215,13 @@ def cascaded(deleted: dict[str, DataFrame], tables: dict[str, TableDef], content
                     else:
                         if hit.isEmpty():
                             continue
-                        hit = hit.checkpoint() if hit.sparkSession.sparkContext.getCheckpointDir() else hit.cache()
-                        following[child.name] = hit if child.name not in following else following[child.name].unionByName(hit).dropDuplicates([child.pk])
-                        now[child.name] = now[child.name].join(hit.select(child.pk), child.pk, "left_anti").select(*contents[child.name].columns)
+                        hit = kept_once(hit)
+                        following[child.name] = hit if child.name not in following else following[child.name].unionByName(hit).dropDuplicates(child.pk)
+                        now[child.name] = now[child.name].join(hit.select(*child.pk), child.pk, "left_anti").select(*contents[child.name].columns)
         frontier = following
     return now
 
 
-def fingerprint(df: DataFrame, pk: str) -> DataFrame:
+def fingerprint(df: DataFrame, pk: list[str]) -> DataFrame:
     """(pk, mark) of each row, to tell at a commit whether what was read has changed."""
-    return df.select(F.col(pk).alias("pk"), F.xxhash64(*(F.col(c) for c in df.columns)).alias("mark"))
+    return df.select(F.struct(*pk).alias("pk"), F.xxhash64(*(F.col(c) for c in df.columns)).alias("mark"))

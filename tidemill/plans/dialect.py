@@ -15,6 +15,8 @@ TYPES = {
     "serial": "BIGINT", "bigserial": "BIGINT", "smallserial": "BIGINT", "float": "DOUBLE", "real": "DOUBLE", "bool": "BOOLEAN", "numeric": "DECIMAL", "dec": "DECIMAL",
 }
 FUNCTIONS = {"version()": "'tidemill'", "database()": "current_database()"}
+#: Microseconds since midnight, as the dialect stores a time.
+CURRENT_TIME = "pmod(unix_micros(current_timestamp()), 86400000000L)"
 #: What strict mode turns away: the dialect has no such statements.
 REJECTED = {"over": "window functions", "union": "set operations", "intersect": "set operations", "except": "set operations", "with": "common table expressions"}
 
@@ -68,8 +70,10 @@ def translate(text: str, args: list | None = None, strict: bool = False) -> tupl
     toks = tokens(text.strip().rstrip(";"))
     if strict:
         check(toks)
+    if any(t.lower() == "in" for _, t in toks):
+        toks = tokens(without_null_aware_joins(numbered(text.strip().rstrip(";"))))
     out: list[str] = []
-    places, numbered, i = 0, False, 0
+    places, by_number, i = 0, False, 0
 
     def ahead(j: int) -> int:
         while j < len(toks) and toks[j][0] == "space":
@@ -97,9 +101,14 @@ def translate(text: str, args: list | None = None, strict: bool = False) -> tupl
                 places += 1
         elif kind == "param":
             out.append(f":p{int(t[1:]) - 1}")
-            numbered = True
+            by_number = True
         elif kind == "sysvar":
             out.append("NULL")
+        elif kind == "word" and low == "current_time":
+            j = ahead(i + 1)
+            if "".join(x[1] for x in toks[j : j + 2]) == "()":
+                i = j + 1
+            out.append(CURRENT_TIME)
         elif kind == "word" and low == "select" and (j := ahead(i + 1)) < len(toks) and toks[j][1].lower() == "from":
             out.append(f"{t} *")
         elif kind == "word" and low == "limit" and (b := ahead(ahead(i + 1) + 1)) < len(toks) and toks[b][1] == ",":
@@ -116,11 +125,151 @@ def translate(text: str, args: list | None = None, strict: bool = False) -> tupl
         else:
             out.append(t)
         i += 1
-    if places and numbered:
+    if places and by_number:
         raise DialectError("? and $n in one statement")
     return "".join(out), {f"p{k}": v for k, v in enumerate(args or [])}
 
 
+def numbered(text: str) -> str:
+    """text with each ? that is a place for a value as $1, $2 ... over the whole statement, so that its parts can be read one by one."""
+    toks, out, n = tokens(text), [], 0
+    for i, (kind, t) in enumerate(toks):
+        if kind == "op" and t == "?":
+            before = next((x for x in reversed(toks[:i]) if x[0] != "space"), ("", ""))
+            after = next((x for x in toks[i + 1 :] if x[0] != "space"), ("", ""))
+            if not (after[0] == "string" and (before[0] in ("word", "quoted") or before[1] == ")")):  # else: whether a JSON key is there
+                n, t = n + 1, f"${n + 1}"
+        out.append(t)
+    if n and any(kind == "param" for kind, _ in toks):
+        raise DialectError("? and $n in one statement")
+    return "".join(out)
+
+
+def clauses(text: str, *words: str) -> list[str | None]:
+    """text cut at the words, in this order, that stand outside parentheses and strings: what is before the first, and after each; None: it is not there."""
+    out: list[str | None] = [""] + [None] * len(words)
+    depth, at = 0, 0
+    for kind, t in tokens(text):
+        depth += (t == "(") - (t == ")")
+        hit = next((k for k in range(at, len(words)) if kind == "word" and depth == 0 and t.upper() == words[k]), None)
+        if hit is not None:
+            at = hit + 1
+            out[at] = ""
+        else:
+            out[at] += t
+    return [None if x is None else x.strip() for x in out]
+
+
+#: After a table these words go on with the statement; any other is the table's alias.
+AFTER_TABLE = {"where", "join", "on", "group", "order", "left", "right", "full", "cross", "inner", "limit", "using", "having", "offset", "union", "intersect", "except", "semi", "anti", "natural", "set"}
+
+
+def with_tables(text: str, known: dict[str, str]) -> tuple[str, set[str]]:
+    """text with {name} for each table that a FROM list or a JOIN names, and the names. known: names by their lower case."""
+    toks, out, used = tokens(text), [], set()
+    lists, waiting = [False], False  # for each depth of parentheses: whether a comma goes on with a FROM list
+    real = [i for i, (kind, _) in enumerate(toks) if kind != "space"]
+    following = dict(zip(real, [*real[1:], None]))
+    for i, (kind, t) in enumerate(toks):
+        low, after = t.lower(), following.get(i)
+        if kind == "space":
+            out.append(t)
+            continue
+        name = known.get(t[1:-1].lower() if kind == "quoted" else low) if waiting and kind in ("word", "quoted") else None
+        if name is not None and (after is None or toks[after][1] not in ("(", ".")):
+            used.add(name)
+            alias = after is not None and (toks[after][0] == "quoted" or toks[after][0] == "word" and toks[after][1].lower() not in AFTER_TABLE)
+            out.append(f"{{{name}}}" + ("" if alias else f" AS `{name}`"))
+            waiting = False
+            continue
+        waiting = False
+        if t == "(":
+            lists.append(False)
+        elif t == ")":
+            lists = lists[:-1] or [False]
+        elif kind == "word" and low in ("from", "join"):
+            lists[-1], waiting = True, True
+        elif kind == "word" and low in AFTER_TABLE - {"left", "right", "full", "cross", "inner", "semi", "anti", "natural"} or low == "select":
+            lists[-1] = False
+        elif t == "," and lists[-1]:
+            waiting = True
+        out.append(t)
+    return "".join(out), used
+
+
+NAMES_TABLE = {"from", "join", "into", "update", "table", "describe", "desc", "exists"}
+SYSTEM = {"information_schema", "pg_catalog"}
+
+
+def in_database(text: str, current: str) -> str:
+    """text with the current database's name taken from before its tables; tables of other databases are turned away."""
+    toks = tokens(text)
+    real = [i for i, (kind, _) in enumerate(toks) if kind != "space"]
+    for n, i in enumerate(real[:-3]):
+        (_, verb), (kind, db), (_, dot), (last, _) = (toks[j] for j in real[n : n + 4])
+        if verb.lower() in NAMES_TABLE and kind in ("word", "quoted") and dot == "." and last in ("word", "quoted"):
+            db = db.strip('`"')
+            if db.lower() in SYSTEM:
+                continue
+            if db != current:
+                raise DialectError(f"{db} is not the database in use")
+            toks[real[n + 1]] = toks[real[n + 2]] = ("space", "")
+    return "".join(t for _, t in toks)
+
+
+def _condition_is_plain(real: list[tuple[str, str]], at: int) -> bool:
+    """Whether the WHERE that real[at] stands in is a row of conditions joined by AND, none of them negated as a whole."""
+    depth, begin = 0, None
+    for k in range(at - 1, -1, -1):
+        t = real[k][1].lower()
+        depth += (t == ")") - (t == "(")
+        if depth < 0:
+            return False
+        if depth == 0 and t == "where":
+            begin = k
+            break
+    if begin is None:
+        return False
+    for k in range(begin + 1, len(real)):
+        t, after = real[k][1].lower(), real[k + 1][1].lower() if k + 1 < len(real) else ""
+        depth += (t == "(") - (t == ")")
+        if depth < 0 or depth == 0 and t in ("group", "order", "having", "limit"):
+            return True
+        if depth == 0 and (t in ("or", "case") or t == "not" and after not in ("in", "exists", "null", "like", "between")):
+            return False
+    return True
+
+
+def without_null_aware_joins(text: str) -> str:
+    """text with `x NOT IN (SELECT ...)` as an anti join and two one-row checks, in a plain WHERE.
+
+    The planner broadcasts the subquery of a NOT IN whatever its size, as a null on either side decides. Here the join is of equal keys; a null
+    in the subquery, and a null on the left side against a subquery with rows, are asked for apart.
+    """
+    while True:
+        real = [(k, t) for k, t in tokens(text) if k != "space"]
+        low = [t.lower() for _, t in real]
+        n = next((i for i in range(1, len(low) - 3) if low[i : i + 4] == ["not", "in", "(", "select"] and _condition_is_plain(real, i)), None)
+        if n is None:
+            return text
+        depth, end = 0, n + 2
+        while True:
+            depth += (low[end] == "(") - (low[end] == ")")
+            if depth == 0:
+                break
+            end += 1
+        begin = n - 1
+        if real[begin][0] not in ("word", "quoted", "number", "string"):
+            return text
+        while begin >= 2 and real[begin - 1][1] == ".":
+            begin -= 2
+        said = lambda x: " ".join(t for _, t in x).replace(" . ", ".").replace("{ ", "{").replace(" }", "}")
+        left, sub = said(real[begin:n]), said(real[n + 3 : end])
+        rows = f"FROM ({sub}) AS __s(__v)"
+        new = f"NOT EXISTS (SELECT 1 {rows} WHERE __s.__v = {left}) AND NOT EXISTS (SELECT 1 {rows} WHERE __s.__v IS NULL) AND ({left} IS NOT NULL OR NOT EXISTS (SELECT 1 {rows}))"
+        text = " ".join((said(real[:begin]), new, said(real[end + 1 :])))
+
+
 def _in_cast(out: list[str]) -> bool:
     """Whether the last AS belongs to a CAST, and not to an alias."""
     if [x for x in out if x.strip()][-1] == "::":
@@ -155,3 +304,26 @@ def check(toks: list[tuple[str, str]]) -> None:
             inner = [x[1].lower() for x in real[n + 2 : n + 400]]
             if "null" in inner[: inner.index(")") if ")" in inner else None] and "select" not in inner[:1]:
                 raise DialectError("NULL in an IN list")
+
+
+def in_lists(text: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(column, literals) of each IN list that holds nothing but literals."""
+    real = [(k, t) for k, t in tokens(text) if k != "space"]
+    out = []
+    for n, (_, t) in enumerate(real):
+        if t.lower() != "in" or n + 1 >= len(real) or real[n + 1][1] != "(":
+            continue
+        k = n - 2 if n and real[n - 1][1].lower() == "not" else n - 1
+        end = next((j for j in range(n + 2, len(real)) if real[j][1] == ")"), None)
+        if k < 0 or end is None or real[k][0] not in ("word", "quoted"):
+            continue
+        inner, literals, sign = real[n + 2 : end], [], ""
+        for kind, x in inner:
+            if x == "-":
+                sign = "-"
+            elif x != ",":
+                literals.append((kind, sign + x))
+                sign = ""
+        if all(kind in ("string", "number") for kind, _ in literals):
+            out.append((real[k][1].strip('`"'), literals))
+    return out
