@@ -3,9 +3,8 @@
 1. Each text becomes the set of its distinct n-word shingles (64-bit hashes), BANDS * ROWS universal hash minima, a hash for each band
    and a byte of each minimum. Texts with equal sets are one class from here on: copies need no pairs.
 2. Classes that share a band are candidates. With 32 bands of 4 minima a pair at the threshold of 0.8 shares none once in 2 * 10^7.
-3. Star rounds: in each bucket one member is the hub, and others are held against it: first their signatures (bytes of minima; not in a bucket of
-   two, which has no rest round), then their full sets. Verified pairs are links. The first hub is the member with the most candidates over all its bands;
-   while a round finds links, buckets that are still in pieces get a hub from outside their largest piece, STARS times at most.
+3. Star round: in each bucket the member with the most candidates over all its bands is the hub, and all others are held against it:
+   first their signatures (bytes of minima; not in a bucket of two, which has no rest round), then their full sets. Verified pairs are links.
 4. Rest round: members of one bucket that are still apart are compared in full, all of them, in square blocks of BLOCK members, so that no group is
    ever in one task and no pair becomes a row; each block gives a spanning forest of its links. A bucket that is in one piece needs nothing.
 5. Components of all links.
@@ -40,8 +39,6 @@ ADD = _rng.integers(0, 2**64 - 1, HASHES, dtype=np.uint64)
 CHUNK = 1 << 15
 #: Members on each side of a block of the rest round.
 BLOCK = 128
-#: Star rounds after the first.
-STARS = 3
 #: Standard deviations below the threshold at which a signature rules a pair out (about five times in 10^7 wrongly; the rest round sees these pairs again).
 SIGMAS = 5.2
 
@@ -231,41 +228,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     hubs = members.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", (-F.col("node")).alias("neg")))["neg"].alias("neg"))
     hubs = stored(hubs.select("h", (-F.col("neg")).alias("hub")), "minhash-hubs")
 
-    def star(pairs: DataFrame, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The pairs (a, b, alone) that are links; and the texts, which are stored when the first round knows which it needs."""
-        sigs = classes.select("node", "sig")
-        pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        pairs = stored(likely(pairs, percent / 100), "minhash-pairs")
-        if texts is None:  # only texts that are compared are kept, once for each class
-            needed = members.where("cnt > 2").select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-            wanted = classes.join(needed, "node", "left_semi").select(F.col("node").alias("doc_id"), "mark").distinct()
-            texts = stored(source.join(wanted, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("node"), "text"), "minhash-texts")
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        links = stored(verified(both, n, percent), "minhash-links")
-        discard(pairs)
-        return links, texts
-
     pairs = members.join(hubs, "h").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "cnt").groupBy("a", "b").agg((F.min("cnt") == 2).alias("alone"))
-    links, texts = star(pairs, None)
-    components = connected_components(links.unionByName(same_id_links(known, classes)))
-    as_edges = lambda c: c.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    sigs = classes.select("node", "sig")
+    pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = stored(likely(pairs, percent / 100), "minhash-pairs")
+
+    # Only texts that are compared are kept, once for each class.
+    needed = members.where("cnt > 2").select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = classes.join(needed, "node", "left_semi").select(F.col("node").alias("doc_id"), "mark").distinct()
+    texts = source.join(wanted, ["doc_id", "mark"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+    texts = stored(texts, "minhash-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    links = stored(verified(both, n, percent).unionByName(same_id_links(known, classes)), "minhash-links")
+
+    components = connected_components(links)
     apart, main = torn_buckets(members, components)
-    for _ in range(STARS):
-        if main.isEmpty():
-            break
-        hubs = stored(apart.where("component <> main").groupBy("h").agg(F.min(F.struct("node", "component")).alias("hub")), "minhash-hubs")
-        pairs = apart.join(hubs, "h").where("component <> hub.component").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        links, _ = star(pairs.withColumn("alone", F.lit(False)), texts)
-        if links.isEmpty():
-            break
-        components = connected_components(as_edges(components).unionByName(links))
-        discard(apart, main)
-        apart, main = torn_buckets(members, components)
     if not main.isEmpty():
         rest = stored(rest_links(apart, texts, n, percent), "minhash-links")
         if not rest.isEmpty():
-            components = connected_components(as_edges(components).unionByName(rest))
-    discard(shared, members, hubs, texts, links, apart, main)
+            components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    discard(shared, members, hubs, pairs, texts, links, apart, main)
     # Row, class, component. A class may hold a third of all rows, so it is looked up without skew.
     of_class = classes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("class_component"), "rows")
     rows = lookup(feats.select("doc_id", "mark", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")), of_class, "fp", "class_component", "rows", feats.count())
