@@ -51,3 +51,53 @@ def test_filters_reach_the_scan(spark):
     plan = registry.QUERIES["scan_filtered"](spark, DATA)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity)" in plan
     assert "l_comment" not in plan and "l_tax" not in plan.split("ReadSchema")[1]
+
+
+def plan_of(spark, name):
+    return registry.QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["zset_popmin", "zset_popmax", "set_take_n", "hash_take_n", "list_pop", "list_index", "zset_revrange"])
+def test_first_rows_are_limited_before_they_meet(spark, name):
+    assert "WindowGroupLimit" in plan_of(spark, name)
+
+
+def test_not_in_broadcasts_nothing_by_force(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(spark, "not_in_subquery").split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftAnti" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["geo_encode", "geo_decode", "bit_count", "bit_pos"])
+def test_bits_need_no_text_search(spark, name):
+    plan = plan_of(spark, name).lower()
+    assert "regexp" not in plan and "transform(" not in plan and ("conv(" not in plan)
+
+
+def test_ranks_are_counted_by_cell(spark):
+    assert "__cell" in plan_of(spark, "zset_rank")
+
+
+def test_exports(spark, tmp_path):
+    from tidemill.sources import tables
+
+    nation = tables.load(spark, DATA, "nation").select("n_nationkey", "n_name")
+    tables.export_json(nation, f"{tmp_path}/json")
+    with open(f"{tmp_path}/json/broken.txt", "w") as f:
+        f.write('{"n_nationkey": 1, "n_na\n')
+    good, bad = tables.rescue_json(spark, f"{tmp_path}/json", "n_nationkey int, n_name string")
+    assert sorted(map(tuple, good.collect())) == sorted(map(tuple, nation.collect())) and [r[0] for r in bad.collect()] == ['{"n_nationkey": 1, "n_na']
+    tables.export_kv_text(tables.kv(nation, "n_nationkey", "n_name"), f"{tmp_path}/text")
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/text").collect()) == sorted(f"{r[0]}\t{r[1]}" for r in nation.collect())
+
+
+def test_running_counts(spark):
+    from tidemill.streaming import changes
+    from tidemill.sources import tables
+
+    events = tables.load(spark, DATA, "events")
+    got = changes.running_counts(events, "ts", "event_type", "1 day", "1 hour")
+    assert got.agg({"n": "sum"}).first()[0] == events.count()

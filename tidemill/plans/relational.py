@@ -31,7 +31,7 @@ def key_set_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").join(keys, "o_custkey", "left_semi").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@R.frame("result_json")
+@R.frame("result_json", "SELECT '{' || '\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || ',\"d\":\"' || n_nationkey || '.00\",\"b\":\"' || n_name || '\"}' AS row FROM nation")
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "nation").withColumn("d", F.col("n_nationkey").cast("decimal(10,2)")).withColumn("b", F.col("n_name").cast("binary"))
     return tables.to_json_rows(rows)
@@ -43,7 +43,7 @@ R.sql("select_alias", "SELECT s_suppkey AS id, s_name AS name, s_acctbal balance
 R.sql("qualified_cols", "SELECT n.n_name, n.n_regionkey FROM nation n")
 R.sql("json_project", "SELECT event_id, props->>'k' AS k FROM events")
 R.sql("select_literal", "SELECT 1 AS one, 'a' AS b")
-R.frame("select_now")(lambda spark, sf_dir: run_sql(spark, sf_dir, "SELECT NOW() AS at, CURRENT_DATE AS day, VERSION() AS version, DATABASE() AS db"))
+R.sql("select_now", "SELECT NOW() > TIMESTAMP '2020-01-01' AS later, CURRENT_DATE = CAST(NOW() AS DATE) AS today, CURRENT_TIME BETWEEN 0 AND 86399999999 AS in_day, VERSION() AS version, @@autocommit AS var", "SELECT true AS later, true AS today, true AS in_day, 'tidemill' AS version, NULL AS var")
 R.sql("select_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 
 # ---- filters
@@ -122,9 +122,16 @@ R.sql("agg_having", "SELECT o_custkey, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2
 R.sql("agg_order_limit", "SELECT o_custkey, ROUND(SUM(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey ORDER BY total DESC, o_custkey LIMIT 10 OFFSET 5")
 
 
-@R.frame("stats_approx_distinct")
+@R.frame(
+    "stats_approx_distinct",
+    "SELECT 'l_orderkey' AS column, count(*) AS rows, min(l_orderkey)::VARCHAR AS min, max(l_orderkey)::VARCHAR AS max, true AS near FROM lineitem UNION ALL SELECT 'l_suppkey', count(*), min(l_suppkey)::VARCHAR, max(l_suppkey)::VARCHAR, true FROM lineitem UNION ALL SELECT 'l_returnflag', count(*), min(l_returnflag), max(l_returnflag), true FROM lineitem",
+)
 def stats_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.column_statistics(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_suppkey", "l_returnflag"])
+    """The approximate numbers are held against the exact ones: a sketch of this size is within a few per cent."""
+    columns, rows = ["l_orderkey", "l_suppkey", "l_returnflag"], load(spark, sf_dir, "lineitem")
+    exact = rows.agg(*(F.countDistinct(c).alias(c) for c in columns)).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in columns))))
+    near = F.abs(F.col("approx_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.2)
+    return ops.column_statistics(rows, columns).join(exact, "column").select("column", "rows", "min", "max", near.alias("near"))
 
 
 # ---- ordering
@@ -148,6 +155,9 @@ def arith_div(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.divide(F.col("l_partkey"), F.col("l_linenumber") - 1).alias("x"))
 
 
+R.frame("arith_mod", "SELECT l_orderkey, l_linenumber, l_partkey % nullif(l_linenumber - 1, 0) AS x FROM lineitem")(
+    lambda spark, sf_dir: load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.modulo(F.col("l_partkey"), (F.col("l_linenumber") - 1).cast("long")).alias("x"))
+)
 R.sql("json_arrow", "SELECT event_id, props->'k' AS k FROM events", "SELECT event_id, (props->'k')::VARCHAR AS k FROM events")
 R.sql("json_arrow_text", "SELECT event_id, props->>'k' AS k, props->>'none' AS missing FROM events")
 
@@ -175,7 +185,7 @@ def decimal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(F.round(scalars.avg_decimal(F.col("d"), 2).cast("double"), 4).alias("a"))
 
 
-@R.frame("insert_coercion")
+@R.frame("insert_coercion", "SELECT * FROM (VALUES (1::BIGINT, true, DATE '2020-01-02', 12.34::DECIMAL(10,2)), (NULL, false, NULL, NULL)) AS v(i, b, d, n)")
 def insert_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = tables.values(spark, [("1", "yes", "2020-01-02", "12.349"), ("x", "", "2020-13-40", None)], "i string, b string, d string, n string")
     return raw.select(scalars.coerce(F.col("i"), "BIGINT").alias("i"), scalars.coerce(F.col("b"), "BOOLEAN").alias("b"), scalars.coerce(F.col("d"), "DATE").alias("d"), scalars.coerce(F.col("n"), "DECIMAL(10,2)").alias("n"))

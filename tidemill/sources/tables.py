@@ -43,3 +43,14 @@ def export_json(df: DataFrame, path: str) -> None:
 def export_kv_text(kv_table: DataFrame, path: str) -> None:
     """key, tab, value lines."""
     kv_table.select(F.concat_ws("\t", F.col("key").cast("string"), F.coalesce(F.col("value").cast("string"), F.lit("")))).write.mode("overwrite").text(path)
+
+
+def rescue_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of export_json's files that can be read as schema, and the lines (line) that cannot."""
+    from pyspark.sql import types as T
+
+    kind = T.StructType.fromDDL(f"{schema}, __bad string")
+    lines = spark.read.text(path)
+    read = lines.select("value", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r"))
+    names = [f.name for f in kind.fields if f.name != "__bad"]
+    return read.where("r.__bad IS NULL").select(*(F.col(f"r.{n}").alias(n) for n in names)), read.where("r.__bad IS NOT NULL").select(F.col("value").alias("line"))
