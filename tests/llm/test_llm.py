@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -168,6 +169,34 @@ def test_mixing(spark, edge):
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.op4_mixing(spark, edge).collect()))
+    # The draw: by key within a source, after the complete epochs, each document whole until the words run out.
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r["source"]].append(r)
+    for source, inside in by_source.items():
+        left = round(target[source]) - sum(r["epochs"] * r["size"] for r in inside)
+        for k, group in itertools.groupby(sorted(inside, key=lambda r: r["es_key"]), key=lambda r: r["es_key"]):
+            group = list(group)
+            part = sum(r["taken"] - r["epochs"] * r["size"] for r in group)
+            assert part == min(left, sum(r["size"] for r in group))
+            left -= part
+        assert left == 0
+
+
+@pytest.mark.parametrize("sizes", [[5, 1, 1, 90], [10], [0, 0], [3, 3, 3, 3, 3, 3, 3], [1, 1000, 2, 50, 700, 0, 9], [100, 1, 1]])
+def test_targets(spark, sizes):
+    names = [f"s{i:02}" for i in range(len(sizes) - 1)] + [None]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long")).collect()}
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    want, free, left = {}, set(names), sum(sizes)
+    while free:
+        total = sum(weight[s] for s in free)
+        above = {s for s in free if left * weight[s] / total > 3 * sizes[names.index(s)]}
+        for s in above or free:
+            want[s] = 3 * sizes[names.index(s)] if above else left * weight[s] / total
+        left -= sum(want[s] for s in above)
+        free = free - above if above else set()
+    assert got == pytest.approx(want)
 
 
 def test_mixing_prefers_weight(spark):
@@ -272,6 +301,27 @@ def test_media(spark, edge):
     assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")) for r in rows) == want
 
 
+def test_media_tensors(spark, edge):
+    rows = media.op10_media(spark, edge).collect()
+    images = {r["doc_id"]: r for r in media.stored_media(spark.read.parquet(f"{edge}/documents.parquet").where("doc_id <> 5"), new_path(spark, "media")).collect()}
+    for r in rows:
+        assert len(r["rgb"]) == 3 * r["height"] * r["width"] and r["feature"].startswith(f"{r['height']}x{r['width']}:")
+        if r["doc_id"] in images:
+            tensor = media.rgb(*media.coefficients([bytes(images[r["doc_id"]]["media"])])[0])
+            assert tensor.tobytes() == bytes(r["rgb"])
+    table = spark.createDataFrame([(i, bytes(x["media"])) for i, x in images.items()] + [(-1, None)], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in media.decoded(table).collect()}
+    want = {r["doc_id"]: bytes(r["rgb"]) for r in rows}
+    assert got[-1]["rgb"] is None and got[-1]["height"] is None
+    assert all(bytes(got[i]["rgb"]) == want[i] for i in images)
+
+
+def test_media_shapes():
+    for blocks in (1, 6, 7, 6 * 512, 6 * 513, 6 * 512 * 4095, 6 * 512 * 4095 + 1, 2**31 // 64):
+        across, down = media.shape(blocks)
+        assert 0 < across <= 4095 and 0 < down <= 4095 and across * down * 6 >= blocks
+
+
 def test_media_any_bytes():
     rng = random.Random(1)
     payloads = [bytes(rng.randrange(256) for _ in range(64 * n)) for n in (1, 2, 6, 7, 50, 3100)]

@@ -9,8 +9,9 @@ Runs of one Huffman symbol, which tell where every coefficient stands, are read
 Storing bytes. A group of 64 bytes becomes a block: coefficient k is 256 + byte k, non-zero and of nine digits whatever the byte is. A 4:2:0 colour
 image of whole MCUs holds the blocks in order, luma first; the comment says how many bytes count.
 
-Defined results: null and empty texts are a payload of 64 zero bytes; a null media value decodes to nulls; more than MAX_BYTES, the
-most that an image can hold, is an error; other JPEG processes than progressive are an error.
+Defined results: null and empty texts are a payload of 64 zero bytes; a null media value decodes to nulls; JPEG processes other than progressive are an
+error; a text of any length that a column holds is one image; rows that repeat another have equal values; an empty table gives no rows; columns besides id
+and text, or media, may have any names but the results'.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ from .common import arrow_map, new_path, table
 
 UNIT = 64
 RESTART = 16
-#: MCUs in a row of an image that holds bytes, and rows of them at most.
-ROW_MCUS, MAX_ROWS = 512, 4095
-MAX_BYTES = ROW_MCUS * MAX_ROWS * 6 * UNIT
+#: MCUs in a row of an image that holds bytes, and the most rows, and MCUs in a row, that the format has: 6.4 GB, three times what a value of a column holds.
+ROW_MCUS, MAX_MCUS = 512, 4095
 BAND = 48  # coefficients 1..BAND in one scan at full precision, the others by successive approximation
 
 
@@ -81,9 +81,10 @@ SCANS = (("dc", 0, 0, 0, 1), ("low", 1, BAND, 0, 0), ("high", BAND + 1, 63, 0, 1
 
 
 def shape(blocks: int) -> tuple[int, int]:
-    """MCUs across and down."""
+    """MCUs across and down; rows are longer than ROW_MCUS only where there would be too many."""
     mcus = -(-blocks // 6)
-    down = -(-mcus // ROW_MCUS)
+    across = max(ROW_MCUS, -(-mcus // MAX_MCUS))
+    down = -(-mcus // across)
     return -(-mcus // down), down
 
 
@@ -119,8 +120,6 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     plan, pieces, first, at = [], [], [], 0
     for p in payloads:
         n = len(p) // UNIT
-        if len(p) > MAX_BYTES:
-            raise ValueError(f"a payload of {len(p)} bytes; an image holds {MAX_BYTES}")
         across, down = shape(n)
         total = across * down * 6
         pieces += [p, bytes((total - n) * UNIT)]
@@ -494,25 +493,26 @@ def decoded(media: DataFrame, media_col: str = "media") -> DataFrame:
     return arrow_map(media, run, schema)
 
 
-FEATURE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary"
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes give: the payload's digests, and the size and mean colour (in thousandths) of the decoded tensor."""
+    """What the stored bytes give: the payload's digests, the size and mean colour (in thousandths) of the decoded tensor, and the tensor."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         images, rows = batch["media"].to_pylist(), []
         for image, (frame, parts) in zip(images, coefficients(images)):
             payload, tensor = payload_of(frame, parts), rgb(frame, parts)
             mean = tensor.reshape(-1, 3).sum(0, dtype=np.int64) * 1000 // (tensor.size // 3)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(image), hashlib.sha256(image).hexdigest(), f"{tensor.shape[0]}x{tensor.shape[1]}:{','.join(map(str, mean))}"))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(image), hashlib.sha256(image).hexdigest(), f"{tensor.shape[0]}x{tensor.shape[1]}:{','.join(map(str, mean))}", *tensor.shape[:2], tensor.tobytes()))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[x.split()[0] for x in FEATURE.split(", ")])
 
     return arrow_map(media, run, FEATURE)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of the contract; and the tensors, which are stored wherever the result is."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return features(stored_media(docs, new_path(spark, "media")))
 

@@ -6,12 +6,14 @@ own size, the excess reshared by weight until none is above.
 Selection. Every document of a source takes part in each complete epoch. What is then left of the target goes to a weighted sample
 without replacement: a document with weight w has the key -ln(u) / w with u from a hash of the seed and its id, and documents are
 taken in order of keys until the prefix sum of their sizes reaches what is left; the last one gives only the words that are missing.
-The order within a source is found in two steps, so that no task sees a whole source: the keys' ranges (CELLS to a source) are summed,
-the prefix sums of the ranges tell the one that holds the end, and only that one's documents are sorted.
+The order within a source is found in three steps, so that no task sees a whole source: the keys' ranges (CELLS to a source) are summed, and the
+prefix sums of the ranges tell the one that holds the end; the same again within that one; and only the documents of the last range, one of CELLS * CELLS, are sorted.
+Targets are windows over a table with a row for each source; nothing of it goes to the driver.
 
 Defined results: a null or wordless text has size 0 and takes 0; a null source is a source of its own, the last one; a null id has a
 key of its own text; rows that repeat id and text share a key and follow each other; unlabelled documents and null qualities have
-weight 1; with no words at all every target is 0.
+weight 1; with no words at all every target is 0. A very long text is counted whole, and its words are taken as those of others; an empty table gives
+no rows; columns besides those named may have any names but the results' and names that begin with two underscores.
 """
 
 from __future__ import annotations
@@ -34,23 +36,21 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> list[tuple[str | None, int, float]]:
-    """(source, size, target) by code point. sizes: a row for each source, of which there are few (they are what a mixture is written in)."""
-    rows = sorted(((r["source"], int(r["source_size"])) for r in sizes.collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    weight = [1 + i % CYCLE for i in range(len(rows))]
-    left, free, out = float(sum(n for _, n in rows)), list(range(len(rows))), [0.0] * len(rows)
-    while free:
-        total = sum(weight[i] for i in free)
-        above = [i for i in free if left * weight[i] / total > max_epochs * rows[i][1]]
-        if not above:
-            for i in free:
-                out[i] = left * weight[i] / total
-            break
-        for i in above:
-            out[i] = float(max_epochs * rows[i][1])
-        left -= sum(out[i] for i in above)
-        free = [i for i in free if i not in set(above)]
-    return [(s, n, t) for (s, n), t in zip(rows, out)]
+def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """sizes (source, source_size) with target. A source is full if its share of what fuller ones leave is above its cap; so, by the ratio of cap and weight, full ones come first."""
+    weight = ((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())) - 1) % CYCLE + 1).cast("double")
+    cap = (F.col("source_size") * max_epochs).cast("double")
+    rows = sizes.withColumn("__w", weight).withColumn("__cap", cap).withColumn("__ratio", F.col("__cap") / F.col("__w"))
+    # Windows over the sources, a row each: the words and the weight that are left when all sources before are full.
+    order = Window.partitionBy(F.lit(0)).orderBy("__ratio", F.col("source").asc_nulls_last())
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.sum(F.col("source_size").cast("double")).over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))
+    rows = rows.withColumn("__left", left).withColumn("__weights", F.sum("__w").over(after)).withColumn("__at", F.row_number().over(order))
+    free = F.col("__left") * F.col("__w") / F.col("__weights") <= F.col("__cap")
+    first = F.min(F.when(free, F.struct("__at", "__left", "__weights"))).over(Window.partitionBy(F.lit(0)))
+    rows = rows.withColumn("__first", first)
+    share = F.col("__first.__left") * F.col("__w") / F.col("__first.__weights")
+    return rows.select("source", "source_size", F.when(F.col("__at") < F.col("__first.__at"), F.col("__cap")).otherwise(share).alias("target"))
 
 
 def uniform(*parts: Column) -> Column:
@@ -58,34 +58,43 @@ def uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
 
 
+def edges(cells: DataFrame) -> DataFrame:
+    """cells (__s, __cell, __sum, __left, __from: what earlier cells hold) with the cell that the end of each source's budget falls into, and what is before it."""
+    order = Window.partitionBy("__s").orderBy("__cell")  # CELLS rows a source
+    upto = F.col("__from") + F.sum("__sum").over(order)
+    hit = cells.withColumn("__upto", upto).where((F.col("__upto") >= F.col("__left")) & (F.col("__upto") - F.col("__sum") < F.col("__left")))
+    return hit.select("__s", F.col("__cell").alias("__edge"), (F.col("__upto") - F.col("__sum")).alias("__before"))
+
+
 def mix(docs: DataFrame, weight: Column, seed: int = 17, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """docs (doc_id, source, size, mark, and what else they have) with source_size, target, epochs, taken, copies (epochs it is in, a part of one counting as one) and es_key."""
-    spark = docs.sparkSession
-    sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    found = targets(sizes, max_epochs)
-    quota = spark.createDataFrame([(s, n, t, int(t // n) if n else 0) for s, n, t in found] or [(None, 0, 0.0, 0)], "__source string, source_size long, target double, epochs long")
-    quota = quota.withColumn("__left", (F.round("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    quota = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    quota = quota.withColumnRenamed("source", "__source").withColumn("epochs", epochs)
+    # Stored: its size is known then, so it is broadcast only where it is small.
+    quota = stored(quota.withColumn("__left", (F.round("target") - F.col("epochs") * F.col("source_size")).cast("long")), "mix-quota")
     u = uniform(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("mark")))
     rows = docs.withColumn("es_key", -F.log(u) / weight)
-    # exp(-key) is uniform for weight 1, so equal ranges of it hold about as many documents each.
-    rows = rows.withColumn("__cell", F.least(F.floor((1 - F.exp(-F.col("es_key"))) * CELLS), F.lit(CELLS - 1)).cast("int"))
-    # A row for each source: as large as the mixture that is asked for, which the driver has in a list already.
-    rows = rows.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    cells = rows.groupBy("source", "__cell").agg(F.sum("size").alias("__sum"), F.first("__left").alias("__left"))
-    upto = F.sum("__sum").over(Window.partitionBy("source").orderBy("__cell"))
-    edge = cells.withColumn("__upto", upto).where((F.col("__upto") >= F.col("__left")) & (F.col("__upto") - F.col("__sum") < F.col("__left")))
-    edges = edge.select(F.col("source").alias("__s"), F.col("__cell").alias("__edge"), (F.col("__upto") - F.col("__sum")).alias("__before"))
-    rows = rows.join(F.broadcast(edges), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")  # a row for each source at most
-    at_edge = F.coalesce(F.col("__cell") == F.col("__edge"), F.lit(False))
-    inside = rows.where(at_edge)
+    # exp(-key) is uniform for weight 1, so equal ranges of it hold about as many documents each; the second digit divides a range again.
+    place = F.least(F.greatest((1 - F.exp(-F.col("es_key"))) * (CELLS * CELLS), F.lit(0.0)), F.lit(CELLS * CELLS - 1.0)).cast("long")
+    rows = rows.withColumn("__place", place).withColumn("__cell", F.floor(F.col("__place") / CELLS)).withColumn("__fine", F.col("__place") % CELLS).drop("__place")
+    rows = rows.join(quota, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    first = rows.groupBy(F.col("source").alias("__s"), "__cell").agg(F.sum("size").alias("__sum"), F.first("__left").alias("__left"))
+    first = stored(edges(first.withColumn("__from", F.lit(0).cast("long"))), "mix-edges")
+    rows = rows.join(first, F.col("source").eqNullSafe(F.col("__s")), "left").withColumnRenamed("__before", "__from").drop("__s")
+    in_edge = F.coalesce(F.col("__cell") == F.col("__edge"), F.lit(False))
+    fine = rows.where(in_edge).groupBy(F.col("source").alias("__s"), F.col("__fine").alias("__cell")).agg(F.sum("size").alias("__sum"), F.first("__left").alias("__left"), F.first("__from").alias("__from"))
+    fine = stored(edges(fine).select("__s", F.col("__edge").alias("__fine_edge"), "__before"), "mix-edges")
+    rows = rows.join(fine, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "__from")
+    at_edge = in_edge & F.coalesce(F.col("__fine") == F.col("__fine_edge"), F.lit(False))
     order = Window.partitionBy("source").orderBy("es_key", F.col("doc_id").asc_nulls_last(), "mark").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("__before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__left") - start))
-    edge_rows = inside.withColumn("__part", part.cast("long"))
-    plain = rows.where(~at_edge).withColumn("__part", F.when(F.coalesce(F.col("__cell") < F.col("__edge"), F.col("__left") > 0) & (F.col("__left") > 0), F.col("size")).otherwise(F.lit(0)).cast("long"))
+    edge_rows = rows.where(at_edge).withColumn("__part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__left") - start)).cast("long"))
+    inside = (F.col("__cell") < F.col("__edge")) | in_edge & (F.col("__fine") < F.col("__fine_edge"))
+    plain = rows.where(~at_edge).withColumn("__part", F.when((F.col("__left") > 0) & F.coalesce(inside, F.col("__edge").isNull()), F.col("size")).otherwise(F.lit(0)).cast("long"))
     out = plain.unionByName(edge_rows).withColumn("taken", F.col("epochs") * F.col("size") + F.col("__part"))
     out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("epochs") + (F.col("__part") > 0).cast("long")).otherwise(F.lit(0)).cast("int"))
-    return out.drop("__left", "__edge", "__before", "__cell", "__part")
+    return out.drop("__left", "__edge", "__fine_edge", "__before", "__cell", "__fine", "__part")
 
 
 def quality_weight(quality: Column) -> Column:

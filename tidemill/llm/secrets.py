@@ -9,7 +9,8 @@ example that people copy; the others look live, in however many repositories of
 and no base span covers it; base spans always stay.
 
 Defined results: a null text is empty; a null owner counts as one owner; a null id counts as one repository; rows that repeat
-another keep a row each; no match gives zeros, the SHA-256 of nothing and an empty list of spans.
+another keep a row each; no match gives zeros, the SHA-256 of nothing and an empty list of spans; a very long text is searched whole; an empty table
+gives no rows; columns of scan()'s input may have any names but base and blobs, and those of judged() any but its results'.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ ASSIGN_LEAST = 6
 #: Added by the method.
 BLOB = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}"
 EXAMPLE_OWNERS = 6
-#: Only of the SQL below.
-EXAMPLE_REPOS = 200
 
 
 def matches(text: Column, kind: str, pattern: str, value: Column | None = None) -> Column:
@@ -133,7 +132,7 @@ m AS ({each}),
 u AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m),
 p AS (SELECT rid, doc_id, source, kind, rank, vals[i] AS v, hits[i] AS hit, ({lengths('gaps[1:i]')} + {lengths('hits[1:i-1]')})::BIGINT AS s FROM u),
 c AS (SELECT *, s + length(hit) AS e FROM p WHERE CASE kind WHEN 'assign' THEN length(v) >= {ASSIGN_LEAST} WHEN 'blob' THEN regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') ELSE true END),
-o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) >= {EXAMPLE_OWNERS} OR count(DISTINCT coalesce(source, chr(0)) || chr(1) || coalesce(doc_id::VARCHAR, chr(0))) >= {EXAMPLE_REPOS} AS example FROM c GROUP BY v),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) >= {EXAMPLE_OWNERS} AS example FROM c GROUP BY v),
 j AS (SELECT c.*, o.example FROM c JOIN o ON c.v = o.v),
 k AS (SELECT * FROM j WHERE kind <> 'blob' OR (NOT example AND NOT EXISTS (SELECT 1 FROM j b WHERE b.rid = j.rid AND b.kind <> 'blob' AND b.s < j.e AND j.s < b.e))),
 g AS (SELECT rid, sum((kind = 'assign')::INTEGER)::BIGINT AS n_assign, sum((kind = 'access')::INTEGER)::BIGINT AS n_access, sum((kind = 'hex')::INTEGER)::BIGINT AS n_hex,

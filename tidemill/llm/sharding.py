@@ -5,7 +5,8 @@ limit split on their next bit, until every one fits. Each round sums only the do
 (STRIDE), so a round settles what as many splits would. Nothing but sums by prefix is shuffled, with partial sums first.
 
 Defined results: a null text has 0 bytes; the hash is that of id and text, so rows that repeat both share a bucket that no bit can split, as
-does a single text above the limit: such a bucket stops at BITS bits and is marked oversized. An empty table gives no shard.
+does a single text above the limit: such a bucket stops at BITS bits and is marked oversized. A null id hashes as a text of its own. An empty table gives no shard. Columns besides id and text may have
+any names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ query; rows whose upper bound reaches it are the boundary, and get their exact i
 Work is dealt in cells of a block of rows and a block of queries; a cell gives k rows a query, and a top k over the cells follows.
 
 Defined results: null vectors and vectors with a null or non-finite component take no part, nor do rows with a null id; empty vectors score 0; vectors of different
-lengths are not compared; a query never finds rows of its own id, and rows that repeat a query's id and vector are one query; components are exact up to 2^40 in size, scores must fit a long.
+lengths are not compared; a query never finds rows of its own id, and rows that repeat a query's id and vector are one query; components are exact up to 2^40 in size, scores must fit a long;
+rows that repeat another are found as often as they stand there; an empty table gives no rows; a very long vector is a column of its own length; other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .common import stored, table
 
 ROW_BLOCK = 8192
 QUERY_BLOCK = 1024
+#: Tasks at most; beyond, a task has several cells.
+TASKS = 100_000
 #: Queries whose bitmaps are added at once: they stay in the processor's cache.
 LANES = 64
 #: Digits of an attribute that are summed as slices, at most; the digits below are left to the exact step.
@@ -195,7 +199,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         a, b, score, mark = (np.concatenate(x) for x in zip(*found))
         return pa.table({"query_id": pa.array(a, pa.int64()), "mark": pa.array(mark, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(score, pa.int64())})
 
-    best = index.unionByName(asked).groupBy("dim", "r", "q").applyInArrow(run, "query_id long, mark long, vec_id long, score long")
+    # A cell has few bytes and much work, so there are as many tasks as cells; grouping keeps to the same keys.
+    cells = blocks.agg(F.coalesce(F.sum(F.col("nr").cast("long") * F.col("nq")), F.lit(0))).first()[0]
+    best = index.unionByName(asked).repartition(max(1, min(int(cells), TASKS)), "dim", "r", "q").groupBy("dim", "r", "q").applyInArrow(run, "query_id long, mark long, vec_id long, score long")
     order = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")  # k rows a block of rows
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -11,7 +11,8 @@ Offsets need no second scan: a block's first piece starts where the pieces of th
 
 Defined results: a null payload is written as an empty one; a null url leaves out the target header; rows that repeat both id and payload are
 each a response; a null id is written without one and comes back null; an empty table gives no record. A record with an unreadable
-header ends its file's chain there.
+header ends its file's chain there. A very long payload is one record; one with the magic inside is put together in the task that gets its pieces. Columns of pages
+besides the three may have any names.
 """
 
 from __future__ import annotations
