@@ -8,7 +8,9 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -28,6 +30,23 @@ def test_empty_tables(spark, nothing, name):
     assert registry.QUERIES[name](spark, nothing).collect() == []
 
 
+SQL_DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(SQL_DATA).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SQL_DATA}/{t}.parquet')")
+    want = con.execute(registry.ORACLE[name])
+    names = [c[0] for c in want.description]
+    got = registry.QUERIES[name](spark, SQL_DATA)
+    assert sorted(got.columns) == sorted(names)
+    cell = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    assert Counter(tuple(map(cell, r)) for r in got.select(*names).collect()) == Counter(tuple(map(cell, r)) for r in want.fetchall())
+
+
 def test_empty_pipeline(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).collect() == []
 
@@ -147,7 +166,7 @@ def test_shared_prefixes():
 
 
 def test_mixing(spark, edge):
-    docs, rows = docs_of(spark, edge), mixing.op4_mixing(spark, edge).collect()
+    docs, rows = docs_of(spark, edge), mixing.mixture(spark, edge).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(d[0] for d in docs)
     sizes = Counter()
     for _, text, source in docs:
@@ -168,7 +187,7 @@ def test_mixing(spark, edge):
         assert r["target"] == pytest.approx(target[r["source"]])
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.op4_mixing(spark, edge).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mixture(spark, edge).collect()))
     # The draw: by key within a source, after the complete epochs, each document whole until the words run out.
     by_source = defaultdict(list)
     for r in rows:

@@ -54,8 +54,9 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def uniform(*parts: Column) -> Column:
-    """In (0, 1), the same in every run."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+    """In (0, 1), the same in every run and in other engines: 52 bits of an MD5."""
+    text = F.concat_ws("\x1f", *(p.cast("string") for p in parts))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
 
 
 def edges(cells: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def mix(docs: DataFrame, weight: Column, seed: int = 17, max_epochs: int = MAX_E
     quota = quota.withColumnRenamed("source", "__source").withColumn("epochs", epochs)
     # Stored: its size is known then, so it is broadcast only where it is small.
     quota = stored(quota.withColumn("__left", (F.round("target") - F.col("epochs") * F.col("source_size")).cast("long")), "mix-quota")
-    u = uniform(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("mark")))
+    u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\x00"), F.col("mark").cast("string"))))
     rows = docs.withColumn("es_key", -F.log(u) / weight)
     # exp(-key) is uniform for weight 1, so equal ranges of it hold about as many documents each; the second digit divides a range again.
     place = F.least(F.greatest((1 - F.exp(-F.col("es_key"))) * (CELLS * CELLS), F.lit(0.0)), F.lit(CELLS * CELLS - 1.0)).cast("long")
@@ -109,11 +110,29 @@ def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(labels, F.col("doc_id") == F.col("__id"), "left").drop("__id")
 
 
-def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix() of all documents, weighted by their quality labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
     docs = stored(weighted(spark, docs, sf_dir), "mix-sizes")  # the texts are read and counted once
-    return mix(docs, quality_weight(F.col("quality"))).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs", "es_key")
+    return mix(docs, quality_weight(F.col("quality")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(spark, sf_dir).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+
+
+_SQL = f"""
+WITH q AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+d AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+  -ln((('0x' || substr(md5('17' || chr(31) || d.doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496) / CASE quality WHEN 1 THEN {WEIGHT_OF_QUALITY[1]} WHEN 0 THEN {WEIGHT_OF_QUALITY[0]} ELSE 1.0 END AS es_key FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY 1),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {CYCLE} + 1)::DOUBLE AS w, ({MAX_EPOCHS} * n)::DOUBLE AS cap FROM s),
+l AS (SELECT *, row_number() OVER o AS place, (SELECT sum(n) FROM s) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+f AS (SELECT arg_min(rest, place) AS rest, arg_min(ws, place) AS ws, min(place) AS place FROM l WHERE rest * w / ws <= cap),
+t AS (SELECT source, n, CASE WHEN l.place < f.place THEN cap ELSE f.rest * w / f.ws END::DOUBLE AS target FROM l, f),
+e AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END::BIGINT AS epochs FROM t)
+SELECT doc_id, size, n AS source_size, target, epochs * size + greatest(0, least(size, round(target)::BIGINT - epochs * n - (sum(size) OVER (PARTITION BY d.source ORDER BY es_key, doc_id) - size)))::BIGINT AS taken, d.source, epochs
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+"""
 QUERIES = {"op4_mixing": op4_mixing}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_mixing": _SQL}
