@@ -710,3 +710,75 @@ def test_pipeline(spark, edge):
             texts = [r["text"] or "" for r in docs.collect()]
             assert any("[SECRET]" in t for t in texts) and not any("abc123xyz" in t for t in texts)
     assert docs.where("round_trip").count() >= counts[-1] - 3
+
+
+def secret_spans(text):
+    """(start, end, kind, value) of base spans and mixed blobs."""
+    value = {(m.start(), m.end()): m[2] for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text)}
+    found = [(a, b, k, value[a, b] if k == "assign" else text[a:b]) for a, _, b, k in base_spans(text)]
+    blobs = [m for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}", text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])]
+    return found + [(m.start(), m.end(), "blob", m[0]) for m in blobs]
+
+
+def test_pipeline_by_brute_force(spark, edge, tmp_path):
+    """Each stage, on what the stage before it kept, against a plain version; the toxic rows are those of the model, which has a test of its own."""
+    every = spark.read.parquet(f"{edge}/documents.parquet").where("doc_id IS NOT NULL AND (doc_id <> 5 OR text NOT LIKE 'another%')")
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{edge}/labels.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    toxic = {r["doc_id"] for r in toxicity.toxicity(every.select("doc_id", "text"), labels).where("predicted = 1").collect()}
+    got = {}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        path = new_path(spark, "stage")
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        got[name] = [(r["doc_id"], r["source"], r["text"]) for r in docs.collect()] if name != "tokens" else docs.collect()
+
+    want = [(r["doc_id"], r["source"], r["text"]) for r in every.collect() if r["doc_id"] not in toxic]
+    assert toxic and Counter(got["toxicity"]) == Counter(want)
+    once = list(dict.fromkeys(want))
+    of = groups([r[0] for r in once], [r[2] for r in once], 5)
+    want = [r for r in once if of[r[0]][1] == r[0]]
+    assert len(want) < len(got["toxicity"]) and Counter(got["near_duplicates"]) == Counter(want)
+
+    owners = defaultdict(set)
+    for _, source, text in want:
+        for *_, value in secret_spans(text or ""):
+            owners[value].add(source)
+
+    def redacted(text):
+        spans = secret_spans(text or "")
+        base = [x for x in spans if x[2] != "blob"]
+        live = [x for x in spans if len(owners[x[3]]) < 6 and (x[2] != "blob" or not any(b[0] < x[1] and x[0] < b[1] for b in base))]
+        out, at = "", 0
+        for a, b, kind, _ in sorted(live, key=lambda x: (x[0], ("assign", "access", "hex", "blob").index(x[2]))):
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + text[at:] if live else text
+
+    want = [(i, source, redacted(text)) for i, source, text in want]
+    assert any("[SECRET]" in (r[2] or "") for r in want) and Counter(got["secrets"]) == Counter(want)
+
+    size = {r[0]: len(WORDS.findall(r[2] or "")) for r in want}
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    key = {i: -math.log((int(hashlib.md5(f"17\x1f{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / {1: 2.0, 0: 0.5}.get(quality.get(i), 1.0) for i in size}
+    target = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([(r[1], size[r[0]]) for r in want], "source string, size long").groupBy("source").agg({"size": "sum"}).toDF("source", "source_size")).collect()}
+    copies = Counter()
+    for source in {r[1] for r in want}:
+        inside = sorted((r for r in want if r[1] == source), key=lambda r: (key[r[0]], r[0]))
+        total = sum(size[r[0]] for r in inside)
+        epochs = int(target[source] // total) if total else 0
+        left = round(target[source]) - epochs * total
+        for r in inside:
+            copies[r] += (epochs + (left > 0)) if size[r[0]] else 0
+            left -= size[r[0]]
+    assert Counter(got["mixture"]) == +copies
+
+    it = pieces.Lattice(*pieces.read_model(pieces.MODEL))
+    texts = {r[0]: r[2] or "" for r in want}
+    assert len(got["tokens"]) == len(got["mixture"])
+    for r in got["tokens"]:
+        raw = it.encode(texts[r["doc_id"]])
+        assert (r["ids"], r["decoded_sha256"]) == (np.frombuffer(raw, "<i4").tolist(), hashlib.sha256(it.decode(np.frombuffer(raw, "<i4")).encode()).hexdigest())
