@@ -47,6 +47,34 @@ def test_against_sql(spark, name):
     assert Counter(tuple(map(cell, r)) for r in got.select(*names).collect()) == Counter(tuple(map(cell, r)) for r in want.fetchall())
 
 
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Texts above the size at which batches are cut (PART_BYTES), one of them twice, beside short ones."""
+    rng, folder = random.Random(12), str(tmp_path_factory.mktemp("long"))
+    words = ["".join(rng.choice("aeilnorst") for _ in range(rng.randrange(2, 9))) for _ in range(4000)]
+    text = " ".join(rng.choice(words) for _ in range(110_000))
+    assert len(text) > 600_000
+    rows = [(1, text, "a"), (2, text, "b"), (3, text + " end", "a"), (4, "short", None), (6, "x" * 650_000, "b")]
+    spark.createDataFrame([(*r, "en", 0) for r in rows], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(r[0], "u", r[1]) for r in rows], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"op6_topk"}))
+def test_very_long_texts(spark, long_texts, name):
+    got = {r[0]: r for r in registry.QUERIES[name](spark, long_texts).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 6]
+    if name == "op2_minhash":
+        assert [got[i]["component_id"] for i in (1, 2, 3, 4, 6)] == [1, 1, 1, 4, 6]
+    if name == "op3_suffix":
+        assert [got[i]["n_bytes"] - got[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 0, 4, 5] and got[6]["n_removed"] == 650_000
+    if name == "op7_pieces":
+        assert got[1]["chunks"] > 10 and all(r["round_trip"] for r in got.values())
+    if name == "op1_warc":
+        assert got[2]["refers_to"] == 1 and got[6]["payload_bytes"] == 650_000
+
+
 def test_empty_pipeline(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).collect() == []
 

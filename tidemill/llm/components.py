@@ -11,7 +11,8 @@ from .common import discard, stored
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node reachable.
 
-    A round costs two small shuffles; edges only ever move to smaller neighbours, so the number of rounds is logarithmic in practice.
+    A round costs a few small shuffles; the least neighbours are stored before they are joined back, so that adaptive execution can split a node with very many
+    edges. Edges only ever move to smaller neighbours, so the number of rounds is logarithmic in practice.
     Only a count and a checksum reach the driver. Loops and repeated edges are ignored, and null ends dropped.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -23,14 +24,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         mark, before = now, e
         # Large-star: the neighbours above u join the smallest neighbour of u.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v").distinct(), "cc-edges")
         # Small-star: u and its neighbours below join the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
         e = stored(small.where("u <> v").distinct(), "cc-edges")
-        discard(before)
-        discard(large)
+        discard(before, large, least, low)
     tops = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
