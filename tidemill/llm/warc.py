@@ -161,9 +161,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     owned = narrow.select("file", "block", "idx", "start", owner.alias("offset")).where(F.col("offset").isNotNull())
     pieces = owned.join(found, ["file", "block", "idx"]).select("file", "offset", owned["start"], "raw", "whole")
     glued = pieces.groupBy("file", "offset").agg(F.sort_array(F.collect_list(F.struct("start", "raw"))).alias("all"), F.min_by("whole", "start").alias("whole")).where(~F.col("whole"))
-    magic = F.lit(MAGIC).cast("binary")
-    body = F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, magic, x["raw"]))
-    return one.unionByName(arrow_map(glued.select("file", "offset", body.alias("body")), _parsed, one.schema))
+    return one.unionByName(arrow_map(glued.select("file", "offset", F.transform("all", lambda x: x["raw"]).alias("pieces")), _parsed, one.schema))
 
 
 def _with_whole_heads(candidates: DataFrame) -> DataFrame:
@@ -181,8 +179,8 @@ def _with_whole_heads(candidates: DataFrame) -> DataFrame:
 def _parsed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """(file, offset, headers, block) of records put together again."""
     headers, blocks = [], []
-    for body in batch["body"]:
-        head, _, rest = body.as_py().partition(b"\r\n\r\n")
+    for pieces in batch["pieces"].to_pylist():
+        head, _, rest = b"".join(x for raw in pieces for x in (MAGIC.encode(), raw)).partition(b"\r\n\r\n")
         found = parse_headers(head)
         headers.append(list(found.items()))
         blocks.append(rest[: int(found["content-length"])])
