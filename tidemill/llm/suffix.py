@@ -361,5 +361,17 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
+#: Every window of every text is grouped by itself: for small tables.
+_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT rid, i, hash(b[i:i + {LEAST - 1}]) AS h FROM (SELECT rid, b, unnest(range(1, n - {LEAST - 2})) AS i FROM d WHERE n >= {LEAST})),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS k FROM w) WHERE k > 1),
+s AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + {LEAST} THEN 0 ELSE 1 END AS first FROM r),
+g AS (SELECT rid, i, sum(first) OVER (PARTITION BY rid ORDER BY i) AS run FROM s),
+c AS (SELECT rid, run, min(i) AS a, max(i) + {LEAST} AS z FROM g GROUP BY 1, 2),
+p AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 1) AS before FROM c),
+k AS (SELECT p.rid, sum(z - a)::BIGINT AS gone, count(*) AS spans, string_agg(hex(b[before:a - 1]), '' ORDER BY a) || hex(any_value(b)[max(z):]) AS kept FROM p JOIN d ON p.rid = d.rid GROUP BY p.rid)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, CASE WHEN k.rid IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256 FROM d LEFT JOIN k ON d.rid = k.rid
+"""
 QUERIES = {"op3_suffix": op3_suffix}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_suffix": _SQL}
