@@ -71,7 +71,7 @@ def test_not_in_broadcasts_nothing_by_force(spark):
     assert "LeftAnti" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["geo_encode", "geo_decode", "bit_count", "bit_pos"])
+@pytest.mark.parametrize("name", ["bit_count", "bit_pos"])
 def test_bits_need_no_text_search(spark, name):
     plan = plan_of(spark, name).lower()
     assert "regexp" not in plan and "transform(" not in plan and ("conv(" not in plan)
