@@ -712,6 +712,38 @@ def test_toxicity_of_a_sequence(spark):
     assert sum(r["predicted"] == rows[r["doc_id"]][2] for r in got) / len(got) > 0.97
 
 
+def test_tokens_of_a_chunk_take_little_memory():
+    """A chunk of 3.5 MB: two workers of an executor have one each, beside a heap that takes most of its memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    texts = [" ".join(rng.choice(words) for _ in range(500)) for _ in range(1000)]
+    column = pa.array([*texts[:500], " ".join(texts[500:])])
+    tracemalloc.start()
+    t = toxicity.Tokens(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(t.word) == 500_000 and list(np.diff(t.row)) == [500] * 500 + [250_000]
+    assert peak < 100_000_000
+
+
+def test_words_and_stems_in_pieces():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    for _ in range(200):
+        texts = [rng.choice([None, "", "".join(rng.choice(["a", "B", "é", "-", " ", "\t", "日", "1"]) for _ in range(rng.randrange(60)))]) for _ in range(5)]
+        body, at = textnp.bytes_of(pa.array(texts, pa.string()))
+        hashes, row = textnp.lower_word_hashes(body, at)
+        whole = textnp.lower_words_and_stems(body, at, 5)
+        assert np.array_equal(whole[0], hashes) and np.array_equal(whole[2], row)
+        for size in (1, 2, 7, 50):
+            assert all(np.array_equal(x, y) for x, y in zip(textnp.lower_words_and_stems(body, at, 5, size), whole))
+
+
 def test_word_hashes():
     import pyarrow as pa
 

@@ -144,28 +144,32 @@ def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
 
+def cells_of(docs: pa.RecordBatch, bits: int) -> pa.RecordBatch:
+    """A row for each cell that has bigrams of docs (text, __toxic)."""
+    v_bits = bits // 2
+    t = Tokens(docs["text"])
+    label = np.array(docs["__toxic"].to_pylist(), bool)[t.doc]
+    toxic, other = (np.bincount(t.pair[label == c], minlength=len(t.w)) for c in (True, False))
+    top = U64(8 * KEY)
+    cell = ((t.words[t.w] >> (top - U64(bits - v_bits))) << U64(v_bits)) | (t.contexts[t.v] >> (top - U64(v_bits)))
+    order = np.argsort(cell, kind="stable")
+    cell, w, v, toxic, other = cell[order].astype(np.int64), t.w[order], t.v[order], toxic[order], other[order]
+    rows = []
+    edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))) if len(cell) else []
+    for s, e in zip(edges[:-1], edges[1:]):
+        own = w[s:e]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        rows.append((int(cell[s]), narrow(t.words[own[first]], KEY), narrow(t.stems[own[first]] - STEMS, STEM_KEY), packed(np.diff(np.append(first, len(own)))), narrow(t.contexts[v[s:e]], KEY), packed(toxic[s:e]), packed(other[s:e])))
+    names = [x.split()[0] for x in CELLS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(len(names))], names=names)
+
+
 def sent(training: DataFrame, bits: int) -> DataFrame:
     """A row for each chunk and cell of training (text, __toxic): its distinct words, their stems and how many contexts follow; contexts; counts by class."""
-    v_bits = bits // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in of_chunks(batches):
-            t = Tokens(docs["text"])
-            if not len(t.pair):
-                continue
-            label = np.array(docs["__toxic"].to_pylist(), np.int64)[t.doc]
-            toxic, other = (np.bincount(t.pair[label == c], minlength=len(t.w)) for c in (1, 0))
-            top = U64(8 * KEY)
-            cell = ((t.words[t.w] >> (top - U64(bits - v_bits))) << U64(v_bits)) | (t.contexts[t.v] >> (top - U64(v_bits)))
-            order = np.argsort(cell, kind="stable")
-            cell, w, v, toxic, other = cell[order].astype(np.int64), t.w[order], t.v[order], toxic[order], other[order]
-            rows = []
-            edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-            for s, e in zip(edges[:-1], edges[1:]):
-                own = w[s:e]
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                rows.append((int(cell[s]), narrow(t.words[own[first]], KEY), narrow(t.stems[own[first]] - STEMS, STEM_KEY), packed(np.diff(np.append(first, len(own)))), narrow(t.contexts[v[s:e]], KEY), packed(toxic[s:e]), packed(other[s:e])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] + [pa.binary()] * 6)], names=[x.split()[0] for x in CELLS.split(", ")])
+            yield cells_of(docs, bits)  # whose arrays are gone before the next chunk's are made
 
     return training.mapInArrow(run, CELLS)
 
